@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .ngram_join import op2_ngram_jaccard_join
+from .packing import op10_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {}

@@ -126,13 +126,19 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts) + b"\n" if parts else b"", np.uint8), starts
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: a hash of each word, the row of each word, first word of each row (one entry more than rows), and each word's first byte within its text."""
+def words(texts: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: a hash of each word, the row of each word, first word of each row (one entry more than rows), and each word's first byte within its text.
+
+    Without marks a word is a run of ASCII letters, digits and bytes of other characters.
+    """
     data, starts = joined(texts)
     if not len(data):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(starts), np.int64), np.zeros(0, np.int64)
     lower = data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if marks:
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    else:
+        inside = ((lower >= 97) & (lower <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))  # the last byte is white space
     first, last = edge[::2], edge[1::2]
     up, down = powers(len(data) + 1)

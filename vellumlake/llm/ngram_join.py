@@ -3,8 +3,9 @@
 Texts with equal shingle sets are one class.  Two sets whose Jaccard similarity is
 at least t share a token among the first n - ceil(t n) + 1 tokens of either, under
 *any* order of all tokens.  The first order (rare tokens first) finds candidates by
-a join of prefixes; a candidate goes on only if the pair shares a prefix token
-under every further order too, and is then verified on the whole sets.
+a join of prefixes.  A candidate goes on only if counts of hashed tokens leave
+enough room for overlap and the pair shares a prefix token under every further
+order too; it is then verified on the whole sets.
 
 Groups of copies never become pairs of all with all.  First each class is
 verified against one hub of each prefix token; the classes that this connects
@@ -28,6 +29,8 @@ from .components import components
 #: Counters for the frequency classes that the orders begin with; a fixed size, whatever the input.
 CLASSES = 1 << 16
 ORDERS = 3
+#: Cells that a set's tokens are counted in; the counts bound how much two sets can share.
+CELLS = 128
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -37,13 +40,13 @@ def _sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def classes(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, class): documents with equal shingle sets have equal classes."""
+    """(doc_id, n_shingles, class, cells): documents with equal shingle sets have equal classes; cells counts the set's tokens by hash, as 16-bit numbers."""
 
     def one(batch: pa.RecordBatch) -> dict[str, object]:
         sets, key = _sets(batch.column("text"), n)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": np.array([len(s) for s in sets], np.int64), "class": signed(key)}
+        return {"doc_id": batch.column("doc_id"), "n_shingles": np.array([len(s) for s in sets], np.int64), "class": signed(key), "cells": pa.array([np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets], pa.binary())}
 
-    return mapped(documents(docs), one, "doc_id long, n_shingles long, class long")
+    return mapped(documents(docs), one, "doc_id long, n_shingles long, class long, cells binary")
 
 
 def token_classes(docs: DataFrame, n: int) -> np.ndarray:
@@ -92,7 +95,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     d = documents(docs)
     importable(docs.sparkSession)
-    by_doc = settled(classes(d, n))
+    by_doc = written(classes(d, n))
     full = by_doc.where("n_shingles > 0")
     reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     rank = token_classes(d, n)
@@ -113,9 +116,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     star = posts.where((F.col("class") != F.col("hub")) & close("n", "hub_n")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that pass the other orders' filters and the verification."""
+        """Those of (a, b) that pass the counts, the other orders' filters and the verification."""
         pairs = written(pairs)
         ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        cells = written(full.join(ids, "class", "left_semi").groupBy("class").agg(F.first("cells").alias("cells")))
+        both = pairs.join(cells.select(F.col("class").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("class").alias("b"), F.col("cells").alias("y")), "b")
+
+        def near(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for c in "xy")
+                    good = np.abs(x - y).sum(1) * (100 + percent) <= (x + y).sum(1) * (100 - percent)
+                    good |= (np.maximum(x, y) == 65535).any(1)
+                    yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+
+        pairs = written(both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
+        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
         need = ids.join(reps, "class").select(F.col("rep").alias("doc_id"), "class").distinct()
 
         def tokens(batch: pa.RecordBatch) -> dict[str, object]:

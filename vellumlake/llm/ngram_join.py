@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets are one class.  Two sets whose Jaccard similarity is
 at least t share a token among the first n - ceil(t n) + 1 tokens of either, under
-*any* order of all tokens.  The first order (rare tokens first) finds candidates by
+*any* order of all tokens; where the first shared token stands bounds the overlap.  The first order (rare tokens first) finds candidates by
 a join of prefixes.  A candidate goes on only if counts of hashed tokens leave
 enough room for overlap and the pair shares a prefix token under every further
 order too; it is then verified on the whole sets.
@@ -81,7 +81,10 @@ def prefix(s: np.ndarray, rank: np.ndarray, percent: int, order: int) -> np.ndar
     keep = len(s) - -(-percent * len(s) // 100) + 1
     salted = mix(s + U((order + 1) * STEP & 0xFFFFFFFFFFFFFFFF))
     key = (rank[(s % U(CLASSES)).astype(np.int64)].astype(U) << U(56)) | (salted >> U(8))
-    return s if keep >= len(s) else s[np.argpartition(key, keep - 1)[:keep]]
+    if keep < len(s):
+        first = np.argpartition(key, keep - 1)[:keep]
+        s, key = s[first], key[first]
+    return s[np.argsort(key)]
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -106,14 +109,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         k = np.array([len(p) for p in pre])
         if not k.sum():
             return None
-        return {"token": signed(np.concatenate(pre)), "class": signed(np.repeat(key, k)), "n": np.repeat(np.array([len(s) for s in sets], np.int32), k)}
+        pos = np.concatenate([np.arange(len(p), dtype=np.int32) for p in pre])
+        return {"token": signed(np.concatenate(pre)), "class": signed(np.repeat(key, k)), "n": np.repeat(np.array([len(s) for s in sets], np.int32), k), "pos": pos}
 
     # copies of a class meet in the partial aggregation, before the shuffle
-    posts = mapped(d, entries, "token long, class long, n int").groupBy("token", "class").agg(F.max("n").alias("n"))
-    shared = posts.groupBy("token").agg(F.min(F.struct("n", "class")).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    posts = written(posts.join(shared, "token").select("token", "class", "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n")))
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = posts.where((F.col("class") != F.col("hub")) & close("n", "hub_n")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
+    posts = mapped(d, entries, "token long, class long, n int, pos int").groupBy("token", "class").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
+    shared = posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    posts = written(posts.join(shared, "token"))
+    # the hub of a token is the class whose prefix is shared most: an original rather than a changed copy
+    shares = posts.groupBy("class").agg(F.sum("k").alias("shares"))
+    hubs = posts.join(shares, "class").groupBy("token").agg(F.max(F.struct("shares", "class", "n", "pos")).alias("hub"))
+    posts = posts.join(hubs.select("token", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "token")
+
+    def close(n, m, i, j):
+        """May two sets of n and m tokens link, if the first that they share is the i-th and the j-th of them?  What stands before is in one of them only."""
+        n, m, i, j = map(F.col, (n, m, i, j))
+        least = F.ceil((n + m) * percent / F.lit(100 + percent))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (i + j <= n + m - 2 * least)
+
+    star = posts.where((F.col("class") != F.col("hub")) & close("n", "hub_n", "pos", "hub_pos")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that pass the counts, the other orders' filters and the verification."""
@@ -160,10 +174,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     links = linked(star)
     label = components(links)
     mine = posts.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mine = written(mine)
     mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    mine = mine.join(mixed.select("token"), "token").select("token", "class", "n", "component", "hub")
+    mine = mine.join(mixed.select("token"), "token").select("token", "class", "n", "pos", "component", "hub")
     x, y = mine.alias("x"), mine.alias("y")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.class") != F.col("x.hub")) & (F.col("y.class") != F.col("y.hub")) & close("x.n", "y.n"))
+    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.class") != F.col("x.hub")) & (F.col("y.class") != F.col("y.hub")) & close("x.n", "y.n", "x.pos", "y.pos"))
     more = more.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     more = more.join(star, ["a", "b"], "left_anti")
     links = links.union(linked(more))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that a task turns into arrays at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: An odd multiplier, its inverse modulo 2**64, for hashes of byte strings.
 STEP = 0x9E3779B97F4A7C15
 UNSTEP = pow(STEP, -1, 1 << 64)

@@ -37,7 +37,7 @@ class WordCache:
     parts to the splitter, so its letters are looked up without the marks.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -8,8 +8,9 @@ from .license_scan import op8_license_scans
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .secrets import op3_secret_scans
+from .suffix_dedup import op5_suffix_array_dedup
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_secret_scans, op7_toxicity, op8_license_scans, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_secret_scans, op5_suffix_array_dedup, op7_toxicity, op8_license_scans, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {}

@@ -80,12 +80,12 @@ def pieces(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, text: st
             start = stop
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], schema: str, text: str | None = "text") -> DataFrame:
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], schema: str, text: str | None = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """df.mapInArrow with f on slices of bounded size; f returns columns (arrays) of any equal length."""
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text=text) if text else batches:
+        for batch in pieces(batches, limit, text) if text else batches:
             out = f(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names=list(out))

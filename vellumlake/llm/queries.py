@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op9_benchmark_decontamination
 from .fingerprints import op1_document_fingerprints
+from .html_extraction import op6_html_extraction
 from .license_scan import op8_license_scans
 from .lm_scoring import op4_lm_scoring
 from .ngram_join import op2_ngram_jaccard_join
@@ -12,6 +13,6 @@ from .secrets import op3_secret_scans
 from .suffix_dedup import op5_suffix_array_dedup
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_secret_scans, op4_lm_scoring, op5_suffix_array_dedup, op7_toxicity, op8_license_scans, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_secret_scans, op4_lm_scoring, op5_suffix_array_dedup, op6_html_extraction, op7_toxicity, op8_license_scans, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {}

@@ -162,7 +162,7 @@ def trained(docs: DataFrame, labels: DataFrame, limit: int):
     positives = sum(known.values())
     if not 0 < positives < len(known):
         return None
-    ids = spark.createDataFrame(pa.table({"doc_id": pa.array(known, pa.int64()), "toxic": pa.array(known.values(), pa.int32())}).to_pandas())
+    ids = spark.createDataFrame(pa.table({"doc_id": pa.array(list(known), pa.int64()), "toxic": pa.array(list(known.values()), pa.int32())}))
     sample = d.join(F.broadcast(ids), "doc_id")  # at most limit rows
     voters = Voters(*learned_words(sample.select("doc_id", "text", "toxic"), positives, len(known) - positives))
 

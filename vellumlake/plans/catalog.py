@@ -1,6 +1,296 @@
-"""The reference queries over the driver's tables, each with its SQL."""
+"""The reference queries over the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumlake.functions import predicates as P
+from vellumlake.functions import ranking
+from vellumlake.operators import fulltext, links, metadata, vectors
+from vellumlake.sources import adapters as A
+from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+#: BM25 in SQL over rows t(id columns, text); parts are single words.
+def bm25_sql(source: str, ids: str, text: str, words: list[str], any_term: bool, tail: str) -> str:
+    tf = ", ".join(f"CAST(len(list_filter(w, lambda x: x = '{t}')) AS BIGINT) AS f{i}" for i, t in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(len(words)))
+    idf = lambda i: f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5)))"
+    score = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(words)))
+    hit = (" OR " if any_term else " AND ").join(f"f{i} > 0" for i in range(len(words)))
+    return f"""{source}, tok AS (SELECT *, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM t), tf AS (SELECT {ids}, len(w) AS dl, {tf} FROM tok),
+st AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM tf), hits AS (SELECT {ids}, round({score}, 6) AS score FROM tf, st WHERE {hit}) {tail}"""
+
+
+@query(bm25_sql(f"WITH {NOTES}, t AS (SELECT path, type, folder, title, bytes, title||' '||content AS txt FROM notes)", "path, type, folder, title, bytes", "txt", ["that", "with"], False, "SELECT path, title, folder, type, bytes, score FROM hits WHERE type = 'en' ORDER BY score DESC, path LIMIT 20"))
+def q01_full_text_search(spark, sf_dir):
+    found = fulltext.search(A.notes(spark, sf_dir), "that with", where=F.col("type") == "en")
+    return found.select("path", "title", "folder", "type", "bytes", F.round("score", 6).alias("score"))
+
+
+@query(bm25_sql(f"WITH {NOTES}, t AS (SELECT path, folder, title||' '||content AS txt FROM notes)", "path, folder", "txt", ["idiot", "benchmark", "mit"], True, "SELECT path, score FROM hits WHERE lower(path) LIKE 'src1/%' ORDER BY score DESC, path LIMIT 20"))
+def q01_any_term_in_folder(spark, sf_dir):
+    found = fulltext.search(A.notes(spark, sf_dir), "about the idiot OR benchmark, MIT", where=P.in_folder(F.col("path"), "SRC1/"), any_term=True)
+    return found.select("path", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {NOTES}, hit AS (SELECT path, len(regexp_extract_all(' '||array_to_string(list_filter(string_split_regex(lower(title||' '||content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), '  ')||' ', ' mit  license ')) AS n FROM notes) SELECT path, CAST(n AS INTEGER) AS n_places FROM hit WHERE n > 0""")
+def q01_phrase_places(spark, sf_dir):
+    n = fulltext.frequency(fulltext.tokens(F.concat_ws(" ", "title", "content")), ["mit", "license"])
+    return A.notes(spark, sf_dir).select("path", n.alias("n_places")).where("n_places > 0")
+
+
+def _vector(spark, sf_dir, vec_id: int = 7) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
+
+
+VECTORS = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7), v AS (SELECT vec_id, vec_id // 3 AS note, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query(f"WITH {VECTORS}, d AS (SELECT vec_id, note, round(list_distance(e, q), 6) AS distance FROM v, q WHERE label < 3 ORDER BY distance, vec_id LIMIT 30), b AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY distance, vec_id) AS rn FROM d) SELECT vec_id, note, distance FROM b WHERE rn = 1")
+def q03_vector_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 3).alias("note"), "label", "embedding")
+    hits = vectors.nearest(rows, "embedding", _vector(spark, sf_dir), 30, ("vec_id",), where=F.col("label") < 3)
+    return vectors.best_of_each(hits, "note", ("vec_id",)).select("vec_id", "note", "distance")
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, round(1 - list_cosine_similarity(e, q), 6) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 20")
+def q04_cosine_search(spark, sf_dir):
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), "embedding", _vector(spark, sf_dir), 20, ("vec_id",), "cosine").select("vec_id", "distance")
+
+
+@query(bm25_sql("WITH t AS (SELECT conv_id, turn, role, text FROM conversations)", "conv_id, turn, role", "text", ["the", "of"], False, "SELECT conv_id, turn, role, score FROM hits ORDER BY score DESC, conv_id, turn LIMIT 20"))
+def q05_file_content_search(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return fulltext.bm25(c, F.col("text"), [["the"], ["of"]]).select("conv_id", "turn", "role", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(20)
+
+
+def _candidates(spark, sf_dir):
+    """Text hits and nearest vectors of documents, fused."""
+    text = fulltext.search(A.notes(spark, sf_dir), "that with").select("doc_id", F.round("score", 6).alias("s"))
+    near = vectors.nearest(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "embedding", _vector(spark, sf_dir), 20, ("doc_id",))
+    return text, near, vectors.fused([text, near], "doc_id", [[F.desc("s"), F.col("doc_id")], [F.col("distance"), F.col("doc_id")]])
+
+
+_FUSED = bm25_sql(f"WITH {NOTES}, {VECTORS}, t AS (SELECT doc_id, path, title||' '||content AS txt FROM notes)", "doc_id, path", "txt", ["that", "with"], False, """, txt AS (SELECT doc_id, score FROM hits ORDER BY score DESC, path LIMIT 20),
+near AS (SELECT vec_id AS doc_id, round(list_distance(e, q), 6) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 20),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM txt UNION ALL SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) FROM near),
+fused AS (SELECT doc_id, sum(1.0 / (60 + r) + CASE WHEN r = 1 THEN 0.05 WHEN r <= 3 THEN 0.02 ELSE 0 END) AS f FROM ranks GROUP BY doc_id)""")
+
+
+@query(_FUSED + " SELECT doc_id, round(f, 6) AS score FROM fused")
+def q02_rank_fusion(spark, sf_dir):
+    return _candidates(spark, sf_dir)[2].select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_FUSED + """, top AS (SELECT f.doc_id, round(f, 6) AS f, coalesce(1 - n.distance, -1) AS p FROM fused f LEFT JOIN near n ON n.doc_id = f.doc_id ORDER BY round(f, 6) DESC, f.doc_id LIMIT 20),
+nrm AS (SELECT doc_id, row_number() OVER (ORDER BY f DESC, doc_id) AS r, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS a, (p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER ()) AS b FROM top),
+bl AS (SELECT doc_id, CASE WHEN r <= 3 THEN 0.75 WHEN r <= 10 THEN 0.5 ELSE 0.4 END AS w, a, b FROM nrm)
+SELECT doc_id, round(CAST(w * a + (1 - w) * b AS DOUBLE), 3) AS score FROM bl""")
+def q02_hybrid_search(spark, sf_dir):
+    _, near, fused = _candidates(spark, sf_dir)
+    top = fused.select("doc_id", F.round("score", 6).alias("f")).join(near.select("doc_id", "distance"), "doc_id", "left").select("doc_id", "f", F.coalesce(1 - F.col("distance"), F.lit(-1.0)).alias("p")).orderBy(F.desc("f"), "doc_id").limit(20)
+    return vectors.reranked(top, "f", "p", "doc_id").select("doc_id", F.round("score", 3).alias("score"))
+
+
+@query(bm25_sql(f"WITH {ENTRIES}, t AS (SELECT * FROM entries)", "file, section, entry_date, entry_index, entry_key", "entry_text", ["the", "and"], False, "SELECT file, section, entry_date, entry_index, score FROM hits ORDER BY score DESC, entry_key, entry_index LIMIT 50"))
+def q06_memory_recall(spark, sf_dir):
+    hits = fulltext.bm25(A.entries(spark, sf_dir), F.col("entry_text"), [["the"], ["and"]])
+    return metadata.recall(hits).select("file", "section", "entry_date", "entry_index", F.round("score", 6).alias("score"))
+
+
+LISTED = "path, title, mtime_ms"
+
+
+@query(f"WITH {NOTES} SELECT {LISTED} FROM notes WHERE list_contains(tags, 'q') OR len(list_filter(tags, lambda x: lower(x) LIKE 'q/%')) > 0 ORDER BY mtime_ms DESC, path LIMIT 20")
+def q07_search_by_tag(spark, sf_dir):
+    return metadata.by_tag(A.notes(spark, sf_dir), "Q").select("path", "title", "mtime_ms")
+
+
+@query(f"WITH {NOTES} SELECT {LISTED} FROM notes WHERE list_contains(tags, 'flag/toxic') ORDER BY mtime_ms DESC, path LIMIT 20")
+def q07_search_by_exact_tag(spark, sf_dir):
+    return metadata.by_tag(A.notes(spark, sf_dir), "flag/toxic", exact=True).select("path", "title", "mtime_ms")
+
+
+@query(f"WITH {NOTES} SELECT {LISTED} FROM notes WHERE lower(path) LIKE 'src2/en/%' AND lower(path) NOT LIKE 'src2/en/%/%' ORDER BY mtime_ms DESC, path LIMIT 20")
+def q08_search_by_folder(spark, sf_dir):
+    return metadata.by_folder(A.notes(spark, sf_dir), "SRC2/en/", recursive=False).select("path", "title", "mtime_ms")
+
+
+@query(f"WITH {TASKS} SELECT note_path, line, status, priority, due, scheduled FROM tasks WHERE status IN ('todo', 'in_progress') AND due < '1997-01-01' AND (priority IN ('high') OR priority IS NULL) AND lower(note_path) LIKE 'list/%' ORDER BY due ASC NULLS LAST, scheduled ASC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 50")
+def q09_list_tasks(spark, sf_dir):
+    _, page = metadata.task_list(A.tasks(spark, sf_dir), dates={"due": {"before": "1997-01-01"}}, priority=["high", "none"], folder="list")
+    return page.select("note_path", "line", "status", "priority", "due", "scheduled")
+
+
+@query(f"WITH {TASKS} SELECT note_path, line, priority, due FROM tasks WHERE len(list_filter(tags, lambda x: x = 'prio' OR lower(x) LIKE 'prio/%')) > 0 AND heading IN ('lane 1', 'lane 4') ORDER BY CASE priority WHEN 'highest' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 4 WHEN 'lowest' THEN 5 ELSE 3 END, due ASC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 40")
+def q09_tasks_by_priority(spark, sf_dir):
+    _, page = metadata.task_list(A.tasks(spark, sf_dir), status=["all"], tag="prio", heading=["lane 1", "lane 4"], limit=40, sort_by="priority")
+    return page.select("note_path", "line", "priority", "due")
+
+
+@query(f"WITH {TASKS} SELECT count(*) AS total FROM tasks WHERE status = 'done' AND done > '1995-06-30' AND scheduled = '1996-03-01' OR (status = 'done' AND done > '1995-06-30' AND scheduled = '1996-03-01')")
+def q09_count_tasks(spark, sf_dir):
+    return metadata.task_list(A.tasks(spark, sf_dir), status=["done"], dates={"done": {"after": "1995-06-30"}, "scheduled": {"on": "1996-03-01"}})[0]
+
+
+@query(f"WITH {NOTES}, x AS (SELECT DISTINCT path, unnest(tags) AS tag FROM notes) SELECT tag, count(*) AS n_notes FROM x GROUP BY tag")
+def q10_list_all_tags(spark, sf_dir):
+    return metadata.all_tags(A.notes(spark, sf_dir))
+
+
+@query(f"WITH {NOTES} SELECT path, created, mtime_ms FROM notes ORDER BY mtime_ms DESC, path LIMIT 20")
+def q11_recent_notes(spark, sf_dir):
+    return metadata.recent(A.notes(spark, sf_dir)).select("path", "created", "mtime_ms")
+
+
+@query(f"WITH {NOTES} SELECT path, created FROM notes ORDER BY created DESC NULLS LAST, path LIMIT 30")
+def q11_recently_created(spark, sf_dir):
+    return metadata.recent(A.notes(spark, sf_dir), "created", 30).select("path", "created")
+
+
+@query(f"""WITH {NOTES}, {PROPERTIES}, p2 AS (SELECT path, p.k AS key, p.v AS v FROM props WHERE p.v IS NOT NULL), c AS (SELECT key, count(DISTINCT path) AS n_notes FROM p2 GROUP BY key),
+vals AS (SELECT key, v, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, v) AS r FROM p2 GROUP BY key, v), s AS (SELECT key, string_agg(v, '|' ORDER BY r) AS samples FROM vals WHERE r <= 3 GROUP BY key) SELECT c.key, n_notes, samples FROM c LEFT JOIN s ON c.key = s.key""")
+def q12_property_keys(spark, sf_dir):
+    return metadata.property_keys(A.notes(spark, sf_dir)).select("key", "n_notes", F.array_join("samples", "|").alias("samples"))
+
+
+@query(f"WITH {NOTES}, {PROPERTIES} SELECT p.v AS text, count(*) AS n FROM props WHERE p.k = 'toxic' AND p.v IS NOT NULL AND lower(path) LIKE 'src3/%' GROUP BY p.v")
+def q13_property_values(spark, sf_dir):
+    return metadata.property_values(A.notes(spark, sf_dir), "toxic", folder="src3")
+
+
+@query(f"WITH {NOTES} SELECT {LISTED} FROM notes WHERE has_properties AND toxic = 1 ORDER BY mtime_ms DESC, path LIMIT 20")
+def q14_search_by_property(spark, sf_dir):
+    return metadata.by_property(A.notes(spark, sf_dir), "toxic", "1").select("path", "title", "mtime_ms")
+
+
+@query(f"WITH {NOTES} SELECT path FROM notes WHERE has_properties AND quality = 1 AND toxic = 0 AND created IS NOT NULL AND substr(created, 1, 10) > '2024-03-01' AND substr(created, 1, 10) < '2024-09-01'")
+def q14_typed_filters(spark, sf_dir):
+    n, p = A.notes(spark, sf_dir), F.col("properties")
+    return n.where(P.property_equals(p, "quality", 1) & P.property_equals(p, "toxic", False) & P.day_bounds(F.substr("created", F.lit(1), F.lit(10)), {"after": "2024-03-01", "before": "2024-09-01"})).select("path")
+
+
+def _links(spark, sf_dir):
+    return links.resolved(A.references(spark, sf_dir), A.notes(spark, sf_dir))
+
+
+GRAPH = f"WITH {NOTES}, {REFERENCES}"
+HUB = "(SELECT target FROM links GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+
+
+@query(f"{GRAPH} SELECT source, target FROM links")
+def q15_resolved_links(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@query(f"{GRAPH} SELECT n.path, n.title, n.bytes FROM links l JOIN notes n ON n.path = l.source WHERE l.target = (SELECT path FROM notes WHERE doc_id = 12)")
+def q15_backlinks(spark, sf_dir):
+    n = A.notes(spark, sf_dir)
+    path = n.where("doc_id = 12").first()["path"]
+    return links.backlinks(_links(spark, sf_dir), n, path)
+
+
+@query(f"{GRAPH} SELECT l.target AS path, n.title, n.path IS NOT NULL AS exists, CASE WHEN n.path IS NOT NULL THEN 'note' END AS kind, n.bytes, n.path IS NULL AND starts_with(l.target, 'missing/') AS forward_ref FROM links l LEFT JOIN notes n ON n.path = l.target WHERE l.source = (SELECT path FROM notes WHERE doc_id = 171)")
+def q16_outgoing_links(spark, sf_dir):
+    n = A.notes(spark, sf_dir)
+    return links.outgoing(_links(spark, sf_dir), n, n.where("doc_id = 171").first()["path"], "missing")
+
+
+@query(f"{GRAPH} SELECT path, title, mtime_ms FROM notes n WHERE lower(path) NOT LIKE 'src1/%' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.target = n.path AND l.source <> l.target) ORDER BY mtime_ms DESC, path LIMIT 50")
+def q17_orphans(spark, sf_dir):
+    return links.orphans(_links(spark, sf_dir), A.notes(spark, sf_dir), ["src1"])
+
+
+@query(f"{GRAPH}, b AS (SELECT DISTINCT target FROM links WHERE target NOT IN (SELECT path FROM notes)) SELECT count(*) FILTER (NOT starts_with(target, 'missing/')) AS n_broken, count(*) FILTER (starts_with(target, 'missing/')) AS n_excluded FROM b")
+def q18_broken_links(spark, sf_dir):
+    return links.broken(_links(spark, sf_dir), A.notes(spark, sf_dir), "missing/")
+
+
+@query(f"WITH {NOTES} SELECT {LISTED} FROM notes WHERE mtime_ms >= epoch_ms(TIMESTAMP '2024-02-01') AND mtime_ms < epoch_ms(TIMESTAMP '2024-02-02') ORDER BY mtime_ms DESC, path LIMIT 50")
+def q19_modified_on_date(spark, sf_dir):
+    return metadata.modified_on(A.notes(spark, sf_dir), "2024-02-01").select("path", "title", "mtime_ms")
+
+
+@query(f"WITH {NOTES} SELECT count(*) AS n_notes, count(*) FILTER (len(tags) = 0) AS n_untagged, count(*) FILTER (NOT has_properties) AS n_without_properties, CAST(sum(bytes) AS BIGINT) AS bytes FROM notes")
+def q20_vault_stats(spark, sf_dir):
+    return metadata.stats(A.notes(spark, sf_dir))
+
+
+@query(f"WITH {ENTRIES} SELECT file, sha256(string_agg(entry_date||': '||entry_text, chr(10) ORDER BY entry_key, entry_index)) AS digest FROM entries WHERE section IN ('1', '2', '3', '5', '8') GROUP BY file")
+def q21_memory_text(spark, sf_dir):
+    e = A.entries(spark, sf_dir).where(F.col("section").isin("1", "2", "3", "5", "8"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_key", "entry_index", F.concat_ws(": ", "entry_date", "entry_text").alias("line")))), lambda s: s["line"])
+    return e.groupBy("file").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
+@query(f"WITH {ENTRIES} SELECT file, section, count(*) AS n_entries, min(entry_date) AS first_date, max(entry_date) AS last_date FROM entries GROUP BY file, section")
+def q22_memory_files(spark, sf_dir):
+    return metadata.memory_files(A.entries(spark, sf_dir))
+
+
+@query(f"WITH {NOTES} SELECT split_part(path, '/', 1) AS folder, count(*) AS n_notes FROM notes GROUP BY 1")
+def q23_folder_counts(spark, sf_dir):
+    return metadata.folder_counts(A.notes(spark, sf_dir))
+
+
+@query(f"WITH {NOTES}, {PROPERTIES}, c AS (SELECT p.k AS key, count(DISTINCT path) AS n_notes FROM props WHERE p.v IS NOT NULL GROUP BY 1) SELECT key, n_notes, round(n_notes / (SELECT count(*) FROM notes), 6) AS share, n_notes / (SELECT count(*) FROM notes) < 0.05 AS is_low FROM c")
+def q23_property_adoption(spark, sf_dir):
+    return metadata.adoption(A.notes(spark, sf_dir))
+
+
+@query(f"WITH {TASKS} SELECT CASE WHEN due < '1996-01-01' THEN 'overdue' WHEN due = '1996-01-01' THEN 'today' WHEN due = '1996-01-02' THEN 'tomorrow' END AS bucket, count(*) AS n_tasks FROM tasks WHERE status IN ('todo', 'in_progress') AND due <= '1996-01-02' GROUP BY 1")
+def q24_daily_review(spark, sf_dir):
+    t = A.tasks(spark, sf_dir).where(F.col("status").isin(P.statuses(["not_done"])) & (F.col("due") <= "1996-01-02"))
+    bucket = F.when(F.col("due") < "1996-01-01", "overdue").when(F.col("due") == "1996-01-01", "today").otherwise("tomorrow")
+    return t.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_tasks"))
+
+
+@query("WITH a AS (SELECT role AS file, sha256(text) AS hash, turn AS i, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM conversations WHERE conv_id % 3 <> 0), b AS (SELECT role AS file, sha256(text) AS hash, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM conversations WHERE conv_id % 3 <> 1) SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NOT NULL AND b.file IS NOT NULL THEN 'keep' WHEN b.file IS NOT NULL THEN 'insert' ELSE 'delete' END AS action, count(*) AS n FROM a FULL JOIN b ON a.file = b.file AND a.hash = b.hash AND a.place = b.place GROUP BY 1, 2")
+def q25_reconcile_entries(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("file"), F.sha2("text", 256).alias("hash"), F.col("turn").alias("entry_index"))
+    return metadata.reconciled(c.where("conv_id % 3 <> 0"), c.where("conv_id % 3 <> 1")).groupBy("file", "action").agg(F.count("*").alias("n"))
+
+
+@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT target, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM h GROUP BY target")
+def s1_link_extraction(spark, sf_dir):
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
+    return each.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def r7_hash_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("WITH k AS (SELECT unnest(json_keys(props)) AS key FROM events) SELECT key, count(*) AS n FROM k GROUP BY key")
+def a2_event_property_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
+    return e.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id AS path, event_id AS version, event_type AS op FROM l WHERE r = 1 AND event_type <> 'delete'")
+def r2_latest_per_path(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("version"), F.col("event_type").alias("op"))
+    return e.groupBy("path").agg(F.max(F.struct("version", "op")).alias("last")).select("path", "last.version", "last.op").where("op <> 'delete'")
+
+
+@query("SELECT lang, levenshtein(lang, 'den') AS distance FROM (SELECT DISTINCT lang FROM documents)")
+def x48_near_misses(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("lang").distinct().select("lang", F.levenshtein("lang", F.lit("den")).cast("long").alias("distance"))

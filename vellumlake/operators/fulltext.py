@@ -50,8 +50,13 @@ def frequency(words: Column, phrase: list[str]) -> Column:
     """How often the words of phrase follow each other."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda t: t == phrase[0]))
-    last = F.size(words) - (len(phrase) - 1)
-    return F.size(F.filter(F.transform(words, lambda t, i: F.when(i < last, reduce(lambda a, b: a & b, [F.get(words, i + j) == w for j, w in enumerate(phrase)]))), lambda hit: hit))
+
+    def places(every: Column) -> Column:
+        same = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(every, i + j) == w, F.lit(False)) for j, w in enumerate(phrase)])
+        return F.size(F.filter(F.transform(every, lambda t, i: same(i)), lambda hit: hit))
+
+    # an array of one array, so that words is computed once for all its places
+    return F.element_at(F.transform(F.array(words), places), 1)
 
 
 def bm25(rows: DataFrame, text: Column, parts: list[list[str]], any_term: bool = False, where: Column | None = None) -> DataFrame:

@@ -52,8 +52,8 @@ def q01_any_term_in_folder(spark, sf_dir):
 
 @query(f"""WITH {NOTES}, hit AS (SELECT path, len(regexp_extract_all(' '||array_to_string(list_filter(string_split_regex(lower(title||' '||content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), '  ')||' ', ' mit  license ')) AS n FROM notes) SELECT path, CAST(n AS INTEGER) AS n_places FROM hit WHERE n > 0""")
 def q01_phrase_places(spark, sf_dir):
-    n = fulltext.frequency(fulltext.tokens(F.concat_ws(" ", "title", "content")), ["mit", "license"])
-    return A.notes(spark, sf_dir).select("path", n.alias("n_places")).where("n_places > 0")
+    n = A.notes(spark, sf_dir).select("path", fulltext.tokens(F.concat_ws(" ", "title", "content")).alias("words"))
+    return n.select("path", fulltext.frequency(F.col("words"), ["mit", "license"]).alias("n_places")).where("n_places > 0")
 
 
 def _vector(spark, sf_dir, vec_id: int = 7) -> list[float]:

@@ -32,12 +32,17 @@ def features(text: Column) -> Column:
     """An array of (paragraph or null, hash of a three-word run or null) of one text; a paragraph is a line that is not blank."""
     paragraphs = F.filter(F.split(text, "\n"), lambda p: F.length(F.trim(p)) > 0)
 
+    none = F.lit(None)
+
+    def runs(words: Column) -> Column:
+        whole = F.array(F.xxhash64(words))
+        three = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+        return F.transform(F.when(F.size(words) < 3, whole).otherwise(three), lambda h: F.struct(none.cast("string").alias("p"), h.alias("h")))
+
     def of(p: Column) -> Column:
         words = F.transform(F.filter(F.split(p, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-        short = F.size(words) < 3
-        runs = F.when(short, F.array(F.xxhash64(words))).otherwise(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
-        none = F.lit(None)
-        return F.concat(F.array(F.struct(p.alias("p"), none.cast("long").alias("h"))), F.transform(runs, lambda h: F.struct(none.cast("string").alias("p"), h.alias("h"))))
+        # an array of one array, so that the words are computed once for all their runs
+        return F.concat(F.array(F.struct(p.alias("p"), none.cast("long").alias("h"))), F.flatten(F.transform(F.array(words), runs)))
 
     return F.flatten(F.transform(paragraphs, of))
 

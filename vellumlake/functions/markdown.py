@@ -102,8 +102,10 @@ def yaml_mapping(lines: list[str]) -> dict:
                     item, i = block(i + 1, here + 1)
                     out.append(item)
                 continue
+            if isinstance(out, list):
+                break
             m = re.match(r"""("(?:[^"\\]|\\.)*"|'[^']*'|[^:#]+?)\s*:(?:\s+(.*)|)$""", body)
-            if not m or isinstance(out, list):
+            if not m:
                 raise ValueError(line)
             out = {} if out is None else out
             key, rest = str(yaml_scalar(m[1])), (m[2] or "").strip()

@@ -63,8 +63,7 @@ def _instant(text: str) -> bool:
     return True
 
 
-@F.pandas_udf(PARSED)
-def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def parse_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for paths, texts in batches:
         rows = []
         for path, text in zip(paths, texts, strict=True):
@@ -87,7 +86,7 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def note_rows(raw: DataFrame) -> DataFrame:
     """path, mtime_ms, bytes and the parsed fields of (path, mtime_ms, bytes, text)."""
-    return raw.withColumn("note", parsed("path", "text")).select("path", "mtime_ms", "bytes", "note.*").withColumn("folder", F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(""))
+    return raw.withColumn("note", F.pandas_udf(parse_batches, PARSED)("path", "text")).select("path", "mtime_ms", "bytes", "note.*").withColumn("folder", F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(""))
 
 
 def vault(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -138,12 +138,12 @@ def dedup_brute(pairs, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("together", [96, 1])
-def test_suffix_dedup(spark, together):
+@pytest.mark.parametrize(("together", "one_task"), [(96, 8192), (1, 8192), (1, 1)])
+def test_suffix_dedup(spark, together, one_task):
     passage, other = prose(1, 60), prose(2, 40)
     pairs = [p for p in edge_cases() if p[0] is not None] + [(20, "ab " * 200), (21, "é" * 300), (22, passage), (23, passage)]
     pairs += [(30 + i, prose(100 + i, 30) + " " + passage[i * 3 : 250 + i * 5] + " " + prose(200 + i, 20 + i) + other) for i in range(25)] + [(60 + i, changed(passage + other, i, 2)) for i in range(15)] + [(90, passage)] * 2
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(frame(spark, [*pairs, (None, "x")]), 120, together).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(frame(spark, [*pairs, (None, "x")]), 120, together, one_task).collect())
     assert got == dedup_brute(pairs, 120)
 
 

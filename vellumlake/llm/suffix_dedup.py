@@ -8,8 +8,9 @@ windows of an anchor form its region; regions that are equal as a whole count ea
 other, and only different regions of an anchor are compared: their suffixes at the
 anchor are merge-sorted, a comparison finding the common extension by binary search
 over prefix polynomial hashes, and the same to the left; the bytes themselves then
-confirm what was found.  Anchors with very many different regions, which near copies
-make, deal their windows out by hash instead, to any number of tasks.
+confirm what was found.  Anchors with many different regions, which near copies make,
+compare window hashes instead of pairs, and those with very many deal their windows
+out by hash, to any number of tasks.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import STEP, UNSTEP, U, documents, importable, joined, mapped, mix, pieces, powers, signed, written
 
 ANCHOR = 48
-#: Different regions of an anchor that one task compares pair by pair; with more, windows are dealt by hash.
-TOGETHER = 96
+#: Different regions of an anchor that are compared pair by pair, and that one task takes; with more, windows are dealt by hash.
+TOGETHER, ONE_TASK = 96, 8192
 PLACE = 30
 
 
@@ -125,7 +126,38 @@ def suffix_order(data: np.ndarray, sums: np.ndarray, up: np.ndarray, at: np.ndar
     return order
 
 
-def shared_windows(group: np.ndarray, blobs: list[bytes], back: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+def window_hashes(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows: the region, the place in it, and two hashes."""
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    sums, (up, down) = prefix_sums(data), powers(len(data) + 1)
+    other = np.zeros(len(data) + 1, U)
+    np.cumsum(mix(data.astype(U) + U(9)) * up[: len(data)], out=other[1:])
+    sizes = np.array([len(x) for x in blobs], np.int64)
+    counts = sizes - length + 1
+    region = np.repeat(np.arange(len(blobs)), counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    s = (np.cumsum(sizes) - sizes)[region] + place
+    return region, place, *(mix((x[s + length] - x[s]) * down[s]) for x in (sums, other))
+
+
+def equal_windows(blobs: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """As shared_windows(), of one group, by sorting the hashes of all windows."""
+    region, place, one, two = window_hashes(blobs, length)
+    _, first, at, n = np.unique(one ^ mix(two + U(3)), return_index=True, return_inverse=True, return_counts=True)
+    hit = n[at] > 1
+    twin = first[at]
+    edge = np.flatnonzero(hit & ~(np.append(False, hit)[:-1] & (np.append(-1, region)[:-1] == region)))
+    stop = np.flatnonzero(hit & ~(np.append(hit, False)[1:] & (np.append(region, -1)[1:] == region)))
+    out = []
+    for a, b in zip(edge.tolist(), stop.tolist(), strict=True):
+        same = all(blobs[region[i]][place[i] : place[i] + length] == blobs[region[twin[i]]][place[twin[i]] : place[twin[i]] + length] for i in (a, b))
+        if not same:
+            raise ArithmeticError("two hashes of 64 bits collide")
+        out.append((int(region[a]), int(place[a]), int(place[b]) + length))
+    return out
+
+
+def shared_windows(group: np.ndarray, blobs: list[bytes], back: np.ndarray, length: int, together: int = TOGETHER) -> list[tuple[int, int, int]]:
     """(region, first, end) of the bytes of each region whose windows another region of its group has too; group is sorted."""
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], np.int64)
@@ -135,6 +167,10 @@ def shared_windows(group: np.ndarray, blobs: list[bytes], back: np.ndarray, leng
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     counts = np.diff(np.append(starts, len(group)))
     out = []
+    for a, c in zip(starts.tolist(), counts.tolist(), strict=True):
+        if c > together:
+            out += [(a + r, x, y) for r, x, y in equal_windows(blobs[a : a + c], length)]
+    counts = np.where(counts > together, 1, counts)
     for size in {1 << int(c - 1).bit_length() for c in counts.tolist() if c > 1}:
         some = np.flatnonzero((counts > 1) & (counts <= size) & (counts > size // 2))
         slots = np.arange(size)[None, :]
@@ -163,10 +199,11 @@ def shared_windows(group: np.ndarray, blobs: list[bytes], back: np.ndarray, leng
     return out
 
 
-def repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, spans): the byte ranges [start, end) of each text that strings of length bytes which start more than once cover.
 
-    Rows that repeat a doc_id are texts of their own, equal rows included.
+    Rows that repeat a doc_id are texts of their own, equal rows included.  The
+    second result is (doc_id, text_hash, z): all texts, compressed.
     """
     importable(docs.sparkSession)
     d = documents(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -217,7 +254,7 @@ def repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> Dat
         held: list[tuple] = []
 
         def flush(rows: list[tuple]):
-            hits = shared_windows(np.array([r[0] for r in rows]), [r[5] for r in rows], np.array([r[4] for r in rows], np.int64), length)
+            hits = shared_windows(np.array([r[0] for r in rows]), [r[5] for r in rows], np.array([r[4] for r in rows], np.int64), length, together)
             hits = [(rows[p], a, b) for p, a, b in sorted(set(hits)) if rows[p][6] == 1]
             return pa.RecordBatch.from_arrays([pa.array([f(r, a, b) for r, a, b in hits], pa.int64()) for f in (lambda r, a, b: r[1], lambda r, a, b: r[2], lambda r, a, b: r[3] + a, lambda r, a, b: r[3] + b)], names=["doc_id", "text_hash", "start", "end"])
 
@@ -233,37 +270,27 @@ def repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> Dat
             yield flush(held)
 
     spans = "doc_id long, text_hash long, start long, end long"
-    part = blobs.where(F.col("m") <= together).repartition("key").sortWithinPartitions("key").mapInArrow(compare, spans)
+    part = blobs.where(F.col("m") <= one_task).repartition("key").sortWithinPartitions("key").mapInArrow(compare, spans)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256)
-                texts = rows.column("bytes").to_pylist()
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                sums, (up, down) = prefix_sums(data), powers(len(data) + 1)
-                other = np.zeros(len(data) + 1, U)
-                np.cumsum(mix(data.astype(U) + U(9)) * up[: len(data)], out=other[1:])
-                counts = np.array([len(x) - length + 1 for x in texts])
-                begin = np.cumsum([len(x) for x in texts]) - [len(x) for x in texts]
-                row = np.repeat(np.arange(len(texts)), counts)
-                off = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                s = begin[row] + off
-                hashes = [signed(mix((x[s + length] - x[s]) * down[s])) for x in (sums, other)]
+                row, off, one, two = window_hashes(rows.column("bytes").to_pylist(), length)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), rows.column("doc_id").take(take), rows.column("text_hash").take(take), pa.array(rows.column("start").to_numpy()[row] + off), rows.column("n").take(take)], names=["w1", "w2", "doc_id", "text_hash", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(one)), pa.array(signed(two)), rows.column("doc_id").take(take), rows.column("text_hash").take(take), pa.array(rows.column("start").to_numpy()[row] + off), rows.column("n").take(take)], names=["w1", "w2", "doc_id", "text_hash", "start", "n"])
 
     # equal windows of different regions of one anchor, each region once
-    dealt = blobs.where(F.col("m") > together).select("doc_id", "text_hash", "start", "n", "bytes").mapInArrow(windows, "w1 long, w2 long, doc_id long, text_hash long, start long, n long")
+    dealt = blobs.where(F.col("m") > one_task).select("doc_id", "text_hash", "start", "n", "bytes").mapInArrow(windows, "w1 long, w2 long, doc_id long, text_hash long, start long, n long")
     twice = dealt.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
     runs = dealt.where("n = 1").join(twice, ["w1", "w2"]).select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
     every = whole.union(part).union(runs)
     return every.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")), small
 
 
-def deduplicated(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 400, together: int = TOGETHER, one_task: int = ONE_TASK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every row's text without the bytes that repeats() finds, as UTF-8 bytes (a character may lose a part)."""
-    spans, small = repeats(docs, length, together)
+    spans, small = repeats(docs, length, together, one_task)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

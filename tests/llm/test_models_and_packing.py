@@ -90,6 +90,8 @@ def test_decontamination(spark):
     assert all(got[k].distance == k[0] % 10 or got[k].distance < 4 for k in got)
     assert all((1000 + 10 * i, i) in got and got[1000 + 10 * i, i].start_word == 80 for i in range(30))
     assert decontamination.contaminated(frame(spark, []), bench).count() == 0
+    word = spark.createDataFrame([(1, "End!"), (2, "漢字 🔺")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, edge_cases()), word).collect()} == {(7, 1), (7, 2)}
     assert decontamination.contaminated(frame(spark, pairs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that a task turns into arrays at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 2_000_000
 #: An odd multiplier, its inverse modulo 2**64, for hashes of byte strings.
 STEP = 0x9E3779B97F4A7C15
 UNSTEP = pow(STEP, -1, 1 << 64)
@@ -59,6 +59,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """docs whose doc_id is in ids (or is not, with left_anti); the ids are counted, and broadcast only if they are few."""
+    ids = written(ids.where("doc_id is not null").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", how).select([f"`{c}`" for c in docs.columns])
+
+
 def buckets(spark: SparkSession) -> int:
     """Parts that a shuffle by hash is dealt into: the session's number, which is set for the input's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

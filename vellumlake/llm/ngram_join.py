@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, U, documents, importable, mapped, mix, pieces, settled, shingles, signed, written
+from .common import STEP, U, documents, importable, mapped, mix, only, pieces, settled, shingles, signed, written
 from .components import components
 
 #: Counters for the frequency classes that the orders begin with; a fixed size, whatever the input.
@@ -103,19 +103,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     rank = token_classes(d, n)
 
-    def entries(batch: pa.RecordBatch) -> dict[str, object] | None:
-        sets, key = _sets(batch.column("text"), n)
-        pre = [prefix(s, rank, percent, 0) if len(s) else s for s in sets]
-        k = np.array([len(p) for p in pre])
-        if not k.sum():
-            return None
-        pos = np.concatenate([np.arange(len(p), dtype=np.int32) for p in pre])
-        return {"token": signed(np.concatenate(pre)), "class": signed(np.repeat(key, k)), "n": np.repeat(np.array([len(s) for s in sets], np.int32), k), "pos": pos}
-
-    # copies of a class meet in the partial aggregation, before the shuffle
-    posts = mapped(d, entries, "token long, class long, n int, pos int").groupBy("token", "class").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    posts = written(posts.join(shared, "token"))
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies go on once from each task
+        for batch in pieces(batches):
+            sets, key = _sets(batch.column("text"), n)
+            fresh = [i for i, k in enumerate(key.tolist()) if len(sets[i]) and k not in seen and not seen.add(k)]
+            if len(seen) > 2_000_000:
+                seen.clear()
+            if fresh:
+                pre = [prefix(sets[i], rank, percent, 0) for i in fresh]
+                k = np.array([len(p) for p in pre])
+                columns = [signed(np.concatenate(pre)), signed(np.repeat(key[fresh], k)), np.repeat(np.array([len(sets[i]) for i in fresh], np.int32), k), np.concatenate([np.arange(x, dtype=np.int32) for x in k])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "class", "n", "pos"])
+
+    raw = d.mapInArrow(entries, "token long, class long, n int, pos int")
+    # tokens of two classes at least; most tokens are of one and go no further
+    shared = raw.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
+    posts = written(raw.join(shared, "token", "left_semi").groupBy("token", "class").agg(F.max("n").alias("n"), F.max("pos").alias("pos")))
+    posts = posts.join(posts.groupBy("token").agg(F.count("*").alias("k")), "token")
     # the hub of a token is the class whose prefix is shared most: an original rather than a changed copy
     shares = posts.groupBy("class").agg(F.sum("k").alias("shares"))
     hubs = posts.join(shares, "class").groupBy("token").agg(F.max(F.struct("shares", "class", "n", "pos")).alias("hub"))
@@ -152,7 +157,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             sets, key = _sets(batch.column("text"), n)
             return {"class": signed(key), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-        sets = mapped(d.join(need.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), tokens, "class long, tokens binary")
+        sets = mapped(only(d.select("doc_id", "text"), need.select("doc_id")), tokens, "class long, tokens binary")
         sets = sets.join(ids, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
         sets = written(sets)
         both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
@@ -195,9 +200,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document left of each component, the one with the smallest doc_id; rows without a doc_id stay."""
-    gone = jaccard_components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = jaccard_components(docs, n, percent).where("doc_id <> component_id").select("doc_id")
+    return only(docs, gone, "left_anti")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90).drop("n_links")
+
+
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i]||' '||ws[i + 1]||' '||ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS u, doc_id AS m FROM n UNION SELECT e.u, r.m FROM e JOIN r ON e.v = r.u)
+SELECT n.doc_id, n.n AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n"""

@@ -7,6 +7,7 @@ from .fingerprints import op1_document_fingerprints
 from .html_extraction import op6_html_extraction
 from .license_scan import op8_license_scans
 from .lm_scoring import op4_lm_scoring
+from .ngram_join import SQL as OP2_SQL
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .secrets import op3_secret_scans
@@ -15,4 +16,4 @@ from .toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_secret_scans, op4_lm_scoring, op5_suffix_array_dedup, op6_html_extraction, op7_toxicity, op8_license_scans, op9_benchmark_decontamination, op10_best_fit_packing)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL}

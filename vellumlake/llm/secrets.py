@@ -110,7 +110,11 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
 
 def masked(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFrame:
     """docs with every reported span replaced by mask, and n_chars (if there) counted anew; other columns, and rows without spans, stay as they are."""
-    found = secrets(docs, reach).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    key, text_hash, spans = free + "id", free + "hash", free + "spans"
+    found = secrets(docs, reach).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("spans").alias(spans))
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -126,10 +130,10 @@ def masked(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFra
 
         return texts.combine(spans, one)
 
-    both = docs.join(found, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cover("text", "_spans"))
-    fresh = {"text": text} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return both.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
+    both = docs.join(found, (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cover("text", spans))
+    fresh = {"text": text} | ({"n_chars": F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
+    return both.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:

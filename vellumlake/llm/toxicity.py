@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, crc_mod, documents, mapped, signed, words
+from .common import U, crc_mod, documents, mapped, only, signed, words
 
 #: Common insults by sort, each list a voter.
 LEXICONS = {
@@ -215,8 +215,8 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame
 
 def clean(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame:
     """docs without those that are predicted toxic; rows without a doc_id stay."""
-    bad = scored(docs, labels, limit).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = scored(docs, labels, limit).where("predicted = 1").select("doc_id")
+    return only(docs, bad, "left_anti")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that a task turns into arrays at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: An odd multiplier, its inverse modulo 2**64, for hashes of byte strings.
 STEP = 0x9E3779B97F4A7C15
 UNSTEP = pow(STEP, -1, 1 << 64)
@@ -30,8 +30,15 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+#: For Python workers: freed arrays go back to the system at once.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and take little memory: Arrow batches of at most 1000 rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.sparkContext.environment.update(WORKER_ENV)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -40,13 +40,13 @@ def _sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def classes(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, class, cells): documents with equal shingle sets have equal classes; cells counts the set's tokens by hash, as 16-bit numbers."""
+    """(doc_id, n_shingles, class, cells, counted): documents with equal shingle sets have equal classes; cells counts the set's tokens by hash, as 16-bit numbers, and counted does as an array."""
 
     def one(batch: pa.RecordBatch) -> dict[str, object]:
         sets, key = _sets(batch.column("text"), n)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": np.array([len(s) for s in sets], np.int64), "class": signed(key), "cells": pa.array([np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets], pa.binary())}
+        return {"doc_id": batch.column("doc_id"), "n_shingles": np.array([len(s) for s in sets], np.int64), "class": signed(key), "cells": pa.array([np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets], pa.binary()), "counted": pa.array([np.bincount((s >> U(57)).astype(np.int64), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32()))}
 
-    return mapped(documents(docs), one, "doc_id long, n_shingles long, class long, cells binary")
+    return mapped(documents(docs), one, "doc_id long, n_shingles long, class long, cells binary, counted array<int>")
 
 
 def token_classes(docs: DataFrame, n: int) -> np.ndarray:
@@ -182,8 +182,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     mine = written(mine)
     mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     mine = mine.join(mixed.select("token"), "token").select("token", "class", "n", "pos", "component", "hub")
+    counts = full.select("class", "counted").join(mine.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("counted").alias("counted"))
+    mine = mine.join(counts, "class")
+    # what the counts differ by is in one of the sets only
+    apart = F.aggregate(F.zip_with("x.counted", "y.counted", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    room = apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     x, y = mine.alias("x"), mine.alias("y")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.class") != F.col("x.hub")) & (F.col("y.class") != F.col("y.hub")) & close("x.n", "y.n", "x.pos", "y.pos"))
+    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.class") != F.col("x.hub")) & (F.col("y.class") != F.col("y.hub")) & close("x.n", "y.n", "x.pos", "y.pos") & room)
     more = more.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     more = more.join(star, ["a", "b"], "left_anti")
     links = links.union(linked(more))

@@ -95,6 +95,29 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame(spark, pairs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_within_runs_of_known_pairs(spark):
+    inner, long = prose(1, 20), prose(2, 60).split()
+    outer = " ".join([*long[:30], inner, *long[30:]])
+    first, second = prose(3, 25), prose(4, 25)
+    seam = f"{first.split()[-1]} {second.split()[0]}"  # joins first and second by a known pair
+    common = " ".join([*prose(5, 10).split(), seam, *prose(6, 10).split(), second.split()[0]])
+    ahead = common.split()[:12]  # known pairs right before a passage
+    bench = spark.createDataFrame(list(enumerate([inner, outer, first, second, common])), "item_id long, text string")
+    texts = [outer, f"{first} {second}", " ".join([*ahead, second]), first + " x", second]
+    got = {(r.doc_id, r.item_id): (r.start_word, r.distance) for r in decontamination.contaminated(frame(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {(0, 0): (30, 0), (0, 1): (0, 0), (1, 2): (0, 0), (1, 3): (25, 0), (2, 3): (12, 0), (3, 2): (0, 0), (4, 3): (0, 0)}
+
+
+def test_beginnings_are_all_windows_with_enough_pairs():
+    r = np.random.default_rng(0)
+    at = np.array([0, 40, 40, 45, 100])
+    row = np.repeat(np.arange(4), np.diff(at))
+    for least, span in ((1, 1), (2, 4), (3, 3), (5, 9), (30, 80)):
+        known = (r.random(100) < 0.4) & ~np.isin(np.arange(100), at[1:] - 1)
+        want = [s for s in range(100) if known[s : min(s + span, at[row[s] + 1])].sum() >= least]
+        assert decontamination.beginnings(np.flatnonzero(known), least, span, row, at).tolist() == want
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4], np.uint64)
     for text, d in (([9, 1, 2, 3, 4, 9], 0), ([1, 2, 4], 1), ([1, 7, 3, 4], 1), ([1, 2, 8, 3, 4], 1), ([9, 9], 4)):

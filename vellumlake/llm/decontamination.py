@@ -8,8 +8,8 @@ item that agree with it on all of them are candidates, and repetitions are enoug
 for the target recall.  A candidate counts if an exact edit distance confirms it.
 
 A place with at most k edits keeps all but 2 k of an item's pairs of neighbouring
-words, so only windows with that many pairs from the benchmark are embedded, from where
-runs of such pairs begin; this leaves little besides the passages looked for.
+words, so for each length of items only windows with that many pairs from items of
+this length are embedded, wherever they begin; this loses nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import U, documents, mapped, mix, words
 
 #: Benchmark words that one pass over the texts looks for; larger benchmarks take several passes.
 BLOCK_WORDS = 2_000_000
+#: Windows that are embedded at once.
+WINDOWS = 20_000
 
 
 class Items:
@@ -37,6 +39,11 @@ class Items:
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[(self.pairs & U((1 << 22) - 1)).astype(np.int64)] = True
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        # the lengths of the items that hold each pair: lengths self.of[self.of_at[i] : self.of_at[i + 1]] for pair i
+        held = [np.unique(np.searchsorted(self.pairs, np.concatenate([pairs(self.words[i]) for i in np.flatnonzero(self.lengths == m)]))) for m in np.unique(self.lengths)]
+        which = np.concatenate([np.zeros(0, np.int64), *held])
+        self.of = np.repeat(np.unique(self.lengths), [len(x) for x in held])[np.argsort(which, kind="stable")]
+        self.of_at = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(self.pairs)))))
         self.tables: dict[int, tuple] = {}
         for m in np.unique(self.lengths).tolist():
             members = np.flatnonzero(self.lengths == m)
@@ -86,51 +93,61 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def beginnings(spot: np.ndarray, least: int, span: int, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """All places from which span pairs, as far as the text goes, include `least` of those at spot (in order)."""
+    first, last = spot[: max(0, len(spot) - least + 1)], spot[least - 1 :]
+    low = np.maximum(last - (span - 1), np.concatenate(([0], first[:-1] + 1))) if len(first) else first
+    low = np.maximum(low, at[row[first]])
+    n = np.where(row[first] == row[last], np.maximum(first - low + 1, 0), 0)
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[list, list, list, list]:
     rows, found, begins, distances = [], [], [], []
     if not len(h) or not items.ids:
         return rows, found, begins, distances
     two = pairs(h)
     known = items.bitmap[(two & U((1 << 22) - 1)).astype(np.int64)]
+    known[at[(at > 0) & (at < len(h))] - 1] = False  # no pair spans two texts
     where = np.flatnonzero(known)
+    place = np.minimum(np.searchsorted(items.pairs, two[where]), max(0, len(items.pairs) - 1))
     if len(where):
-        place = np.minimum(np.searchsorted(items.pairs, two[where]), max(0, len(items.pairs) - 1))
-        known[where] = items.pairs[place] == two[where]
-    count = np.concatenate(([0], np.cumsum(known), [0]))
-    count[-1] = count[-2]  # pairs that begin before each word, and at the end
+        same = items.pairs[place] == two[where]
+        where, place = where[same], place[same]
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    last = at[1:][row]  # the end of each word's text
-    # a place begins with a run of such pairs, or up to two words before it where its first words are changed; a chance pair may precede
-    run = np.flatnonzero(known & ~np.append(False, known)[: len(known)])
-    near = np.unique(np.concatenate([run + i for i in (-2, -1, 0, 1)])) if len(run) else run
-    near = near[(near >= 0) & (near < len(h))]
+    # each known pair once for each length of items that hold it
+    times = items.of_at[place + 1] - items.of_at[place] if len(where) else place
+    length = items.of[np.repeat(items.of_at[place] - np.cumsum(times) + times, times) + np.arange(times.sum())] if len(where) else place
+    order = np.argsort(length, kind="stable")
+    spot, length = np.repeat(where, times)[order], length[order]
     seen = set()
     for m, (odd, take, keys, members) in items.tables.items():
         k = items.allowed(m)
-        # a place may be longer than the item by the edits allowed
-        starts = near[count[np.minimum(near + (m + k - 1), last[near] - 1)] - count[near] >= max(0, m - 1 - 2 * k)]
         if m == 1:  # no pairs: the word itself
             starts = np.flatnonzero(np.isin(h, np.concatenate([items.words[i] for i in np.flatnonzero(items.lengths == 1)])))
+        else:
+            starts = beginnings(spot[np.searchsorted(length, m, "left") : np.searchsorted(length, m, "right")], m - 1 - 2 * k, m + k - 1, row, at)
         if not len(starts):
             continue
         pad = np.append(h, np.zeros(m, U))
-        for got, own, who in zip(walk(pad, starts, m, odd, take), keys, members, strict=True):
-            lo, hi = np.searchsorted(own, got, "left"), np.searchsorted(own, got, "right")
-            for j in np.flatnonzero(hi > lo).tolist():
-                s = int(starts[j])
-                r = int(row[s])
-                s -= s % (k + 1)  # nearby windows are verified together
-                for i in who[lo[j] : hi[j]].tolist():
-                    if (r, i, s) in seen:
-                        continue
-                    seen.add((r, i, s))
-                    a, b = max(int(at[r]), s - k), min(int(at[r + 1]), s + m + 2 * k + 1)
-                    d, end = edit_distance_within(items.words[i], h[a:b])
-                    if d <= k:
-                        rows.append(r)
-                        found.append(items.ids[i])
-                        begins.append(max(0, a + end - m - int(at[r])))
-                        distances.append(d)
+        for some in np.split(starts, range(WINDOWS, len(starts), WINDOWS)):
+            for got, own, who in zip(walk(pad, some, m, odd, take), keys, members, strict=True):
+                lo, hi = np.searchsorted(own, got, "left"), np.searchsorted(own, got, "right")
+                for j in np.flatnonzero(hi > lo).tolist():
+                    s = int(some[j])
+                    r = int(row[s])
+                    s -= s % (k + 1)  # nearby windows are verified together
+                    for i in who[lo[j] : hi[j]].tolist():
+                        if (r, i, s) in seen:
+                            continue
+                        seen.add((r, i, s))
+                        a, b = max(int(at[r]), s - k), min(int(at[r + 1]), s + m + 2 * k + 1)
+                        d, end = edit_distance_within(items.words[i], h[a:b])
+                        if d <= k:
+                            rows.append(r)
+                            found.append(items.ids[i])
+                            begins.append(max(0, a + end - m - int(at[r])))
+                            distances.append(d)
     return rows, found, begins, distances
 
 

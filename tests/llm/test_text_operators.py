@@ -124,6 +124,15 @@ def test_lm_scoring(spark):
     assert lm_scoring.scored(frame(spark, [])).count() == 0
 
 
+def test_lm_scoring_beyond_one_broadcast(spark):
+    pairs = [*edge_cases(), *((20 + i, prose(i % 9, 50, 300)) for i in range(40))]
+    kept = lambda got: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 9), r.score) for r in got.collect())
+    whole = kept(lm_scoring.scored(frame(spark, pairs)))
+    assert len(whole) == len(pairs) - 1
+    for most in (0, 1000, 20_000):
+        assert kept(lm_scoring.scored(frame(spark, pairs), most_bits=most)) == whole
+
+
 def dedup_brute(pairs, length):
     texts = [(i, (t or "").encode()) for i, t in pairs]
     count = Counter(b[j : j + length] for _, b in texts for j in range(len(b) - length + 1))

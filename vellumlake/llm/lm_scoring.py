@@ -3,8 +3,10 @@
 Words and pairs of neighbouring words are counted over all training documents, as
 sorted blocks of hashes that are dealt by hash and merged.  A count c is quantised
 to q = 1 + floor(log2 c), and the n-gram goes into the filter q times, with 1, ..., q:
-a reader probes 1, 2, ... until one is missing.  The filter is broadcast; its size
-follows the counts up to MOST_BITS, beyond which pairs need a higher count to go in.
+a reader probes 1, 2, ... until one is missing.  All words and pairs are in the filter,
+whose size follows the counts.  Up to MOST_BITS it is broadcast; a larger one stays in
+parts by hash block in the shared folder, and n-grams go to the part of their block.
+Both ways read the same bits, so they give the same scores.
 
 A pair's probability is its count over that of its first word, smoothed by PULL
 pseudo-counts of the second word's own probability.
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, U, buckets, crc_mod, documents, importable, mapped, mix, pieces, signed, words, written
+from .common import CHUNK_BYTES, STEP, U, buckets, crc_mod, documents, importable, mapped, mix, pieces, signed, words, written
 
 END, BEGIN = U(0xE4D0F7E87), U(0xBE619C0DE)
 PULL = 50.0
-#: Bits of the filter for each insertion, probes for each membership test, and bits at most (32 MB).
+#: Bits of the filter for each insertion, probes for each membership test, and bits that are broadcast at most (32 MB).
 PER, PROBES, MOST_BITS = 8, 3, 1 << 28
 HOT = 20_000
 
@@ -134,11 +136,11 @@ class Filter:
         h = mix(x + np.asarray(q).astype(U) * U(STEP))
         return [((h >> U(21 * j)) % U(1 << 21) * U(0x9E3779B1) + h % U(0xFFFFFFFB)) % U(size) for j in range(PROBES)]
 
-    def counts(self, x: np.ndarray) -> np.ndarray:
-        """About how often each n-gram was counted; 0 where the first probe misses."""
+    def levels(self, x: np.ndarray) -> np.ndarray:
+        """The level of each n-gram's count; 0 where the first probe misses."""
         q, alive = np.zeros(len(x), np.int64), np.arange(len(x))
         if not self.size:
-            return q.astype(float)
+            return q
         offset = (x % U(self.parts)) * U(self.size)
         for i in range(1, 64):
             if not len(alive):
@@ -149,52 +151,97 @@ class Filter:
                 there &= (self.bits[(p >> U(3)).astype(np.int64)] >> (p & U(7)).astype(np.uint8)) & 1 == 1
             alive = alive[there]
             q[alive] = i
-        return np.where(q > 0, 1.5 * 2.0 ** (q - 1) - 0.5 * (q == 1), 0.0)
+        return q
 
 
-def build_filter(counts: DataFrame, parts: int, most_bits: int) -> tuple[Filter, int, int, int]:
-    """(filter, training tokens, distinct words, least count of pairs in the filter)."""
+def expected(q: np.ndarray) -> np.ndarray:
+    """About how often an n-gram of each level was counted."""
+    return np.where(q > 0, 1.5 * 2.0 ** (q - 1) - 0.5 * (q == 1), 0.0)
+
+
+def log_sums(c: np.ndarray, c2: np.ndarray, starts: np.ndarray, whole: float) -> np.ndarray:
+    """Each text's sum of log10 of its tokens' probabilities, by the counts of the tokens and of their pairs with the ones before."""
+    n = np.diff(starts)
+    before = np.empty(len(c))
+    before[1:] = c[:-1]
+    before[starts[:-1]] = 0  # how often a text begins is not in the filter
+    p = (c + 0.5) / whole
+    p = (np.minimum(c2, before) + PULL * p) / (before + PULL)
+    return np.bincount(np.repeat(np.arange(len(n)), n), np.log10(np.minimum(p, 1)), len(n))
+
+
+def build_filter(counts: DataFrame, parts: int, most_bits: int) -> tuple[Filter | DataFrame, int, int, int]:
+    """(filter, bits of a part, training tokens, distinct words); a filter of more than most_bits as rows (bucket, bits) in the shared folder."""
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gram, c, k in zip(*(batch.column(x).to_pylist() for x in ("gram", "counts", "keys")), strict=True):
                 n = large_counts(c, len(k) // 8)
-                capped = np.minimum(n, 1 << 16)
-                v, m = np.unique(capped, return_counts=True)
-                total = np.bincount(np.searchsorted(v, capped), n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), gram, np.int32)), pa.array(v), pa.array(m.astype(np.int64)), pa.array(total), pa.array(np.bincount(np.searchsorted(v, capped), level(n)).astype(np.int64))], names=["gram", "c", "kinds", "total", "levels"])
+                yield pa.RecordBatch.from_pylist([{"gram": gram, "kinds": len(n), "total": int(n.sum()), "levels": int(level(n).sum())}], schema=SIZES)
 
-    rows = counts.select("gram", "counts", "keys").mapInArrow(histogram, "gram int, c long, kinds long, total long, levels long").groupBy("gram", "c").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), F.sum("levels").alias("levels")).collect()  # at most 2 x 65536 rows
+    SIZES = pa.schema([("gram", pa.int32()), ("kinds", pa.int64()), ("total", pa.int64()), ("levels", pa.int64())])
+    rows = counts.select("gram", "counts", "keys").mapInArrow(histogram, "gram int, kinds long, total long, levels long").groupBy("gram").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), F.sum("levels").alias("levels")).collect()  # at most 2 rows
     N, V = (sum(r[k] for r in rows if r["gram"] == 1) for k in ("total", "kinds"))
-    # as many as fit: first words, then pairs, by falling count
-    need, least = {1: 0, 2: 0}, {1: 1 << 62, 2: 1 << 62}
-    for gram in (1, 2):
-        for r in sorted((r for r in rows if r["gram"] == gram), key=lambda r: -r["c"]):
-            if PER * (need[1] + need[2] + r["levels"]) > most_bits:
-                break
-            need[gram] += r["levels"]
-            least[gram] = r["c"]
-    size = -(-PER * (need[1] + need[2]) // parts) if need[1] + need[2] else 0
+    size = -(-PER * sum(r["levels"] for r in rows) // parts)
 
     def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
-            for gram, k, c in zip(*(batch.column(x).to_pylist() for x in ("gram", "keys", "counts")), strict=True):
+            for k, c in zip(*(batch.column(x).to_pylist() for x in ("keys", "counts")), strict=True):
                 x = np.frombuffer(k, U)
-                n = large_counts(c, len(x))
-                keep = np.minimum(n, 1 << 16) >= least[gram]
-                x, q = x[keep], level(n[keep])
+                q = level(large_counts(c, len(x)))
                 for i in range(1, int(q.max(initial=0)) + 1):
                     for p in Filter.places(x[q >= i], i, size):
                         bits[p.astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
     size = -(-size // 8) * 8
+    filled = counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
+    if size * parts > most_bits:
+        return written(filled), size, N, V
     whole = bytearray(size // 8 * parts)
     if size:
-        for r in counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").toLocalIterator():
+        for r in filled.toLocalIterator():
             whole[r["bucket"] * size // 8 : (r["bucket"] + 1) * size // 8] = r["bits"]
-    return Filter(bytes(whole), parts, size), N, V, least[2]
+    return Filter(bytes(whole), parts, size), size, N, V
+
+
+def scores_by_block(d: DataFrame, filled: DataFrame, parts: int, size: int, whole: float) -> DataFrame:
+    """(row, score), with the filter in parts: texts are dealt into batches, whose distinct n-grams ask the part of their block."""
+    bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = d.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(max(parts, -(-bytes_ // CHUNK_BYTES)))).alias("batch"))
+
+    def dealt(texts: pa.Table) -> tuple:
+        """The tokens of a batch, its distinct n-grams, and their order by block."""
+        one, two, starts = tokens(texts.column("text"))
+        grams, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+        return starts, grams, at, np.argsort(grams % U(parts), kind="stable")
+
+    def ask(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        _, grams, _, order = dealt(texts)
+        grams = grams[order]
+        cuts = np.searchsorted(grams % U(parts), np.arange(parts + 1).astype(U))
+        blocks = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
+        return pa.table({"batch": pa.array([key[0].as_py()] * len(blocks), pa.int64()), "bucket": pa.array(blocks, pa.int32()), "keys": pa.array([grams[cuts[i] : cuts[i + 1]].tobytes() for i in blocks], pa.binary())})
+
+    def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, part: pa.Table) -> pa.Table:
+        bits = part.column("bits").to_pylist()
+        own = Filter(bits[0], 1, size) if bits else Filter(b"", 1, 0)
+        found = [own.levels(np.frombuffer(k, U)).astype(np.uint8).tobytes() for k in asked.column("keys").to_pylist()]
+        return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "levels": pa.array(found, pa.binary())})
+
+    def score(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        starts, grams, at, order = dealt(texts)
+        q = np.zeros(len(grams), np.int64)
+        found = sorted(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
+        q[order] = np.frombuffer(b"".join(x for _, x in found), np.uint8)
+        c = expected(q)[at]
+        return pa.table({"row": texts.column("row"), "score": log_sums(c[: len(c) // 2], c[len(c) // 2 :], starts, whole)})
+
+    asked = batches.groupBy("batch").applyInArrow(ask, "batch long, bucket int, keys binary")
+    answers = asked.groupBy("bucket").cogroup(filled.groupBy("bucket")).applyInArrow(look_up, "batch long, bucket int, levels binary")
+    each = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "row long, score double")
+    return each.groupBy("row").agg(F.max("score").alias("score"))
 
 
 def scored(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
@@ -208,9 +255,9 @@ def scored(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     d = documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     parts = buckets(spark)
     counts = counted(d.where(crc_mod() != 1), parts)
-    model, N, V, _ = build_filter(counts, parts, most_bits)
+    model, size, N, V = build_filter(counts, parts, most_bits)
     whole, floor = N + 0.5 * (V + 1), max(2, N // HOT)
-    shared = spark.sparkContext.broadcast((model.bits.tobytes(), model.parts, model.size))
+    shared = spark.sparkContext.broadcast((model.bits.tobytes(), model.parts, model.size)) if isinstance(model, Filter) else None
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,23 +270,18 @@ def scored(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     hot = np.array(sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in top), U).reshape(-1, 2)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(*shared.value)
+        own = Filter(*shared.value) if shared else None
         hot_key, hot_log = hot[:, 0].copy(), np.log10((hot[:, 1].astype(float) + 0.5) / whole) if whole > 0.5 else np.zeros(0)
         for batch in pieces(batches):
             one, two, starts = tokens(batch.column("text"))
             n = np.diff(starts)
             row = np.repeat(np.arange(len(n)), n)
             words_, word_at = np.unique(one, return_inverse=True)
-            c1 = own.counts(words_)
-            pairs_, pair_at = np.unique(two, return_inverse=True)
-            c2 = own.counts(pairs_)[pair_at]
-            c = c1[word_at]
-            before = np.empty(len(c))
-            before[1:] = c[:-1]
-            before[starts[:-1]] = 0  # how often a text begins is not in the filter
-            p = (c + 0.5) / whole
-            p = (np.minimum(c2, before) + PULL * p) / (before + PULL)
-            total = np.bincount(row, np.log10(np.minimum(p, 1)), len(n))
+            if own:
+                pairs_, pair_at = np.unique(two, return_inverse=True)
+                total = log_sums(expected(own.levels(words_))[word_at], expected(own.levels(pairs_))[pair_at], starts, whole)
+            else:
+                total = np.zeros(len(n))  # comes from scores_by_block
             spot = np.minimum(np.searchsorted(hot_key, words_), max(0, len(hot_key) - 1))
             is_hot = (hot_key[spot] == words_) if len(hot_key) else np.zeros(len(words_), bool)
             token_hot = is_hot[word_at]
@@ -292,6 +334,8 @@ def scored(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     rest = rest.groupBy("batch").applyInArrow(add_up, "row long, base double, n_known long")
     rest = rest.groupBy("row").agg(F.sum("base").alias("more"), F.sum("n_known").alias("more_known"))
     mine = both.where("bucket is null").groupBy("row", "doc_id").agg(F.count("*").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base").alias("base"), F.max("score").alias("score"))
+    if not shared:
+        mine = mine.drop("score").join(scores_by_block(d, model, parts, size, whole), "row")
     out = mine.join(rest, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     # equal rows asked together, so what they got is shared out
     more = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))

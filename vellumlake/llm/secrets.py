@@ -23,9 +23,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: The order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "login", "endpoint", "random")
-LOGIN = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,64})""", re.I | re.A)
-ENDPOINT = re.compile(r"\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,200}", re.A)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,80}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+LOGIN = re.compile(r"""(?<![A-Za-z0-9])(?<!secret_)(?<!secret-)(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
+ENDPOINT = re.compile(r"\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}", re.A)
+#: Whole runs of at least 20 characters with a letter and a digit; '=' may come before one, but a run with '=' and more after it is a name.
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 SCOPE = re.compile(r"\n[ \t]*\n")
 #: What a part is to a credential.
 ROLE = {"assign": "secret", "hex": "secret", "random": "secret", "access": "who", "login": "who", "endpoint": "where"}

@@ -34,6 +34,15 @@ def test_query_matches_sql(spark, db, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_memory_queries_take_every_row(spark, db):
+    rows, sections, edited = db.sql("select count(*), count(distinct (role, conv_id)), count(*) filter (turn = 1) from conversations").fetchall()[0]
+    assert QUERIES["q21_memory_section_text"](spark, SF).count() == sections
+    n = {}
+    for r in QUERIES["q25_reconcile_all_entries"](spark, SF).collect():
+        n[r.action] = n.get(r.action, 0) + r.n
+    assert edited and n["keep"] + n["delete"] == n["keep"] + n["insert"] == rows
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -240,6 +240,12 @@ def q21_memory_text(spark, sf_dir):
     return e.groupBy("file").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
+@query(f"WITH {ENTRIES} SELECT file, section, sha256(string_agg(entry_date||': '||entry_text, chr(10) ORDER BY entry_key, entry_index)) AS digest FROM entries GROUP BY file, section")
+def q21_memory_section_text(spark, sf_dir):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_key", "entry_index", F.concat_ws(": ", "entry_date", "entry_text").alias("line")))), lambda s: s["line"])
+    return A.entries(spark, sf_dir).groupBy("file", "section").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
 @query(f"WITH {ENTRIES} SELECT file, section, count(*) AS n_entries, min(entry_date) AS first_date, max(entry_date) AS last_date FROM entries GROUP BY file, section")
 def q22_memory_files(spark, sf_dir):
     return metadata.memory_files(A.entries(spark, sf_dir))
@@ -268,6 +274,14 @@ def q25_reconcile_entries(spark, sf_dir):
     return metadata.reconciled(c.where("conv_id % 3 <> 0"), c.where("conv_id % 3 <> 1")).groupBy("file", "action").agg(F.count("*").alias("n"))
 
 
+@query("WITH a AS (SELECT role AS file, sha256(text) AS hash, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM conversations), n AS (SELECT role, turn, conv_id, CASE WHEN turn = 1 THEN text || ' (edited)' ELSE text END AS text FROM conversations), b AS (SELECT role AS file, sha256(text) AS hash, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM n) SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NOT NULL AND b.file IS NOT NULL THEN 'keep' WHEN b.file IS NOT NULL THEN 'insert' ELSE 'delete' END AS action, count(*) AS n FROM a FULL JOIN b ON a.file = b.file AND a.hash = b.hash AND a.place = b.place GROUP BY 1, 2")
+def q25_reconcile_all_entries(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    snapshot = lambda text: c.select("conv_id", F.col("role").alias("file"), F.sha2(text, 256).alias("hash"), F.col("turn").alias("entry_index"))
+    edited = F.when(F.col("turn") == 1, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))
+    return metadata.reconciled(snapshot(F.col("text")), snapshot(edited)).groupBy("file", "action").agg(F.count("*").alias("n"))
+
+
 @query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT target, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM h GROUP BY target")
 def s1_link_extraction(spark, sf_dir):
     each = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))

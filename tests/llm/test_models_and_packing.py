@@ -69,6 +69,18 @@ def test_blocks():
     assert html_extraction.blocks(nodes[0], [True] * len(nodes)) == ["T <x>", "one two three", "four", "a", "b", "tail"]
 
 
+def test_unclosed_silent_elements():
+    shown = lambda page: html_extraction.blocks((n := html_extraction.parse(page))[0], [True] * len(n))
+    for start in ("<html><head><title>t</title><style>p {}</style><body>", "<head><script>'<p>no</p>'</script><meta charset='x'>", "<svg width='1' />", "<svg/>", "<button>", "<select>", "<object data='x'>", "<canvas>", "<head><title>t</title></head>"):
+        got = shown(start + "<article><p>one <b>two</b></p><p>three</p></article>")
+        assert got == ["one two", "three"], start
+    assert shown("<p>a</p><svg><text>no</text></svg><button>no</button><p>b</p><header>c</header>") == ["a", "b", "c"]
+    assert shown("<p>a</p><script>no <p>no") == shown("<p>a</p><!-- <p>no") == ["a"]
+    assert shown("<button><article><p>a</p></article><button>no</button>") == shown("<object>a<object>no</object>") == ["a"]
+    assert shown("<head><noscript><p>no</p></noscript><title>no</title></head><p>a</p>") == shown("<head><title>no</title>a") == ["a"]
+    assert shown("<svg/><p>a</p><svg><text>no</text></svg>") == ["a"]
+
+
 def test_decoding_is_consistent():
     nodes = html_extraction.parse("<div><p>aaaa</p><p>bbbb</p></div><footer><p>cccc</p></footer>")
     stays = html_extraction.decode(nodes, np.array([0.1, 2.0, 1.0, -0.1, -3.0, 0.2]))

@@ -25,7 +25,10 @@ from .common import mapped
 #: Fixed values of HTML: elements that make blocks, have no end tag, hold no text; and the ends that a start tag implies.
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption blockquote pre address details summary dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|video|audio|select|textarea|button|head"
+#: Of the silent ones: those that run to the page's end where no end tag comes, and the others.
+RAW, SILENT = "script|style", frozenset("noscript template svg math iframe object canvas video audio select textarea button".split())
+#: What may stand in a head without ending it.
+IN_HEAD = frozenset("html head title meta link base".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 BARRIER = frozenset("table ul ol dl div article main section nav header footer aside form blockquote figure body html td th".split())
 #: Tokens of class, id and role by what they tell.
@@ -43,7 +46,8 @@ TOKENS = {
 TOKEN_SETS = [frozenset(x.split()) for x in TOKENS.values()]
 TAGS = ("article", "main", "section", "div", "p", "h", "list", "li", "table", "nav", "header", "footer", "aside", "form", "figure", "quote")
 TAG_OF = {"h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "caption": "table", "figcaption": "figure", "blockquote": "quote", "pre": "quote"}
-PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>", re.S | re.I)
+ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{RAW})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS})/?>|<[!?/][^>]*>", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -59,12 +63,33 @@ class Node:
         self.flags = [bool(words & s) for s in TOKEN_SETS] if words else [False] * len(TOKEN_SETS)
 
 
+def silent_spans(page: str) -> dict[int, int]:
+    """Where each silent element that has its end tag starts, and where it ends; the others are empty."""
+    opened: dict[str, list[int]] = {}
+    out = {}
+    for m in PIECE.finditer(page):
+        tag = (m["tag"] or "").lower()
+        if tag not in SILENT:
+            continue
+        if not m["end"]:
+            if not m[0].endswith("/>"):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            out[opened[tag].pop()] = m.end()
+    return out
+
+
 def parse(page: str) -> list[Node]:
     """All block nodes in page order; the first is the root."""
     root = Node("body", None, "")
     nodes, stack, at, link = [root], [("body", root)], 0, 0
+    spans, head, title = silent_spans(page), False, False
 
     def put(raw: str) -> None:
+        nonlocal head
+        if title or (head and not raw.strip()):
+            return
+        head = False  # text ends it
         if raw:
             text = entities.unescape(raw)
             node = stack[-1][1]
@@ -74,14 +99,31 @@ def parse(page: str) -> list[Node]:
             if link:
                 node.links += n
 
-    for m in PIECE.finditer(page):
+    while m := PIECE.search(page, at):
+        tag = (m["tag"] or "").lower()
+        if title and tag and tag not in IN_HEAD and (m["end"] or tag in BLOCKS):
+            title = False  # it has no end tag
+            at = m.start()
         put(page[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
         if not tag:
             if m["silent"]:
                 stack[-1][1].items.append(" ")
             continue
+        if tag in SILENT:
+            at = spans.get(m.start(), at)
+            stack[-1][1].items.append(" ")
+            continue
+        if tag == "head":
+            head, title = not m["end"], False
+            continue
+        if head:
+            if tag in IN_HEAD or m["end"]:
+                title = tag == "title" and not m["end"]
+                continue
+            if title:  # text of the title
+                continue
+            head = False
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:

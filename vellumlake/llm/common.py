@@ -47,32 +47,74 @@ def importable(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named."""
+    """The folder that all executors share: what spark.checkpoint.dir names; on one machine without it, one of our own."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "/tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, where a lost executor leaves it whole."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As settled(), as Parquet, so that later readers get only the columns that they use."""
+class Scratch:
+    """Tables of one operator in the shared folder, where a lost executor leaves them whole.
+
+    keep() computes a table once and returns it as read again; drop() deletes one that is
+    no longer needed, and the end of the block deletes all but those of result().
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths.values():
+            remove(self.spark, path)
+        self.paths = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, path = _stored(df)
+        self.paths[id(out)] = path
+        self._alive = [*getattr(self, "_alive", []), out]  # ids stay unique
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if path := self.paths.pop(id(t), None):
+                remove(self.spark, path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder as Parquet, so that later readers get only the columns that they use."""
+    return _stored(df)[0]
 
 
 #: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", scratch: Scratch | None = None) -> DataFrame:
     """docs whose doc_id is in ids (or is not, with left_anti); the ids are counted, and broadcast only if they are few."""
-    ids = written(ids.where("doc_id is not null").distinct())
+    ids = (scratch.keep if scratch else written)(ids.where("doc_id is not null").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, "doc_id", how).select([f"`{c}`" for c in docs.columns])

@@ -2,10 +2,12 @@
 
 Texts with equal shingle sets are one class.  Two sets whose Jaccard similarity is
 at least t share a token among the first n - ceil(t n) + 1 tokens of either, under
-*any* order of all tokens; where the first shared token stands bounds the overlap.  The first order (rare tokens first) finds candidates by
-a join of prefixes.  A candidate goes on only if counts of hashed tokens leave
-enough room for overlap and the pair shares a prefix token under every further
-order too; it is then verified on the whole sets.
+*any* order of all tokens; where the first shared token stands bounds the overlap.
+The first order (frequent tokens last) finds candidates by a join of prefixes.  A
+candidate goes on only if counts of hashed tokens leave enough room for overlap, and
+then only if the two prefixes under each further order share a token too; for this
+the prefixes alone are moved, as 32-bit hashes, which can keep a pair too many but
+never lose one.  What passes every filter is verified on the whole sets.
 
 Groups of copies never become pairs of all with all.  First each class is
 verified against one hub of each prefix token; the classes that this connects
@@ -20,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, U, documents, importable, mapped, mix, only, pieces, settled, shingles, signed, written
+from .common import STEP, U, Scratch, documents, importable, mapped, mix, only, pieces, shingles, signed
 from .components import components
 
 #: Counters for the frequency classes that the orders begin with; a fixed size, whatever the input.
 CLASSES = 1 << 16
 ORDERS = 3
-#: Cells that a set's tokens are counted in; the counts bound how much two sets can share.
-CELLS = 128
+#: Longs of eight 8-bit counters each, which go along with every token of a class.
+SKETCH = 8
+#: Tokens to a counter of the fuller counts, which are looked up for candidates.
+EACH = 4
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -39,14 +43,56 @@ def _sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     return sets, key
 
 
+def counted(s: np.ndarray, cells: int) -> np.ndarray:
+    """How many tokens of a set fall into each of a power of two of cells, by hash; 255 stands for more.
+
+    Sums of the differences of two sets' counts are at most the tokens that only one of them has.
+    """
+    return np.minimum(np.bincount((s >> U(64 - cells.bit_length() + 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def cells_of(size: int) -> int:
+    return max(64, 1 << (size // EACH).bit_length())
+
+
 def classes(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, class, cells, counted): documents with equal shingle sets have equal classes; cells counts the set's tokens by hash, as 16-bit numbers, and counted does as an array."""
+    """(doc_id, n_shingles, class, cells): documents with equal shingle sets have equal classes; cells counts the set's tokens by hash, the more cells the larger the set."""
 
     def one(batch: pa.RecordBatch) -> dict[str, object]:
         sets, key = _sets(batch.column("text"), n)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": np.array([len(s) for s in sets], np.int64), "class": signed(key), "cells": pa.array([np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets], pa.binary()), "counted": pa.array([np.bincount((s >> U(57)).astype(np.int64), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32()))}
+        return {"doc_id": batch.column("doc_id"), "n_shingles": np.array([len(s) for s in sets], np.int64), "class": signed(key), "cells": pa.array([counted(s, cells_of(len(s))).tobytes() for s in sets], pa.binary())}
+
+    return mapped(documents(docs), one, "doc_id long, n_shingles long, class long, cells binary")
+
 
-    return mapped(documents(docs), one, "doc_id long, n_shingles long, class long, cells binary, counted array<int>")
+def apart(x: bytes, y: bytes) -> int:
+    """The least number of tokens that only one of two sets has, by their cells."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(x) != len(y):  # counts of 255 say too little once they are added up
+        if (max(x.max(initial=0), y.max(initial=0))) == 255:
+            return 0
+        size = min(len(x), len(y))
+        x, y = x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)
+    return int(np.abs(x - y).sum())
+
+
+#: Every other byte of a long, and the bit above each of them.
+BYTES, ABOVE = 0x00FF00FF00FF00FF, 0x0100010001000100
+
+
+def differing(x: list[Column], y: list[Column], total_x: Column, total_y: Column) -> Column:
+    """apart(), of sketches and their totals, on the JVM: twice what x has more than y, cell by cell, less what it has more in all.
+
+    Four counters of a long are compared at once, in lanes of 16 bits.
+    """
+    lanes = F.lit(0).cast("long")
+    half = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(BYTES))
+    for a, b in zip(x, y, strict=True):
+        for i in range(2):
+            d = half(a, i).bitwiseOR(F.lit(ABOVE)) - half(b, i)
+            lanes = lanes + d.bitwiseAND(F.shiftrightunsigned(d.bitwiseAND(F.lit(ABOVE)), 8) * 255)
+    more = lanes % 0xFFFF  # the sum of the lanes, as 2**16 is 1 modulo 0xFFFF
+    return 2 * more - total_x + total_y
 
 
 def token_classes(docs: DataFrame, n: int) -> np.ndarray:
@@ -93,15 +139,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id that links lead to, the document itself
     included.  n_links counts the verified links of the document's class to other
     classes (connections that follow from others are not all counted) and the
-    other documents of its class.  Empty sets link with nothing; rows that repeat
-    a doc_id count as that one document with all their texts' links.
+    other documents of its class.  Empty sets link with nothing; a null text is
+    empty; rows without a doc_id are left out; rows that repeat a doc_id count as
+    that one document with all their texts' links, one row each; an empty table
+    gives no rows; other columns are ignored.
     """
-    d = documents(docs)
     importable(docs.sparkSession)
-    by_doc = written(classes(d, n))
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_components(documents(docs), n, percent, scratch))
+
+
+def _components(d: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    by_doc = scratch.keep(classes(d, n))
     full = by_doc.where("n_shingles > 0")
-    reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = scratch.keep(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     rank = token_classes(d, n)
+    longs = [f"s{i}" for i in range(SKETCH)]
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies go on once from each task
@@ -119,12 +172,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     raw = d.mapInArrow(entries, "token long, class long, n int, pos int")
     # tokens of two classes at least; most tokens are of one and go no further
     shared = raw.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
-    posts = written(raw.join(shared, "token", "left_semi").groupBy("token", "class").agg(F.max("n").alias("n"), F.max("pos").alias("pos")))
-    posts = posts.join(posts.groupBy("token").agg(F.count("*").alias("k")), "token")
-    # the hub of a token is the class whose prefix is shared most: an original rather than a changed copy
-    shares = posts.groupBy("class").agg(F.sum("k").alias("shares"))
-    hubs = posts.join(shares, "class").groupBy("token").agg(F.max(F.struct("shares", "class", "n", "pos")).alias("hub"))
-    posts = posts.join(hubs.select("token", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "token")
+    own = scratch.keep(raw.join(shared, "token", "left_semi").groupBy("token", "class").agg(F.max("n").alias("n"), F.max("pos").alias("pos")))
+    # the hub of a token is the class that shares most tokens: an original rather than a changed copy
+    shares = own.groupBy("class").agg(F.count("*").alias("shares"))
+    hubs = own.join(shares, "class").groupBy("token").agg(F.max(F.struct("shares", "class", "n", "pos")).alias("hub"))
+    posts = scratch.keep(own.join(hubs, "token").select("token", "class", "n", "pos", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")))
+    scratch.drop(own)
 
     def close(n, m, i, j):
         """May two sets of n and m tokens link, if the first that they share is the i-th and the j-th of them?  What stands before is in one of them only."""
@@ -132,65 +185,97 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         least = F.ceil((n + m) * percent / F.lit(100 + percent))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (i + j <= n + m - 2 * least)
 
-    star = posts.where((F.col("class") != F.col("hub")) & close("n", "hub_n", "pos", "hub_pos")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
+    star = scratch.keep(posts.where((F.col("class") != F.col("hub")) & close("n", "hub_n", "pos", "hub_pos")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct())
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that pass the counts, the other orders' filters and the verification."""
-        pairs = written(pairs)
-        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        cells = written(full.join(ids, "class", "left_semi").groupBy("class").agg(F.first("cells").alias("cells")))
-        both = pairs.join(cells.select(F.col("class").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("class").alias("b"), F.col("cells").alias("y")), "b")
-
-        def near(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for c in "xy")
-                    good = np.abs(x - y).sum(1) * (100 + percent) <= (x + y).sum(1) * (100 - percent)
-                    good |= (np.maximum(x, y) == 65535).any(1)
-                    yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
-
-        pairs = written(both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
-        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        need = ids.join(reps, "class").select(F.col("rep").alias("doc_id"), "class").distinct()
-
-        def tokens(batch: pa.RecordBatch) -> dict[str, object]:
-            sets, key = _sets(batch.column("text"), n)
-            return {"class": signed(key), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
+    def near(batches):
+        for batch in batches:
+            good = [apart(x, y) * (100 + percent) <= (n + m) * (100 - percent) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        sets = mapped(only(d.select("doc_id", "text"), need.select("doc_id")), tokens, "class long, tokens binary")
-        sets = sets.join(ids, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
-        sets = written(sets)
-        both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
+    def heads(batch: pa.RecordBatch) -> dict[str, object]:
+        """Of each text: its class, itself, compressed, and its prefixes under the further orders."""
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        sets, key = _sets(batch.column("text"), n)
+        out = {"class": signed(key), "z": pa.array([z.compress(x) for x in batch.column("text").cast(pa.large_binary()).to_pylist()], pa.binary())}
+        for o in range(1, ORDERS):
+            out[f"p{o}"] = pa.array([np.unique((prefix(s, rank, percent, o) >> U(32)).astype("<u4")).tobytes() for s in sets], pa.binary())
+        return out
+
+    def met(batches):
+        """The pairs whose prefixes share a token under every further order."""
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            for o in range(1, ORDERS):
+                for i, (x, y) in enumerate(zip(batch.column(f"x{o}").to_pylist(), batch.column(f"y{o}").to_pylist(), strict=True)):
+                    good[i] = good[i] and np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True).size > 0
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-        def verify(batches):
-            for batch in batches:
+    def verify(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                whole = {}  # each text of these pairs once
+                for c, k in (("x", "a"), ("y", "b")):
+                    whole |= dict(zip(part.column(k).to_pylist(), part.column(c).to_pylist(), strict=True))
+                sets = dict(zip(whole, shingles(pa.array([z.decompress(x) if x else b"" for x in whole.values()], pa.large_binary()), n), strict=True))
                 good = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                    ok = all(np.intersect1d(prefix(x, rank, percent, o), prefix(y, rank, percent, o), assume_unique=True).size for o in range(1, ORDERS))
-                    if ok:
-                        inter = np.intersect1d(x, y, assume_unique=True).size
-                        ok = 100 * inter >= percent * (len(x) + len(y) - inter)
-                    good.append(ok)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                    both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+                    good.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return settled(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    def paired(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        """pairs with the columns of a's class as x..., and of b's as y..."""
+        side = lambda k, to: of.select(F.col("class").alias(k), *[F.col(c).alias(to + c) for c in columns])
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b) that pass the counts, the other orders' filters and the verification."""
+        ids = lambda: pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        cells = scratch.keep(full.join(ids(), "class", "left_semi").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("cells").alias("cells")))
+        both = paired(pairs, cells, "n", "cells").select("a", "b", F.col("xn").alias("n"), F.col("yn").alias("m"), F.col("xcells").alias("x"), F.col("ycells").alias("y"))
+        pairs = scratch.keep(both.mapInArrow(near, "a long, b long"))
+        scratch.drop(cells)
+        need = ids().join(reps, "class").select(F.col("rep").alias("doc_id"), "class")
+        kinds = "class long, z binary" + "".join(f", p{o} binary" for o in range(1, ORDERS))
+        texts = mapped(only(d.select("doc_id", "text"), need.select("doc_id"), scratch=scratch), heads, kinds)
+        texts = scratch.keep(texts.join(ids(), "class", "left_semi").groupBy("class").agg(*[F.first(c).alias(c) for c in ("z", *[f"p{o}" for o in range(1, ORDERS)])]))
+        heads_of = [f"p{o}" for o in range(1, ORDERS)]
+        both = paired(pairs, texts, *heads_of).select("a", "b", *[F.col(f"{x}p{o}").alias(f"{x}{o}") for x in "xy" for o in range(1, ORDERS)])
+        met_ = scratch.keep(both.mapInArrow(met, "a long, b long"))
+        out = scratch.keep(paired(met_, texts, "z").select("a", "b", F.col("xz").alias("x"), F.col("yz").alias("y")).mapInArrow(verify, "a long, b long"))
+        scratch.drop(pairs, texts, met_)
+        return out
 
     links = linked(star)
     label = components(links)
-    mine = posts.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mine = written(mine)
+    mine = scratch.keep(posts.join(label.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "pos", F.coalesce("component", "class").alias("component"), "hub"))
+    scratch.drop(posts)
     mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    mine = mine.join(mixed.select("token"), "token").select("token", "class", "n", "pos", "component", "hub")
-    counts = full.select("class", "counted").join(mine.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("counted").alias("counted"))
-    mine = mine.join(counts, "class")
-    # what the counts differ by is in one of the sets only
-    apart = F.aggregate(F.zip_with("x.counted", "y.counted", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-    room = apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    x, y = mine.alias("x"), mine.alias("y")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.class") != F.col("x.hub")) & (F.col("y.class") != F.col("y.hub")) & close("x.n", "y.n", "x.pos", "y.pos") & room)
+    # the hub has been tried with all the others; counts are looked up once for each class
+    rest = scratch.keep(mine.where(F.col("class") != F.col("hub")).join(mixed, "token", "left_semi").select("token", "class", "n", "pos", "component"))
+    scratch.drop(mine)
+    few = rest.select("class").distinct()
+
+    def sketches(batches):
+        for batch in batches:
+            cells = [np.frombuffer(x, np.uint8).astype(np.int64).reshape(8 * SKETCH, -1).sum(1) for x in batch.column("cells").to_pylist()]
+            s = np.minimum(np.array(cells).reshape(-1, 8 * SKETCH), 255).astype(np.uint8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(s.view(np.uint8).sum(1, dtype=np.int64)), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH))], names=["class", "total", *longs])
+
+    small = scratch.keep(full.join(few, "class", "left_semi").groupBy("class").agg(F.first("cells").alias("cells")).mapInArrow(sketches, "class long, total long, " + ", ".join(f"{c} long" for c in longs)))
+    x, y = (rest.join(small, "class").alias(k) for k in "xy")
+    side = lambda k: [F.col(f"{k}.{c}") for c in longs]
+    room = differing(side("x"), side("y"), F.col("x.total"), F.col("y.total")) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & close("x.n", "y.n", "x.pos", "y.pos") & room)
     more = more.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
+    more = scratch.keep(more.join(star, ["a", "b"], "left_anti"))
+    scratch.drop(rest, small, star)
     links = links.union(linked(more))
     label = components(links).select(F.col("node").alias("class"), "component")
     degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))

@@ -269,11 +269,17 @@ def _components(d: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(s.view(np.uint8).sum(1, dtype=np.int64)), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH))], names=["class", "total", *longs])
 
     small = scratch.keep(full.join(few, "class", "left_semi").groupBy("class").agg(F.first("cells").alias("cells")).mapInArrow(sketches, "class long, total long, " + ", ".join(f"{c} long" for c in longs)))
-    x, y = (rest.join(small, "class").alias(k) for k in "xy")
+    # columns that can't be null give short code, which the JVM compiles
+    sure = rest.join(small, "class").select("token", "class", "component", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "pos", "total", *longs)])
+    # sizes of linked sets lie in one stretch of sizes or in neighbouring ones, so only these meet
+    width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 0
+    sure = sure.withColumn("stretch", F.floor(F.log("n") / width) if width else F.col("n").cast("long"))
+    x, y = sure.alias("x"), sure.withColumn("stretch", F.explode(F.array("stretch", F.col("stretch") - 1))).alias("y")
     side = lambda k: [F.col(f"{k}.{c}") for c in longs]
     room = differing(side("x"), side("y"), F.col("x.total"), F.col("y.total")) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & close("x.n", "y.n", "x.pos", "y.pos") & room)
-    more = more.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    less = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class"))
+    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.stretch") == F.col("y.stretch")) & less & (F.col("x.component") != F.col("y.component")) & close("x.n", "y.n", "x.pos", "y.pos") & room)
+    more = more.select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
     more = scratch.keep(more.join(star, ["a", "b"], "left_anti"))
     scratch.drop(rest, small, star)
     links = links.union(linked(more))

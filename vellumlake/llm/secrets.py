@@ -7,7 +7,9 @@ part near them in the same scope: a secret near who or where it is for.
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,17 @@ ROLE = {"assign": "secret", "hex": "secret", "random": "secret", "access": "who"
 SPAN = "array<struct<kind:string,start:long,end:long,scope:long>>"
 
 
+def covered(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs that spans cover, in order, none overlapping another."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def parts(text: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[str, int, int, int]]]:
     """The strong and the weak parts of one text: (kind, start, end, scope), scopes being what blank lines part."""
     strong = [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
@@ -45,8 +58,12 @@ def parts(text: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[str, i
     else:
         weak = []
     if weak or any(k == "access" for k, _, _ in strong):  # a nameless string needs a who or where
-        taken = sorted((a, b) for k, a, b in strong)
-        weak += [("random", m.start(), m.end()) for m in RANDOM.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        taken = covered((a, b) for _, a, b in strong)
+        begins = [a for a, _ in taken]
+        for m in RANDOM.finditer(text):
+            i = bisect.bisect_left(begins, m.end())  # of the runs that begin before its end the last ends last
+            if not i or taken[i - 1][1] <= m.start():
+                weak.append(("random", m.start(), m.end()))
     if not strong and not weak:
         return [], []
     cuts = np.array([m.start() for m in SCOPE.finditer(text)], np.int64)
@@ -102,7 +119,10 @@ def listed(spans: Column) -> Column:
 def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     """(doc_id, text_hash, base, spans): the strong parts of each row, and all reported parts, as arrays of (kind, start, end, scope) in code points.
 
-    A null text is empty; rows that repeat a doc_id are scanned each by itself.
+    A null or empty text has none; rows without a doc_id are left out; rows that repeat
+    a doc_id are scanned each by itself; parts that start together go by kind as
+    KINDS lists them; texts of any length are scanned whole; an empty table gives no
+    rows; other columns are ignored.
     """
     scan = written(scanned(docs))
     out = scan.join(linked(scan, reach), ["doc_id", "text_hash"], "left")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 #: Fixed values of HTML: elements that make blocks, have no end tag, hold no text; and the ends that a start tag implies.
-BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption blockquote pre address details summary dialog".split())
+BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption blockquote pre address details summary dialog noscript object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Of the silent ones: those that run to the page's end where no end tag comes, and the others.
-RAW, SILENT = "script|style", frozenset("noscript template svg math iframe object canvas video audio select textarea button".split())
+RAW, SILENT = "script|style", frozenset("template svg iframe canvas video audio select textarea button".split())
 #: What may stand in a head without ending it.
 IN_HEAD = frozenset("html head title meta link base".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -84,6 +85,14 @@ def parse(page: str) -> list[Node]:
     root = Node("body", None, "")
     nodes, stack, at, link = [root], [("body", root)], 0, 0
     spans, head, title = silent_spans(page), False, False
+    opened: Counter = Counter()  # how many of each tag the stack holds
+
+    def close(i: int) -> None:
+        nonlocal link
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+            link -= t == "a"
+        del stack[i:]
 
     def put(raw: str) -> None:
         nonlocal head
@@ -125,20 +134,19 @@ def parse(page: str) -> list[Node]:
                 continue
             head = False
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    link -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCKS and stack[i][0] in BLOCKS:
                     break
             continue
         if tag in BLOCKS and tag not in ("html", "body"):
-            if closed := CLOSES.get(tag, {"p"} if tag != "p" else set()):
+            closed = CLOSES.get(tag, {"p"})
+            if any(opened[t] for t in closed):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in closed:
-                        link -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in BARRIER and not (tag in ("td", "th", "tr") and stack[i][0] in ("td", "th")):
                         break
@@ -147,11 +155,13 @@ def parse(page: str) -> list[Node]:
             node.parent.items.append(node)
             nodes.append(node)
             stack.append((tag, node))
+            opened[tag] += 1
         elif tag == "br" or tag == "hr":
             stack[-1][1].items.append(" ")
         elif tag not in VOID and tag not in ("html", "body"):
             stack[-1][1].tags += 1
             stack.append((tag, stack[-1][1]))
+            opened[tag] += 1
             link += tag == "a"
     put(page[at:])
     for i, node in enumerate(nodes):
@@ -167,6 +177,8 @@ def parse(page: str) -> list[Node]:
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node."""
     total, out, seen = max(1, nodes[0].text), [], 0
+    # of each node: its children, the most text in one, and how many have each tag
+    below = [(len(n.children), max((c.text for c in n.children), default=0), Counter(c.tag for c in n.children)) for n in nodes]
     inherited = [[0.0] * len(TOKEN_SETS) for _ in nodes]
     above = [[0.0] * len(TAGS) for _ in nodes]
     for i, n in enumerate(nodes):
@@ -176,10 +188,8 @@ def features(nodes: list[Node]) -> np.ndarray:
             j = n.parent.index
             inherited[i] = [max(float(f), x) for f, x in zip(n.parent.flags, inherited[j], strict=True)]
             above[i] = [max(float(TAG_OF.get(n.parent.tag, n.parent.tag) == t), x) for t, x in zip(TAGS, above[j], strict=True)]
-            siblings = n.parent.children
-            most = max(s.text for s in siblings)
-            like = sum(s.tag == n.tag for s in siblings) / len(siblings)
-            around = [float(len(siblings)), like, n.text / max(1, most), n.text / max(1, n.parent.text)]
+            siblings, most, tags_ = below[j]
+            around = [float(siblings), tags_[n.tag] / siblings, n.text / max(1, most), n.text / max(1, n.parent.text)]
         else:
             around = [1.0, 1.0, 1.0, 1.0]
         out.append([np.log1p(n.text), np.log1p(n.own), n.links / max(1, n.text), n.tags / max(1, n.text), n.text / total, n.depth, seen / total, len(n.children), *around, *tags, *map(float, n.flags), *inherited[i], *above[i]])
@@ -367,7 +377,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text): the main text of each row's html, blocks joined by one space.
 
     Null or empty html gives an empty text; rows that repeat a page_id are read each
-    by itself; rows without a page_id are left out.
+    by itself; rows without a page_id are left out; pages of any length are read whole;
+    of subtrees that are worth as much kept as dropped the worth decides, above 0
+    kept; an empty table gives no rows; other columns are ignored.
     """
     trees = trained()
 
@@ -386,4 +398,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """extracted() of the whole table pages; see there for nulls, empty and repeated rows."""
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))

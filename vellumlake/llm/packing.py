@@ -10,6 +10,7 @@ of documents packs in parallel; each group leaves part of one window or so empty
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import unicodedata
@@ -42,8 +43,10 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # the tokenizer cuts its added tokens out of a text before it looks at words
+        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.keep, self.known, self.cores = keep, {}, {}
 
     @classmethod
@@ -53,6 +56,8 @@ class WordCache:
         return _encoders[path]
 
     def encode(self, text: str) -> np.ndarray:
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         for c in SPACE[1:]:
             text = text.replace(c, " ")
         words = text.split(" ")
@@ -153,18 +158,20 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(where, np.int64), np.array(offsets, np.int64)
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, group_tokens: int = 1 << 24) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, group_tokens: int = 1 << 24, group_pieces: int = 1 << 18) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Empty texts are a piece of the end id alone; an empty table packs into no rows;
     rows that repeat a doc_id are packed one by one.  Pieces of equal length go by
-    doc_id and start, so the packing depends on the rows alone.
+    doc_id and start.  A group holds about group_tokens tokens and group_pieces pieces
+    at most, whatever the input.  A null text is empty; rows without a doc_id are left
+    out; a text of any length is cut whole; other columns are ignored.
     """
     spark = importable(docs.sparkSession)
     cut = written(token_pieces(docs, tokenizer, end_id, window))
     rest = cut.where(F.col("length") < window)
-    total = rest.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    total, count = rest.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, -(-(total or 0) // group_tokens), -(-count // group_pieces))
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -174,8 +181,10 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096,
         yield from table.to_batches()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    left = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("group").applyInArrow(pack, schema)
-    # full windows take the negative numbers, one for each: -1 - (a number of the row)
+    # dealt by where a row stands in the written table, so that equal rows spread too
+    left = rest.withColumn("group", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(groups)))
+    left = left.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "group").groupBy("group").applyInArrow(pack, schema)
+    # full windows take the negative numbers, one for each: -1 - (a number of the row, which a scan of the written table gives again if it is repeated)
     full = cut.where(F.col("length") == window).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return left.union(full.select(left.columns))
 

@@ -46,7 +46,7 @@ def test_ranking(spark):
 
 
 def test_query_parts():
-    assert fulltext.parse_query('plain "two words" vault-cortex AND (x)') == [["two", "words"], ["vault", "cortex"], ["plain"], ["x"]]
+    assert fulltext.parse_query('plain "two words" blue-green AND (x)') == [["two", "words"], ["blue", "green"], ["plain"], ["x"]]
     assert fulltext.parse_query("what about the idiot", any_term=True) == [["idiot"]]
     assert fulltext.parse_query("*** ") == []
 

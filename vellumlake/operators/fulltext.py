@@ -7,6 +7,7 @@ nothing is exploded, and the only exchange is that of the corpus statistics.
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,26 +17,48 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Words that a query operator would be, and words that tell nothing in a search for any term.
 RESERVED = {"AND", "OR", "NOT", "NEAR"}
 COMMON = set("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with i me my you your do does about what when where which who whom why how".split())
-WORD = r"[^\s!-/:-@\[-^`{-~]"
-JOINER = r"[!#-'+\-/;-@\[-\]`{-~]"
+#: Marks that are operators of a query, never a part of a term; other ASCII marks but _ join what stands on both sides.
+OPERATORS = set('"*^():')
+JOINERS = set(string.punctuation) - OPERATORS - {"_"}
+
+
+def terms(raw: str) -> list[tuple[str, list[str]]]:
+    """The terms of a query as typed: ("quoted", words), ("joined", parts that marks join) or ("single", [word])."""
+    out: list[tuple[str, list[str]]] = []
+    parts, joining, at = [""], False, 0
+
+    def finish() -> None:
+        if found := [p for p in parts if p]:
+            out.append(("joined" if len(found) > 1 else "single", found))
+        parts[:] = [""]
+
+    while at < len(raw):
+        c, end = raw[at], raw.find('"', at + 1)
+        if c == '"' and end > at + 1:
+            finish()
+            out.append(("quoted", "".join(x for x in raw[at + 1 : end] if x not in OPERATORS).split()))
+            at = end
+        elif c.isspace() or c in OPERATORS:
+            finish()
+        elif c in JOINERS:
+            joining = True
+        else:
+            if joining:
+                parts.append("")
+            parts[-1] += c
+        joining = c in JOINERS
+        at += 1
+    finish()
+    return out
 
 
 def parse_query(raw: str, any_term: bool = False) -> list[list[str]]:
-    """The parts that must (or, with any_term, may) match, each a list of words that follow each other: quoted phrases, punctuated compounds, single words."""
-    phrases: list[str] = []
-
-    def quoted(m: re.Match) -> str:
-        if inner := re.sub(r"[*^():]", "", m[1]).strip():
-            phrases.append(inner)
-        return " "
-
-    def compound(m: re.Match) -> str:
-        phrases.append(re.sub(f"{JOINER}+", " ", m[0]))
-        return " "
-
-    rest = re.sub(f"{WORD}+(?:{JOINER}+{WORD}+)+", compound, re.sub(r'"([^"]+)"', quoted, raw))
-    single = [w for w in re.sub(r"[!-/:-@\[-^`{-~]", " ", rest).split() if w.upper() not in RESERVED and not (any_term and w.lower() in COMMON)]
-    return [words for p in [*phrases, *single] if (words := tokens_of(p))]
+    """The parts that must (or, with any_term, may) match, each a list of words that follow each other: quoted phrases first, then terms that marks join, then single words but for operators (and, with any_term, common words)."""
+    found = terms(raw)
+    skip = lambda w: w.upper() in RESERVED or any_term and w.lower() in COMMON
+    kept = [(kind, words) for kind, words in found if kind != "single" or not skip(words[0])]
+    in_order = [words for k in ("quoted", "joined", "single") for kind, words in kept if kind == k]
+    return [words for part in in_order if (words := tokens_of(" ".join(part)))]
 
 
 def tokens_of(text: str) -> list[str]:

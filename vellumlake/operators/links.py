@@ -52,10 +52,3 @@ def broken(links: DataFrame, notes: DataFrame, daily_folder: str | None = None)
     targets = links.select(F.col("target").alias("path")).distinct().join(notes.select("path"), "path", "left_anti")
     daily = F.startswith("path", F.lit(daily_folder.rstrip("/") + "/")) if daily_folder else F.lit(False)
     return targets.agg(F.count_if(~daily).alias("n_broken"), F.count_if(daily).alias("n_excluded"))
-
-
-def ranked_candidates(references: DataFrame, paths: DataFrame) -> DataFrame:
-    """All paths that a link text may mean, with rank 1 for the one it leads to."""
-    keys = paths.select("path", F.explode(suffixes(F.col("path"))).alias("s")).select("path", F.col("s.key").alias("target"), F.least("s.depth", F.lit(1)).alias("tier"))
-    w = Window.partitionBy("source", "target").orderBy("tier", F.length("path"), "path")
-    return references.join(keys, "target").select("source", "target", "path", F.row_number().over(w).alias("rank"))

@@ -44,12 +44,18 @@ def property_texts(notes: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def property_keys(notes: DataFrame, folder: str | None = None, samples: int = 3) -> DataFrame:
-    """key, n_notes and its most frequent values, in one pass over the properties."""
-    counts = properties_of(notes, folder).groupBy("key").agg(F.count_distinct("path").alias("n_notes"))
-    values = property_texts(notes, folder).groupBy("key", "text").agg(F.count("*").alias("n"))
-    top = values.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "text"))).where(F.col("rank") <= samples)
-    listed = top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("samples"))
-    return counts.join(listed, "key", "left").orderBy(F.desc("n_notes"), "key")
+    """key, n_notes and its most frequent values, in one pass over the properties: their rows, each with a note's first value marked, meet by key and value."""
+    some = properties_of(notes, folder)
+    many = F.try_variant_get(F.col("value"), "$", "array<variant>")
+    texts = F.when(F.schema_of_variant("value").startswith("ARRAY"), F.transform(many, P.as_text)).otherwise(F.array(P.as_text(F.col("value"))))
+    # a key occurs once in a note, so notes are counted by the first value of each
+    each = some.select("key", F.posexplode_outer(texts).alias("at", "text"))
+    values = each.groupBy("key", "text").agg(F.count("*").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("notes"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("text").isNull(), F.desc("n"), "text"))
+    ranked = values.withColumn("rank", rank)
+    top = F.when((F.col("rank") <= samples) & F.col("text").isNotNull(), F.struct("rank", "text"))
+    out = ranked.groupBy("key").agg(F.sum("notes").alias("n_notes"), F.transform(F.array_sort(F.collect_list(top)), lambda s: s["text"]).alias("samples"))
+    return out.orderBy(F.desc("n_notes"), "key")
 
 
 def property_values(notes: DataFrame, key: str, folder: str | None = None, limit: int = 50) -> DataFrame:
@@ -83,21 +89,30 @@ def adoption(notes: DataFrame, low: float = 0.05) -> DataFrame:
     return each.join(F.broadcast(total)).select("key", "n_notes", share.alias("share"), (share < low).alias("is_low")).orderBy(F.desc("n_notes"), "key")
 
 
-#: The order that each task column sorts in by itself.
-NATURAL = {"due": "asc", "scheduled": "asc", "start": "asc", "created": "desc", "done": "desc", "cancelled": "desc"}
+#: The dates that stand in for a missing one, most urgent first, and what sorts latest first by itself.
+STAND_IN = ("due", "scheduled", "start", "created")
+LATEST_FIRST = {"start", "created", "done", "note_mtime"}
+LEVELS = {"highest": 0, "high": 1, "medium": 2, "low": 4, "lowest": 5}
 
 
 def task_order(by: str, direction: str | None = None) -> list[Column]:
-    """The sort of a task list: the column named, then the other dates that matter, nulls last; then newest note, path, line."""
-    rank = F.when(F.col("priority") == "highest", 0).when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).when(F.col("priority").isNull(), 3).when(F.col("priority") == "low", 4).otherwise(5)
-    last = [F.desc("mtime_ms"), F.col("note_path").asc(), F.col("line").asc()]
+    """The sort of a task list, ties by note path and line.
+
+    A date is followed by the other dates that may stand in for it, then by the newest
+    note; nulls come last.  An explicit direction holds for all dates, else each has its own.
+    """
+    tie = [F.col("note_path").asc(), F.col("line").asc()]
+    down = lambda c: (direction or ("desc" if c in LATEST_FIRST else "asc")) == "desc"
+    put = lambda c, name: c.desc_nulls_last() if down(name) else c.asc_nulls_last()
     if by == "position":
-        return [F.col("note_path").asc() if direction != "desc" else F.col("note_path").desc(), F.col("line").asc() if direction != "desc" else F.col("line").desc()]
-    put = lambda c, d: c.asc_nulls_last() if d == "asc" else c.desc_nulls_last()
+        return [put(F.col("note_path"), by), put(F.col("line"), by)]
+    if by == "note_mtime":
+        return [put(F.col("mtime_ms"), by), *tie]
     if by == "priority":
-        return [put(rank, direction or "asc"), put(F.col("due"), "asc"), *last]
-    rest = [c for c in ("due", "scheduled") if c != by]
-    return [put(F.col(by), direction or NATURAL[by]), *[put(F.col(c), NATURAL[c]) for c in rest], *last]
+        level = F.coalesce(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("priority")], F.lit(3))
+        return [put(level, by), *tie]
+    others = [c for c in STAND_IN if c != by] if by in STAND_IN else []
+    return [*(put(F.col(c), c) for c in (by, *others)), F.desc("mtime_ms"), *tie]
 
 
 def task_list(tasks: DataFrame, status=("not_done",), dates=None, priority=None, folder=None, tag=None, heading=None, path=None, limit: int = 50, sort_by: str = "due", direction: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from vellumlake.functions import predicates as P
 from vellumlake.functions import ranking
-from vellumlake.operators import fulltext, links, metadata, vectors
+from vellumlake.functions.stems import stem
+from vellumlake.operators import fulltext, links, metadata, textindex, vectors
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
+from vellumlake.sources.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +58,41 @@ def q01_phrase_places(spark, sf_dir):
     return n.select("path", fulltext.frequency(F.col("words"), ["mit", "license"]).alias("n_places")).where("n_places > 0")
 
 
+#: All words of the driver's tables that have the stems of "hands" and "resting".
+FORMS = (["hand", "handing", "handed", "handes"], ["rest", "restes", "rested", "resting"])
+
+
+def stems_sql(tail: str) -> str:
+    tf = ", ".join(f"CAST(len(list_filter(w, lambda x: list_contains({forms}, x))) AS BIGINT) AS f{i}" for i, forms in enumerate(FORMS))
+    idf = lambda i: f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5)))"
+    score = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(2))
+    return f"""WITH {NOTES}, tok AS (SELECT path, list_transform(list_filter(string_split_regex(lower(title||' '||content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: strip_accents(x)) AS w FROM notes), tf AS (SELECT path, len(w) AS dl, {tf} FROM tok),
+st AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS df0, count(*) FILTER (f1 > 0) AS df1 FROM tf), hits AS (SELECT path, f0, f1, round({score}, 6) AS score FROM tf, st) {tail}"""
+
+
+def _indexed(spark, sf_dir, query: str, any_term: bool = False):
+    folder = shared_folder(spark)
+    textindex.build(A.notes(spark, sf_dir), F.concat_ws(" ", "title", "content"), folder)
+    return textindex.search(spark, folder, query, any_term=any_term).select("path", F.round("score", 6).alias("score"))
+
+
+@query(stems_sql("SELECT path, score FROM hits WHERE f0 > 0 AND f1 > 0"))
+def q01_indexed_search(spark, sf_dir):
+    return _indexed(spark, sf_dir, "hands resting")
+
+
+@query(stems_sql("SELECT path, score FROM hits WHERE f0 > 0 OR f1 > 0 ORDER BY score DESC, path LIMIT 30"))
+def q01_indexed_any_term(spark, sf_dir):
+    return _indexed(spark, sf_dir, "what about Hands, Resting", any_term=True).orderBy(F.desc("score"), "path").limit(30)
+
+
+@query(f"""WITH {NOTES}, hit AS (SELECT path, len(regexp_extract_all(' '||array_to_string(list_filter(string_split_regex(lower(title||' '||content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), '  ')||' ', ' (licensed|license)  under ')) AS n FROM notes) SELECT path, CAST(n AS INTEGER) AS n_places FROM hit WHERE n > 0""")
+def q01_indexed_phrase(spark, sf_dir):
+    rows = textindex.postings(A.notes(spark, sf_dir), F.concat_ws(" ", "title", "content")).where(F.col("term").isin(stem("licensing"), stem("under")))
+    places = rows.groupBy("path").agg(*[F.max(F.when(F.col("term") == stem(w), F.col("places"))).alias(w) for w in ("licensing", "under")])
+    return places.select("path", F.size(F.array_intersect(F.transform("licensing", lambda x: x + 1), "under")).alias("n_places")).where("n_places > 0")
+
+
 def _vector(spark, sf_dir, vec_id: int = 7) -> list[float]:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 
@@ -101,12 +138,13 @@ def q02_rank_fusion(spark, sf_dir):
 
 @query(_FUSED + """, top AS (SELECT f.doc_id, round(f, 6) AS f, coalesce(1 - n.distance, -1) AS p FROM fused f LEFT JOIN near n ON n.doc_id = f.doc_id ORDER BY round(f, 6) DESC, f.doc_id LIMIT 20),
 nrm AS (SELECT doc_id, row_number() OVER (ORDER BY f DESC, doc_id) AS r, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS a, (p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER ()) AS b FROM top),
-bl AS (SELECT doc_id, CASE WHEN r <= 3 THEN 0.75 WHEN r <= 10 THEN 0.5 ELSE 0.4 END AS w, a, b FROM nrm)
-SELECT doc_id, round(CAST(w * a + (1 - w) * b AS DOUBLE), 3) AS score FROM bl""")
+bl AS (SELECT doc_id, CASE WHEN r <= 3 THEN 0.75 WHEN r <= 10 THEN 0.5 ELSE 0.4 END AS w, a, b FROM nrm),
+x AS (SELECT doc_id, CAST(w * a + (1 - w) * b AS DOUBLE) AS s FROM bl)
+SELECT doc_id, CASE WHEN s = 0 THEN 0 ELSE round(s * pow(10.0, 3 - floor(log10(abs(s))))) / pow(10.0, 3 - floor(log10(abs(s)))) END AS score FROM x""")
 def q02_hybrid_search(spark, sf_dir):
     _, near, fused = _candidates(spark, sf_dir)
     top = fused.select("doc_id", F.round("score", 6).alias("f")).join(near.select("doc_id", "distance"), "doc_id", "left").select("doc_id", "f", F.coalesce(1 - F.col("distance"), F.lit(-1.0)).alias("p")).orderBy(F.desc("f"), "doc_id").limit(20)
-    return vectors.reranked(top, "f", "p", "doc_id").select("doc_id", F.round("score", 3).alias("score"))
+    return vectors.reranked(top, "f", "p", "doc_id").select("doc_id", "score")
 
 
 @query(bm25_sql(f"WITH {ENTRIES}, t AS (SELECT * FROM entries)", "file, section, entry_date, entry_index, entry_key", "entry_text", ["the", "and"], False, "SELECT file, section, entry_date, entry_index, score FROM hits ORDER BY score DESC, entry_key, entry_index LIMIT 50"))
@@ -133,23 +171,43 @@ def q08_search_by_folder(spark, sf_dir):
     return metadata.by_folder(A.notes(spark, sf_dir), "SRC2/en/", recursive=False).select("path", "title", "mtime_ms")
 
 
-@query(f"WITH {TASKS} SELECT note_path, line, status, priority, due, scheduled FROM tasks WHERE status IN ('todo', 'in_progress') AND due < '1997-01-01' AND (priority IN ('high') OR priority IS NULL) AND lower(note_path) LIKE 'list/%' ORDER BY due ASC NULLS LAST, scheduled ASC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 50")
+@query(f"WITH {TASKS} SELECT note_path, line, status, priority, due, scheduled FROM tasks WHERE status IN ('todo', 'in_progress') AND due < '1997-01-01' AND (priority IN ('high') OR priority IS NULL) AND lower(note_path) LIKE 'list/%' ORDER BY due ASC NULLS LAST, scheduled ASC NULLS LAST, \"start\" DESC NULLS LAST, created DESC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 50")
 def q09_list_tasks(spark, sf_dir):
     _, page = metadata.task_list(A.tasks(spark, sf_dir), dates={"due": {"before": "1997-01-01"}}, priority=["high", "none"], folder="list")
     return page.select("note_path", "line", "status", "priority", "due", "scheduled")
 
 
-@query(f"WITH {TASKS} SELECT note_path, line, priority, due FROM tasks WHERE len(list_filter(tags, lambda x: x = 'prio' OR lower(x) LIKE 'prio/%')) > 0 AND heading IN ('lane 1', 'lane 4') ORDER BY CASE priority WHEN 'highest' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 4 WHEN 'lowest' THEN 5 ELSE 3 END, due ASC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 40")
+@query(f"WITH {TASKS} SELECT note_path, line, priority, due FROM tasks WHERE len(list_filter(tags, lambda x: x = 'prio' OR lower(x) LIKE 'prio/%')) > 0 AND heading IN ('lane 1', 'lane 4') ORDER BY CASE priority WHEN 'highest' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 4 WHEN 'lowest' THEN 5 ELSE 3 END, note_path, line LIMIT 40")
 def q09_tasks_by_priority(spark, sf_dir):
     _, page = metadata.task_list(A.tasks(spark, sf_dir), status=["all"], tag="prio", heading=["lane 1", "lane 4"], limit=40, sort_by="priority")
     return page.select("note_path", "line", "priority", "due")
 
 
-@query(f"WITH {TASKS} SELECT count(*) AS total FROM tasks WHERE status = 'done' AND done > '1995-06-30' AND scheduled = '1996-03-01' OR (status = 'done' AND done > '1995-06-30' AND scheduled = '1996-03-01')")
+@query(f"WITH {TASKS} SELECT count(*) AS total FROM tasks WHERE status = 'done' AND done > '1995-06-30' AND scheduled = '1996-03-01'")
 def q09_count_tasks(spark, sf_dir):
     return metadata.task_list(A.tasks(spark, sf_dir), status=["done"], dates={"done": {"after": "1995-06-30"}, "scheduled": {"on": "1996-03-01"}})[0]
 
 
+@query(f"WITH {TASKS} SELECT note_path, line, \"start\", created FROM tasks WHERE status IN ('todo', 'in_progress') ORDER BY \"start\" DESC NULLS LAST, due ASC NULLS LAST, scheduled ASC NULLS LAST, created DESC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 50")
+def q09_tasks_by_start(spark, sf_dir):
+    return metadata.task_list(A.tasks(spark, sf_dir), sort_by="start")[1].select("note_path", "line", "start", "created")
+
+
+@query(f"WITH {TASKS} SELECT note_path, line, created, due FROM tasks WHERE status IN ('todo', 'in_progress') ORDER BY created ASC NULLS LAST, due ASC NULLS LAST, scheduled ASC NULLS LAST, \"start\" ASC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 50")
+def q09_tasks_oldest_first(spark, sf_dir):
+    return metadata.task_list(A.tasks(spark, sf_dir), sort_by="created", direction="asc")[1].select("note_path", "line", "created", "due")
+
+
+@query(f"WITH {TASKS} SELECT note_path, line, done FROM tasks WHERE status = 'done' ORDER BY done DESC NULLS LAST, mtime_ms DESC, note_path, line LIMIT 30")
+def q09_tasks_lately_done(spark, sf_dir):
+    return metadata.task_list(A.tasks(spark, sf_dir), status=["done"], sort_by="done", limit=30)[1].select("note_path", "line", "done")
+
+
+@query(f"WITH {TASKS} SELECT note_path, line FROM tasks WHERE status IN ('todo', 'in_progress') ORDER BY mtime_ms DESC, note_path, line LIMIT 30")
+def q09_tasks_of_newest_notes(spark, sf_dir):
+    return metadata.task_list(A.tasks(spark, sf_dir), sort_by="note_mtime", limit=30)[1].select("note_path", "line")
+
+
 @query(f"WITH {NOTES}, x AS (SELECT DISTINCT path, unnest(tags) AS tag FROM notes) SELECT tag, count(*) AS n_notes FROM x GROUP BY tag")
 def q10_list_all_tags(spark, sf_dir):
     return metadata.all_tags(A.notes(spark, sf_dir))
@@ -233,13 +291,6 @@ def q20_vault_stats(spark, sf_dir):
     return metadata.stats(A.notes(spark, sf_dir))
 
 
-@query(f"WITH {ENTRIES} SELECT file, sha256(string_agg(entry_date||': '||entry_text, chr(10) ORDER BY entry_key, entry_index)) AS digest FROM entries WHERE section IN ('1', '2', '3', '5', '8') GROUP BY file")
-def q21_memory_text(spark, sf_dir):
-    e = A.entries(spark, sf_dir).where(F.col("section").isin("1", "2", "3", "5", "8"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_key", "entry_index", F.concat_ws(": ", "entry_date", "entry_text").alias("line")))), lambda s: s["line"])
-    return e.groupBy("file").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
-
-
 @query(f"WITH {ENTRIES} SELECT file, section, sha256(string_agg(entry_date||': '||entry_text, chr(10) ORDER BY entry_key, entry_index)) AS digest FROM entries GROUP BY file, section")
 def q21_memory_section_text(spark, sf_dir):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_key", "entry_index", F.concat_ws(": ", "entry_date", "entry_text").alias("line")))), lambda s: s["line"])
@@ -268,12 +319,6 @@ def q24_daily_review(spark, sf_dir):
     return t.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_tasks"))
 
 
-@query("WITH a AS (SELECT role AS file, sha256(text) AS hash, turn AS i, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM conversations WHERE conv_id % 3 <> 0), b AS (SELECT role AS file, sha256(text) AS hash, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM conversations WHERE conv_id % 3 <> 1) SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NOT NULL AND b.file IS NOT NULL THEN 'keep' WHEN b.file IS NOT NULL THEN 'insert' ELSE 'delete' END AS action, count(*) AS n FROM a FULL JOIN b ON a.file = b.file AND a.hash = b.hash AND a.place = b.place GROUP BY 1, 2")
-def q25_reconcile_entries(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("file"), F.sha2("text", 256).alias("hash"), F.col("turn").alias("entry_index"))
-    return metadata.reconciled(c.where("conv_id % 3 <> 0"), c.where("conv_id % 3 <> 1")).groupBy("file", "action").agg(F.count("*").alias("n"))
-
-
 @query("WITH a AS (SELECT role AS file, sha256(text) AS hash, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM conversations), n AS (SELECT role, turn, conv_id, CASE WHEN turn = 1 THEN text || ' (edited)' ELSE text END AS text FROM conversations), b AS (SELECT role AS file, sha256(text) AS hash, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY turn, conv_id) AS place FROM n) SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NOT NULL AND b.file IS NOT NULL THEN 'keep' WHEN b.file IS NOT NULL THEN 'insert' ELSE 'delete' END AS action, count(*) AS n FROM a FULL JOIN b ON a.file = b.file AND a.hash = b.hash AND a.place = b.place GROUP BY 1, 2")
 def q25_reconcile_all_entries(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -53,6 +53,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(level == "1", "highest").when(level == "2", "high").when(level == "3", "medium").when(level == "4", "low").alias("priority"),
         F.when(k % 4 != 0, day(0)).alias("due"),
         F.when(k % 3 == 0, day(-5)).alias("scheduled"),
+        F.when(k % 5 == 0, day(-3)).alias("start"),
+        F.when(k % 6 != 0, day(-20)).alias("created"),
         F.when(F.col("o_orderstatus") == "F", day(9)).alias("done"),
         (1600000000000 + (F.col("o_custkey") * 31 % 1000) * 86400000).cast("double").alias("mtime_ms"),
         F.array(F.concat(F.lit("prio/"), level), F.when(k % 2 == 0, "even").otherwise("odd")).alias("tags"),
@@ -62,7 +64,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TASKS = """tasks AS (SELECT 'list/'||(o_custkey % 97)||'/'||o_custkey||'.md' AS note_path, o_orderkey AS line, CASE WHEN o_orderkey % 13 = 0 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' THEN 'in_progress' ELSE 'todo' END AS status,
   'order '||o_orderkey AS description, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'highest' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' END AS priority,
-  CASE WHEN o_orderkey % 4 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS due, CASE WHEN o_orderkey % 3 = 0 THEN strftime(CAST(o_orderdate AS DATE) - 5, '%Y-%m-%d') END AS scheduled, CASE WHEN o_orderstatus = 'F' THEN strftime(CAST(o_orderdate AS DATE) + 9, '%Y-%m-%d') END AS done,
+  CASE WHEN o_orderkey % 4 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS due, CASE WHEN o_orderkey % 3 = 0 THEN strftime(CAST(o_orderdate AS DATE) - 5, '%Y-%m-%d') END AS scheduled, CASE WHEN o_orderkey % 5 = 0 THEN strftime(CAST(o_orderdate AS DATE) - 3, '%Y-%m-%d') END AS "start", CASE WHEN o_orderkey % 6 <> 0 THEN strftime(CAST(o_orderdate AS DATE) - 20, '%Y-%m-%d') END AS created, CASE WHEN o_orderstatus = 'F' THEN strftime(CAST(o_orderdate AS DATE) + 9, '%Y-%m-%d') END AS done,
   CAST(1600000000000 + (o_custkey * 31 % 1000) * 86400000 AS DOUBLE) AS mtime_ms, ['prio/'||substr(o_orderpriority, 1, 1), CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END] AS tags, 'lane '||(o_orderkey % 5) AS heading FROM orders)"""
 
 

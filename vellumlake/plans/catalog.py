@@ -265,7 +265,7 @@ def q15_backlinks(spark, sf_dir):
     return links.backlinks(_links(spark, sf_dir), n, path)
 
 
-@query(f"{GRAPH} SELECT l.target AS path, n.title, n.path IS NOT NULL AS exists, CASE WHEN n.path IS NOT NULL THEN 'note' END AS kind, n.bytes, n.path IS NULL AND starts_with(l.target, 'missing/') AS forward_ref FROM links l LEFT JOIN notes n ON n.path = l.target WHERE l.source = (SELECT path FROM notes WHERE doc_id = 171)")
+@query(f"{GRAPH} SELECT l.target AS path, n.title, n.path IS NOT NULL AS exists, 'note' AS kind, n.bytes, n.path IS NULL AND starts_with(l.target, 'missing/') AS forward_ref FROM links l LEFT JOIN notes n ON n.path = l.target WHERE l.source = (SELECT path FROM notes WHERE doc_id = 171)")
 def q16_outgoing_links(spark, sf_dir):
     n = A.notes(spark, sf_dir)
     return links.outgoing(_links(spark, sf_dir), n, n.where("doc_id = 171").first()["path"], "missing")
@@ -281,6 +281,34 @@ def q18_broken_links(spark, sf_dir):
     return links.broken(_links(spark, sf_dir), A.notes(spark, sf_dir), "missing/")
 
 
+ASSETS = f"WITH {A.FILES}, {A.ASSET_REFERENCES}"
+
+
+@query(f"{ASSETS} SELECT source, target FROM asset_links")
+def q15_resolved_file_links(spark, sf_dir):
+    return links.resolved(A.asset_references(spark, sf_dir), A.notes(spark, sf_dir), A.files(spark, sf_dir))
+
+
+@query(f"{ASSETS} SELECT source AS path, regexp_extract(source, '[^/]*$') AS title, f.bytes FROM asset_links l JOIN files f ON f.path = l.source WHERE target = (SELECT path FROM files WHERE page_id = 2)")
+def q15_backlinks_of_file(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    found = links.resolved(A.asset_references(spark, sf_dir), A.notes(spark, sf_dir), f)
+    return links.backlinks(found, A.notes(spark, sf_dir), f.where("page_id = 2").first()["path"], f)
+
+
+@query(f"{ASSETS} SELECT target AS path, CAST(NULL AS VARCHAR) AS title, f.path IS NOT NULL AS exists, CASE WHEN f.path IS NOT NULL THEN 'file' ELSE 'note' END AS kind, f.bytes, false AS forward_ref FROM asset_links l LEFT JOIN files f ON f.path = l.target WHERE l.source = (SELECT path FROM files WHERE page_id = 6)")
+def q16_outgoing_file_links(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    found = links.resolved(A.asset_references(spark, sf_dir), A.notes(spark, sf_dir), f)
+    return links.outgoing(found, A.notes(spark, sf_dir), f.where("page_id = 6").first()["path"], None, f)
+
+
+@query(f"{ASSETS} SELECT count(*) FILTER (NOT starts_with(target, 'nowhere/1')) AS n_broken, count(*) FILTER (starts_with(target, 'nowhere/1')) AS n_excluded FROM (SELECT DISTINCT target FROM asset_links WHERE target NOT IN (SELECT path FROM files))")
+def q18_broken_file_links(spark, sf_dir):
+    found = links.resolved(A.asset_references(spark, sf_dir), A.notes(spark, sf_dir), A.files(spark, sf_dir))
+    return links.broken(found.withColumn("target", F.regexp_replace("target", "^nowhere/1", "nowhere/1/")), A.notes(spark, sf_dir), "nowhere/1", A.files(spark, sf_dir))
+
+
 @query(f"WITH {NOTES} SELECT {LISTED} FROM notes WHERE mtime_ms >= epoch_ms(TIMESTAMP '2024-02-01') AND mtime_ms < epoch_ms(TIMESTAMP '2024-02-02') ORDER BY mtime_ms DESC, path LIMIT 50")
 def q19_modified_on_date(spark, sf_dir):
     return metadata.modified_on(A.notes(spark, sf_dir), "2024-02-01").select("path", "title", "mtime_ms")

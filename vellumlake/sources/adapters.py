@@ -83,9 +83,35 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REFERENCES = """cnt AS (SELECT count(*) AS n FROM notes), ends AS (SELECT doc_id, path AS source, unnest([(7 * doc_id + 3) % CAST(floor(n * 6 / 5) AS BIGINT), 2 * ((5 * doc_id + 1) % CAST(floor(n * 3 / 5) AS BIGINT))]) AS to_id FROM notes, cnt),
 refs AS (SELECT DISTINCT e.source, CASE e.doc_id % 3 WHEN 0 THEN coalesce(t.path, 'missing/'||e.to_id||'.md') WHEN 1 THEN coalesce(t.type||'/'||t.doc_id||'.md', 'missing/'||e.to_id||'.md') ELSE CAST(e.to_id AS VARCHAR) END AS target FROM ends e LEFT JOIN notes t ON t.doc_id = e.to_id),
-keys AS (SELECT path, path AS key, 0 AS tier FROM notes UNION ALL SELECT path, substr(path, strpos(path, '/') + 1), 1 FROM notes UNION ALL SELECT path, regexp_extract(path, '[^/]+$'), 1 FROM notes),
-found AS (SELECT r.source, r.target, k.path, row_number() OVER (PARTITION BY r.source, r.target ORDER BY k.tier, length(k.path), k.path) AS rn FROM refs r JOIN keys k ON k.key = CASE WHEN r.target LIKE '%.md' THEN r.target ELSE r.target||'.md' END),
-links AS (SELECT DISTINCT r.source, coalesce(f.path, CASE WHEN r.target LIKE '%.md' THEN r.target ELSE r.target||'.md' END) AS target FROM refs r LEFT JOIN found f ON f.source = r.source AND f.target = r.target AND f.rn = 1)"""
+keys AS (SELECT path, path AS key, 0 AS tier FROM notes UNION ALL SELECT path, substr(path, strpos(path, '/') + 1), 2 FROM notes UNION ALL SELECT path, regexp_extract(path, '[^/]+$'), 2 FROM notes),
+asked AS (SELECT source, target, CASE WHEN target LIKE '%.md' THEN target ELSE target||'.md' END AS key FROM refs),
+found AS (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY tier, length(path), path) AS rn FROM (
+  SELECT a.source, a.target, k.path, k.tier FROM asked a JOIN keys k ON k.key = a.key UNION ALL
+  SELECT a.source, a.target, n.path, 1 FROM asked a JOIN notes n ON n.path = regexp_extract(a.source, '^(.*/)[^/]*$', 1)||a.key)),
+links AS (SELECT DISTINCT r.source, coalesce(f.path, r.target) AS target FROM refs r LEFT JOIN found f ON f.source = r.source AND f.target = r.target AND f.rn = 1)"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, bytes): pages as files that are no notes, some without an extension, some hidden."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("page"), k.cast("string"), F.when(k % 5 == 0, ".png").when(k % 5 == 1, ".Canvas").when(k % 5 == 2, ".tar.gz").when(k % 5 == 3, ".csv").otherwise(""))
+    return table(spark, sf_dir, "pages").select(k.alias("page_id"), F.concat(F.lit("files/"), (k % 3).cast("string"), F.when(k % 17 == 0, "/.cache/").otherwise("/"), name).alias("path"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+FILES = """files AS (SELECT page_id, 'files/'||(page_id % 3)||CASE WHEN page_id % 17 = 0 THEN '/.cache/' ELSE '/' END||'page'||page_id||CASE page_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.Canvas' WHEN 2 THEN '.tar.gz' WHEN 3 THEN '.csv' ELSE '' END AS path, CAST(strlen(html) AS BIGINT) AS bytes FROM pages)"""
+
+
+def asset_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target): a link to another page from each page that is a file: by whole path, from its own folder (which no dot hides), by name, without extension; some lead nowhere."""
+    f = files(spark, sf_dir)
+    to = f.select((F.col("page_id") * 3).alias("from_id"), F.col("path").alias("to"))
+    style, name = F.col("page_id") % 5, F.regexp_extract("to", r"([^/]*)$", 1)
+    text = F.when(F.col("to").isNull(), F.concat(F.lit("nowhere/"), F.col("page_id").cast("string"))).when(style == 0, F.col("to")).when(style == 1, F.concat(F.lit("../"), F.regexp_replace("to", "^files/", ""))).when(style == 2, name).when(style == 3, F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")).otherwise(F.concat(F.lit("../../x/.././"), F.col("to")))
+    return f.where("page_id % 17 <> 0").join(to, F.col("page_id") == F.col("from_id"), "left").select(F.col("path").alias("source"), text.alias("target"))
+
+
+ASSET_REFERENCES = """pairs AS (SELECT f.page_id, f.path AS source, t.path AS dest FROM files f LEFT JOIN files t ON t.page_id * 3 = f.page_id WHERE f.page_id % 17 <> 0),
+asset_links AS (SELECT source, CASE WHEN dest IS NULL THEN 'nowhere/'||page_id ELSE dest END AS target FROM pairs)"""
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,8 @@ def parse_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         rows = []
         for path, text in zip(paths, texts, strict=True):
             try:
+                if text is None:
+                    raise ValueError("not UTF-8")
                 rows.append(parse_note(path, text))
             except Exception as e:  # one bad file must not end the scan
                 rows.append({"error": f"{type(e).__name__}: {e}"})
@@ -85,14 +87,14 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def note_rows(raw: DataFrame) -> DataFrame:
-    """path, mtime_ms, bytes and the parsed fields of (path, mtime_ms, bytes, text)."""
+    """path, mtime_ms, bytes and the parsed fields of (path, mtime_ms, bytes, text); a null text, which was no UTF-8, is an error."""
     return raw.withColumn("note", F.pandas_udf(parse_batches, PARSED)("path", "text")).select("path", "mtime_ms", "bytes", "note.*").withColumn("folder", F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(""))
 
 
 def vault(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """notes, tasks, entries, chunks, links, files and errors of a folder."""
     text: Column = F.try_validate_utf8(F.col("content").cast("string"))
-    raw = files(spark, root, "*.md").select("path", "mtime_ms", "bytes", F.coalesce(text, F.lit("")).alias("text"))
+    raw = files(spark, root, "*.md").select("path", "mtime_ms", "bytes", text.alias("text"))
     return tables(note_rows(raw), files(spark, root).where(~F.endswith("path", F.lit(".md"))))
 
 
@@ -103,10 +105,19 @@ def tables(rows: DataFrame, others: DataFrame) -> dict[str, DataFrame]:
     entries = good.select(F.col("path").alias("file"), F.explode("entries").alias("e")).select("file", "e.section", F.col("e.date").alias("entry_date"), F.col("e.text").alias("entry_text"), "e.entry_index", "e.content_hash")
     chunks = good.select("path", F.posexplode("chunks").alias("chunk_index", "chunk_text")).withColumn("content_hash", F.sha2("chunk_text", 256))
     refs = good.select(F.col("path").alias("source"), F.explode("links").alias("target"))
-    links = resolved(refs, notes.select("path").union(others.select("path")))
+    links = resolved(refs.union(canvas_links(others)), notes, others)
     return {"notes": notes, "tasks": tasks, "entries": entries, "chunks": chunks, "links": links, "files": others.select("path", "mtime_ms", "bytes"), "errors": rows.where("error is not null").select("path", "error")}
 
 
+def canvas_links(others: DataFrame) -> DataFrame:
+    """(source, target): the files that canvases show; a canvas that is no JSON shows none."""
+    if "content" not in others.columns:
+        return others.select(F.col("path").alias("source"), F.lit("").alias("target")).where(F.lit(False))
+    nodes = F.from_json(F.try_validate_utf8(F.col("content").cast("string")), "nodes array<struct<type:string,file:string>>")["nodes"]
+    each = others.where(F.endswith("path", F.lit(".canvas"))).select(F.col("path").alias("source"), F.explode(nodes).alias("n"))
+    return each.where("n.type = 'file' and n.file is not null").select("source", F.col("n.file").alias("target"))
+
+
 def text_files(spark: SparkSession, root: str, most: int = 102_400) -> DataFrame:
     """(path, title, content, folder, mtime_ms, bytes) of text files and canvases, contents cut to so many bytes."""
     name = F.element_at(F.split("path", "/"), -1)

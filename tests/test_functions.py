@@ -81,13 +81,17 @@ def test_links(spark):
     paths = spark.createDataFrame([("a/b/c.md",), ("x/c.md",), ("d.md",), ("a/x.y.md",)], "path string")
     refs = spark.createDataFrame([("d.md", "c"), ("d.md", "b/c"), ("d.md", "d"), ("d.md", "gone"), ("d.md", "x.y")], "source string, target string")
     got = {r.target for r in links.resolved(refs, paths).collect()}
-    assert got == {"x/c.md", "a/b/c.md", "d.md", "gone.md", "a/x.y.md"}
+    assert got == {"x/c.md", "a/b/c.md", "d.md", "gone", "a/x.y.md"}
 
 
 def test_task_sort_and_reconcile(spark):
-    t = spark.createDataFrame([("n", 1, "todo", None, "2024-01-02", None, 1.0, [], None), ("n", 2, "done", "high", None, None, 1.0, [], None), ("n", 3, "todo", None, "2024-01-01", None, 1.0, [], None)], "note_path string, line int, status string, priority string, due string, scheduled string, mtime_ms double, tags array<string>, heading string")
+    t = spark.createDataFrame([("n", 1, "todo", None, "2024-01-02", None, 1.0), ("n", 2, "done", "high", None, None, 1.0), ("n", 3, "todo", None, "2024-01-01", None, 1.0), ("m", 4, "todo", None, None, "2024-01-05", 2.0), ("o", 5, "todo", "lowest", None, None, 3.0)], "note_path string, line int, status string, priority string, due string, start string, mtime_ms double")
+    t = t.withColumns({c: F.lit(None).cast("string") for c in ("scheduled", "created", "done", "cancelled", "heading")}).withColumn("tags", F.array().cast("array<string>"))
+    by = lambda *a: [r.line for r in metadata.task_list(t, status=["all"], sort_by=a[0], direction=a[1] if len(a) > 1 else None)[1].collect()]
     total, page = metadata.task_list(t, status=["all"])
-    assert total.first()[0] == 3 and [r.line for r in page.collect()] == [3, 1, 2]
+    assert total.first()[0] == 5 and [r.line for r in page.collect()] == [3, 1, 4, 5, 2]
+    assert by("start") == [4, 3, 1, 5, 2] and by("due", "desc") == [1, 3, 4, 5, 2] and by("priority") == [2, 4, 1, 3, 5]
+    assert by("note_mtime") == [5, 4, 1, 2, 3] and by("position", "desc") == [5, 3, 2, 1, 4]
     old = spark.createDataFrame([("f", "h", 0), ("f", "h", 1), ("f", "k", 2)], "file string, hash string, entry_index int")
     new = spark.createDataFrame([("f", "h", 0), ("f", "m", 1)], "file string, hash string, entry_index int")
     assert sorted((r.hash, r.action) for r in metadata.reconciled(old, new).collect()) == [("h", "delete"), ("h", "keep"), ("k", "delete"), ("m", "insert")]

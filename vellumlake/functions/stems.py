@@ -34,13 +34,13 @@ def _ending(word: str, endings) -> str | None:
 
 
 def _plural(w: str) -> str:
-    if w.endswith(("sses", "ies")):
+    if len(w) > 4 and w.endswith("sses") or len(w) > 3 and w.endswith("ies"):
         return w[:-2]
     return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
 
 
 def _past(w: str) -> str:
-    if w.endswith("eed"):
+    if len(w) > 3 and w.endswith("eed"):
         return w[:-1] if measure(w[:-3]) else w
     for e in ("ed", "ing"):
         if w.endswith(e) and "v" in shape(w[: -len(e)]):

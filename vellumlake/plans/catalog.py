@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from vellumlake.functions import predicates as P
 from vellumlake.functions import ranking
 from vellumlake.functions.stems import stem
-from vellumlake.operators import fulltext, links, metadata, textindex, vectors
+from vellumlake.operators import fulltext, links, metadata, reading, textindex, vectors
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
 from vellumlake.sources.store import shared_folder
+from vellumlake.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -355,6 +356,50 @@ def q25_reconcile_all_entries(spark, sf_dir):
     return metadata.reconciled(snapshot(F.col("text")), snapshot(edited)).groupBy("file", "action").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {NOTES} SELECT path FROM notes WHERE regexp_full_match(path, 'src[12]/[^/]*/[^/]*5[.]md')")
+def s9_list_notes(spark, sf_dir):
+    return reading.list_notes(A.notes(spark, sf_dir), None, "src[12]/*/*5.md")
+
+
+@query(f"WITH {A.FILES} SELECT path, CASE WHEN e = '' THEN '(none)' ELSE e END AS extension, bytes FROM (SELECT path, lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) AS e, bytes FROM files WHERE path NOT LIKE '%/.%' AND path LIKE 'files/1/%') ORDER BY path LIMIT 25")
+def s10_list_files(spark, sf_dir):
+    return reading.list_files(A.files(spark, sf_dir), "files/1/", None, 25)[0]
+
+
+@query(f"WITH {A.FILES} SELECT lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) AS extension, count(*) AS n FROM files WHERE path NOT LIKE '%/.%' AND lower(path) LIKE ANY ('%.png', '%.canvas') GROUP BY 1")
+def a10_extension_counts(spark, sf_dir):
+    return reading.list_files(A.files(spark, sf_dir), None, ["PNG", ".canvas"])[1]
+
+
+@query(f"WITH {A.OUTLINED} SELECT path, CAST(k AS INTEGER) AS place, CAST(level AS INTEGER) AS level, text, CAST(strlen(body) AS BIGINT) AS bytes FROM outlined")
+def s13_outlines(spark, sf_dir):
+    return reading.outline(A.outlined(spark, sf_dir))
+
+
+@query(f"WITH {A.OUTLINED}, p AS (SELECT DISTINCT 'notes/'||doc_id||'.md' AS path FROM plain) SELECT p.path, sha256(o.body) AS digest, CASE WHEN o.path IS NULL THEN 'heading not found' END AS error FROM p LEFT JOIN outlined o ON o.path = p.path AND o.text = 'part 1'")
+def s14_sections(spark, sf_dir):
+    return reading.sections(A.outlined(spark, sf_dir), "part 1").select("path", F.sha2("text", 256).alias("digest"), "error")
+
+
+@query("WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM documents), t AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM l) SELECT doc_id, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL ELSE sha256(array_to_string(l[3:6], chr(10))) END AS digest, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL ELSE 3 END AS start_line, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL WHEN len(l) = 0 THEN 2 ELSE least(len(l), 6) END AS end_line, len(l) AS total_lines FROM t")
+def s15_line_windows(spark, sf_dir):
+    found = reading.line_window(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 3, 4)
+    return found.select("doc_id", F.when(F.col("error").isNull(), F.sha2("window", 256)).alias("digest"), "start_line", F.when(F.col("error").isNull(), F.col("end_line")).alias("end_line"), F.col("total_lines").cast("long").alias("total_lines"))
+
+
+@query("WITH s AS (SELECT DISTINCT p_name AS section FROM part), w AS (SELECT unnest(['Blue  Bolt (newest first)', 'hott gear', 'small rings', 'red wigdet']) AS wanted, unnest(['blue bolt', 'hot gear', 'small rings', 'red wigdet']) AS form) SELECT section, count(*) AS n FROM s, w WHERE section = form OR (levenshtein(section, CASE form WHEN 'hot gear' THEN 'hott gear' ELSE form END) <= 2 AND least(length(section), length(form)) > 7) OR (levenshtein(section, CASE form WHEN 'hot gear' THEN 'hott gear' ELSE form END) <= 1 AND least(length(section), length(form)) BETWEEN 4 AND 7) GROUP BY section")
+def x49_near_miss_sections(spark, sf_dir):
+    wanted = ["Blue  Bolt (newest first)", "hott gear", "small rings", "red wigdet"]
+    sections = table(spark, sf_dir, "part").select(F.col("p_name").alias("section")).distinct()
+    hits = F.size(F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: reading.is_near(F.col("section"), w))).cast("long")
+    return sections.select("section", hits.alias("n")).where("n > 0")
+
+
+@query("SELECT DISTINCT trim(regexp_replace(lower(p_brand||' '||p_type), '[^a-z0-9]+', '-', 'g'), '-') AS tag FROM part")
+def x51_kebab_tags(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(reading.kebab(F.concat_ws(" ", "p_brand", "p_type")).alias("tag")).distinct()
+
+
 @query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT target, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM h GROUP BY target")
 def s1_link_extraction(spark, sf_dir):
     each = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
@@ -374,8 +419,25 @@ def a2_event_property_keys(spark, sf_dir):
 
 @query("WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id AS path, event_id AS version, event_type AS op FROM l WHERE r = 1 AND event_type <> 'delete'")
 def r2_latest_per_path(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("version"), F.col("event_type").alias("op"))
-    return e.groupBy("path").agg(F.max(F.struct("version", "op")).alias("last")).select("path", "last.version", "last.op").where("op <> 'delete'")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("version"), F.col("event_type").alias("op"), F.col("value").alias("mtime_ms"), F.col("props").alias("text"))
+    return feed.last_changes(e).select("path", "version", "op").where("op <> 'delete'")
+
+
+@query(f"WITH {NOTES}, a AS (SELECT path, mtime_ms FROM notes WHERE doc_id % 9 <> 4), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms FROM notes WHERE doc_id % 9 <> 5) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR b.mtime_ms > a.mtime_ms")
+def r3_manifest_changes(spark, sf_dir):
+    """What changed between two listings of the same notes, each without some that the other has."""
+    n = A.notes(spark, sf_dir)
+    now = n.where("doc_id % 9 <> 5").select("path", F.when(F.col("doc_id") % 7 == 0, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"))
+    return feed.manifest_changes(n.where("doc_id % 9 <> 4").select("path", "mtime_ms"), now)
+
+
+@query("SELECT d.doc_id AS path, 0 AS chunk_index, sha256(d.text) AS content_hash FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 1)")
+def j9_chunks_to_embed(spark, sf_dir):
+    """Chunks without a vector of their present text; vectors of one label are of an older text."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("chunk_index"), F.sha2("text", 256).alias("content_hash"))
+    old = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "label").join(d, "path")
+    embedded = old.select("path", "chunk_index", F.when(F.col("label") == 1, "older").otherwise(F.col("content_hash")).alias("content_hash"))
+    return feed.to_embed(d, embedded).select("path", "chunk_index", "content_hash")
 
 
 @query("SELECT lang, levenshtein(lang, 'den') AS distance FROM (SELECT DISTINCT lang FROM documents)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumlake.sources.vault import note_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -122,3 +124,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES = """entries AS (SELECT 'About Me/'||role||'.md' AS file, CAST(conv_id AS VARCHAR) AS section, strftime(DATE '2023-01-01' + CAST((conv_id * 37 + turn) % 700 AS INTEGER), '%Y-%m-%d') AS entry_date, text AS entry_text, turn AS entry_index, conv_id AS entry_key FROM conversations)"""
+
+
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as parsed notes: plain lines, a heading of level 1, 2, 3, 1, ... before every third."""
+    plain = F.regexp_replace("text", r"[^\p{L}\p{N} \n.]", " ")
+    lines = F.transform(F.split(plain, "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), 1 + F.floor(i / 3).cast("int") % 3), F.lit(" part "), F.floor(i / 3).cast("string"), F.lit("\nx"), x)).otherwise(F.concat(F.lit("x"), x)))
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(lines, "\n").alias("text"))
+    return note_rows(d.select("path", F.lit(0.0).alias("mtime_ms"), F.octet_length("text").cast("long").alias("bytes"), "text"))
+
+
+OUTLINED = """plain AS (SELECT doc_id, string_split(regexp_replace(text, '[^\\p{L}\\p{N} \\n.]', ' ', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+blocks AS (SELECT doc_id, k, len(l) AS n, repeat('#', CAST(1 + k % 3 AS INTEGER))||' part '||k||chr(10)||array_to_string(list_transform(l[3 * k + 1 : 3 * k + 3], lambda x: 'x'||x), chr(10)) AS b FROM (SELECT doc_id, l, unnest(range(0, (len(l) + 2) // 3)) AS k FROM plain)),
+outlined AS (SELECT a.doc_id, 'notes/'||a.doc_id||'.md' AS path, a.k, 1 + a.k % 3 AS level, 'part '||a.k AS text, string_agg(b.b, chr(10) ORDER BY b.k) AS body FROM blocks a JOIN blocks b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.k < a.k + 3 - a.k % 3 GROUP BY ALL)"""

@@ -1,13 +1,16 @@
 """Incremental maintenance: a stream of changes keeps tables of notes up to date.
 
-A change is (path, op, version, mtime_ms, text), op being upsert or delete.  Each
-micro-batch takes the last change of each path that is newer than what is indexed,
-writes a new snapshot of every table and then moves a pointer to it, so readers see
-one state or the next, and a batch that runs again leaves what it left before.
+A change is (path, op, version, mtime_ms, text), op being upsert or delete.  Rows lie in
+buckets by a hash of their path.  Each micro-batch takes the last change of each path
+that is newer than what is indexed, parses it once, writes anew the buckets that it
+touches, and then moves a pointer that names the folder of every bucket; so readers see
+one state or the next, and a batch that runs again leaves what it left before.  Folders
+that the last two pointers do not name are deleted.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,43 +41,66 @@ def manifest_changes(indexed: DataFrame, current: DataFrame) -> DataFrame:
 
 def merged(state: DataFrame | None, changes: DataFrame) -> DataFrame:
     """The rows (path, version, deleted, note fields) after the changes; deletions are kept as marks, so that late, older changes stay out."""
-    new = changes.select("path", "version", (F.col("op") == "delete").alias("deleted"), "mtime_ms", "text")
     if state is None:
-        return new
-    newer = new.join(state.select("path", F.col("version").alias("had")), "path", "left").where("had is null or version > had").drop("had")
+        return changes
+    newer = changes.join(state.select("path", F.col("version").alias("had")), "path", "left").where("had is null or version > had").drop("had")
     return state.join(newer.select("path"), "path", "left_anti").unionByName(newer)
 
 
+def parsed(changes: DataFrame) -> DataFrame:
+    """Changes as rows of the index: path, version, deleted and what the note's text holds."""
+    rows = note_rows(changes.select("path", "mtime_ms", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.coalesce("text", F.lit("")).alias("text")))
+    return rows.join(changes.select("path", "version", (F.col("op") == "delete").alias("deleted")), "path")
+
+
 class Index:
-    """Snapshots below a folder, the last of them named by a pointer."""
+    """Buckets of parsed notes below a folder, named by a pointer: a JSON object from bucket to folder, one for each batch."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
-    def _pointer(self) -> str | None:
+    def _pointers(self) -> list[tuple[int, dict[str, str]]]:
+        """(batch, folder of each bucket), the last first; two at most are of use."""
         try:
             rows = self.spark.read.text(f"{self.folder}/pointer").collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return []
             raise
-        return max((r["value"] for r in rows), default=None)
+        found = (json.loads(r["value"]) for r in rows)
+        return sorted(((x["batch"], x["buckets"]) for x in found), key=lambda x: -x[0])
+
+    def _rows(self, at: dict[str, str], some: list[str]) -> DataFrame | None:
+        paths = [f"{self.folder}/{at[b]}/bucket={b}" for b in some if b in at]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def state(self) -> DataFrame | None:
-        name = self._pointer()
-        return None if name is None else self.spark.read.parquet(f"{self.folder}/{name}")
+        last = self._pointers()[:1]
+        return self._rows(last[0][1], list(last[0][1])) if last else None
 
     def notes(self) -> DataFrame:
-        rows = self.state().where(~F.col("deleted"))
-        return note_rows(rows.select("path", "mtime_ms", F.octet_length("text").alias("bytes"), F.coalesce("text", F.lit("")).alias("text")))
+        """The parsed notes as they are now: stored rows, read column by column."""
+        return self.state().where(~F.col("deleted")).drop("version", "deleted")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        name = f"snapshot-{batch_id:012d}"
-        before = self._pointer()
-        if before is not None and before >= name:
+        before = self._pointers()
+        if before and before[0][0] >= batch_id:
             return  # this batch is in already
-        merged(self.state(), last_changes(batch)).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/pointer")
+        at, name = dict(before[0][1]) if before else {}, f"batch-{batch_id:012d}"
+        bucket = F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+        changes = last_changes(batch)
+        touched = [str(r[0]) for r in changes.select(bucket).distinct().collect()]  # self.buckets rows at most
+        if touched:
+            rows = merged(self._rows(at, touched), parsed(changes)).withColumn("bucket", bucket)
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        at |= dict.fromkeys(touched, name)
+        value = json.dumps({"batch": batch_id, "buckets": at})
+        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/pointer")
+        if len(before) > 1:  # what the last pointer but one named, and no later one does
+            gone = set(before[1][1].values()) - set(before[0][1].values()) - set(at.values())
+            for folder in gone:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{folder}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def follow(self, changes: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
         """Starts the stream; it ends once what is there has been read."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mapped, written
+from .common import Scratch, documents, mapped
 
 #: The patterns of the strong kinds, with the least length of the part that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -124,9 +124,10 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     KINDS lists them; texts of any length are scanned whole; an empty table gives no
     rows; other columns are ignored.
     """
-    scan = written(scanned(docs))
-    out = scan.join(linked(scan, reach), ["doc_id", "text_hash"], "left")
-    return out.select("doc_id", "text_hash", F.col("strong").alias("base"), F.concat("strong", F.coalesce("links", F.array().cast(SPAN))).alias("spans"))
+    with Scratch(docs.sparkSession) as scratch:
+        scan = scratch.keep(scanned(docs))
+        out = scan.join(linked(scan, reach), ["doc_id", "text_hash"], "left")
+        return scratch.result(out.select("doc_id", "text_hash", F.col("strong").alias("base"), F.concat("strong", F.coalesce("links", F.array().cast(SPAN))).alias("spans")))
 
 
 def masked(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFrame:
@@ -158,6 +159,7 @@ def masked(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFra
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """secrets() of the whole table documents; see there for nulls, empty and repeated rows."""
     found = secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

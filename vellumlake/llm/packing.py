@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, importable, mapped, written
+from .common import Scratch, documents, importable, mapped
 
 #: White space to every tokenizer here; texts are cut there before words are looked up.
 SPACE = " \t\n\r"
@@ -167,8 +167,13 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096,
     at most, whatever the input.  A null text is empty; rows without a doc_id are left
     out; a text of any length is cut whole; other columns are ignored.
     """
-    spark = importable(docs.sparkSession)
-    cut = written(token_pieces(docs, tokenizer, end_id, window))
+    importable(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_packed(docs, tokenizer, end_id, window, group_tokens, group_pieces, scratch))
+
+
+def _packed(docs: DataFrame, tokenizer: str, end_id: int, window: int, group_tokens: int, group_pieces: int, scratch: Scratch) -> DataFrame:
+    cut = scratch.keep(token_pieces(docs, tokenizer, end_id, window))
     rest = cut.where(F.col("length") < window)
     total, count = rest.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(total or 0) // group_tokens), -(-count // group_pieces))
@@ -196,4 +201,5 @@ def word_bpe() -> str:
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """packed() of the whole table documents; see there for nulls, empty and repeated rows."""
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe())

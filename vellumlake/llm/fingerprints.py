@@ -4,10 +4,16 @@ Each paragraph hashes to a wide vector and a document is the sum of its paragrap
 vectors modulo powers of two.  So order does not matter, equal multisets have equal
 sums, and a paragraph is put in or taken out by adding or subtracting its vector.
 
-A vector has two parts.  IDENTITY lanes of 32 bits are hashes of the whole paragraph:
-they decide equality.  LIKENESS counters of 32 bits add up the hash bits of the
-paragraph's three-word runs, weighted by how often they occur: the cosine of two
-such sums about their means estimates the cosine of the documents' runs.
+A vector has two parts.  IDENTITY lanes of 32 bits are hashes of the whole paragraph,
+each pair of lanes with a seed of its own: they decide equality.  LIKENESS longs of two
+counters each add up the hash bits of the paragraph's three-word runs, as a SimHash
+does before it takes signs; runs count as often as they occur, whatever paragraph they
+stand in, so these sums are homomorphic too.  The cosine of two such sums about their
+means estimates the cosine of the documents' runs.
+
+A fingerprint is the text of both: the identity lanes, and each counter about its mean
+as one of 15 steps of the largest.  How alike two fingerprints are is computed from
+what stands in them.
 
 Only DataFrame functions run here, all of them on the JVM.
 """
@@ -51,7 +57,7 @@ def sums() -> list[Column]:
     """The lanes, as sums over rows (p, h) of features()."""
     out = []
     for i in range(IDENTITY // 2):
-        x = F.xxhash64("p", F.lit(i))
+        x = F.xxhash64(F.lit(i), "p")  # what comes first seeds the hash of what follows
         for half, part in ((0, x.bitwiseAND(F.lit(LOW))), (1, F.shiftrightunsigned(x, 32))):
             out.append(F.coalesce(F.sum(F.when(F.col("p").isNotNull(), part)), F.lit(0)).bitwiseAND(F.lit(LOW)).alias(f"i{2 * i + half}"))
     for i in range(LIKENESS):
@@ -85,22 +91,39 @@ def counters(v: Column) -> Column:
     return F.transform(F.slice(v, IDENTITY + 1, LIKENESS), lambda c: F.struct((2 * c.bitwiseAND(F.lit(LOW)) - runs).alias("a"), (2 * F.shiftrightunsigned(c, 32) - runs).alias("b")))
 
 
-def likeness(v: Column, w: Column) -> Column:
-    """0 to 1: 1 for equal vectors, else the cosine of the counters, where positive."""
-    dot = lambda x, y: F.aggregate(F.zip_with(counters(x), counters(y), lambda s, t: s["a"] * t["a"] + s["b"] * t["b"]), F.lit(0.0), lambda s, t: s + t)
-    size = F.sqrt(dot(v, v) * dot(w, w))
-    return F.when(v == w, 1.0).when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(v, w) / size)))
+def steps(v: Column) -> Column:
+    """The counters about their means in 15 steps, -7 to 7, of the largest."""
+    flat = F.flatten(F.transform(counters(v), lambda s: F.array(s["a"], s["b"])))
+
+    def scaled(every: Column) -> Column:
+        most = F.array_max(F.transform(every, lambda x: F.abs(x)))
+        return F.transform(every, lambda x: F.when(most == 0, 0).otherwise(F.round(7 * x / most)).cast("int"))
+
+    # an array of one array, so that the counters are computed once
+    return F.element_at(F.transform(F.array(flat), scaled), 1)
 
 
 def digest(v: Column) -> Column:
-    """The identity lanes in hexadecimal, then the signs of the counters as 16 further digits."""
-    signs = F.transform(counters(v), lambda s: F.when(s["a"] > 0, F.lit("1")).otherwise("0"))
+    """The fingerprint: the identity lanes in hexadecimal, then a digit for each counter, 7 being its mean."""
     ident = F.array_join(F.transform(F.slice(v, 1, IDENTITY), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
-    return F.concat(ident, F.lower(F.lpad(F.conv(F.array_join(signs, ""), 2, 16), 16, "0")))
+    return F.concat(ident, F.array_join(F.transform(steps(v), lambda s: F.lower(F.hex((s + 7).cast("long")))), ""))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints, 0 to 1: 1 for equal ones, else the cosine of their counters, where positive; 0 where one has no runs."""
+    digits = lambda f: F.transform(F.slice(F.split(F.substr(f, F.lit(8 * IDENTITY + 1)), ""), 1, 2 * LIKENESS), lambda c: F.instr(F.lit("0123456789abcde"), c) - 8)
+
+    def cosine(z: Column) -> Column:
+        dot = lambda p, q: F.aggregate(z, F.lit(0), lambda t, s: t + s[p] * s[q])
+        size = F.sqrt((dot("x", "x") * dot("y", "y")).cast("double"))
+        return F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot("x", "y") / size)))
+
+    both = F.zip_with(digits(a), digits(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.when(a == b, 1.0).otherwise(F.element_at(F.transform(F.array(both), cosine), 1))
 
 
 def following(ids: DataFrame, bits: int = 16) -> DataFrame:
-    """(id, next): for each distinct id the next smaller one, after the smallest the largest.
+    """(id, next): for each distinct id the next smaller one, after the smallest the largest (one row, which is joined to all).
 
     Ids are ranked in groups of 2**bits neighbours; only the last of a group needs
     the first of the next, which is found the same way among groups.
@@ -128,7 +151,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document, by descending doc_id, after the last the
-    first.  Rows that repeat a doc_id are documents of their own, ordered by text.
+    first.  Rows that repeat a doc_id are documents of their own, ordered by text; a
+    null text is empty, and an empty text stays empty; rows without a doc_id are left
+    out; an empty table gives no rows; texts of any length are taken whole; other
+    columns are ignored.
     Result: doc_id, n_chars, edited_sha256, vector, edited_vector, next_vector.
 
     Documents meet in groups of GROUP neighbouring ids, to each of which the first
@@ -157,5 +183,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """edited_fingerprints() of the whole table documents, as text; see there for nulls, empty and repeated rows."""
     v = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return v.select("doc_id", "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("edited_vector")).alias("edited_fingerprint"), likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"))
+    f = v.select("doc_id", "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("edited_vector")).alias("edited_fingerprint"), digest(F.col("next_vector")).alias("next_fingerprint"))
+    return f.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

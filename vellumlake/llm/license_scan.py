@@ -205,4 +205,5 @@ def licenses(docs: DataFrame, templates=TEMPLATES, least: int = 3, cover: float
 
 
 def op8_license_scans(spark, sf_dir: str) -> DataFrame:
+    """licenses() of the whole table documents, spans as text; see there for nulls, empty and repeated rows."""
     return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")

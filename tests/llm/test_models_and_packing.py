@@ -37,7 +37,22 @@ def test_toxicity(spark):
 
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in toxicity.scored(frame(spark, edge_cases()), none).collect()} == {0.0}
+    assert all(r.score < 0.5 for r in toxicity.scored(frame(spark, edge_cases()), none).collect())
+    assert toxicity.scored(frame(spark, []), none).count() == 0
+    # the fixed voters work without labels
+    pairs = [(i, prose(i, 40, 200) + (" you idiot, you pathetic moron" if i % 10 == 0 else "")) for i in range(200)]
+    got = {r.doc_id: r.predicted for r in toxicity.scored(frame(spark, pairs), none).collect()}
+    assert [d for d, p in sorted(got.items()) if p] == list(range(0, 200, 10))
+
+
+def test_toxicity_comes_through_the_label_model(spark, monkeypatch):
+    pairs = [(i, prose(i, 40, 200) + (" you idiot grubbler" if i % 5 == 0 else "")) for i in range(300)]
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    right = lambda: np.mean([r.predicted == (r.doc_id % 5 == 0) for r in toxicity.scored(frame(spark, pairs), known).collect() if r.held_out and r.doc_id % 5 == 0])
+    assert right() > 0.9
+    # voters that tell nothing, so that the posterior is the same for all votes
+    monkeypatch.setattr(toxicity.LabelModel, "fit", lambda self, v, post, count: setattr(self, "table", [np.zeros((2, 3, 3))] * v.shape[1]))
+    assert right() == 0  # without its posteriors nothing is learned
 
 
 def test_label_model_accuracies():
@@ -47,7 +62,9 @@ def test_label_model_accuracies():
     votes[:, 3] = votes[:, 0]  # a copy of a voter is no more evidence
     model = toxicity.LabelModel(votes.astype(np.int8), np.where(np.arange(4000) < 400, y, -1), np.ones(4000))
     assert model.accuracy[:3] == pytest.approx([0.9, 0.8, 0.6], abs=0.06)
-    assert model.correlation[0, 3] > 0.8 > model.correlation[0, 1] and model.weight[0] < 0.7 < model.weight[1]
+    assert model.parent[3] == 0 and model.information[0, 3] > 10 * model.information[0, 1]
+    alone = toxicity.LabelModel(votes[:, :3].astype(np.int8), np.where(np.arange(4000) < 400, y, -1), np.ones(4000))
+    assert model(votes.astype(np.int8)) == pytest.approx(alone(votes[:, :3].astype(np.int8)), abs=0.15)
 
 
 def test_html(spark):
@@ -76,7 +93,7 @@ def test_unclosed_silent_elements():
         assert got == ["one two", "three"], start
     assert shown("<p>a</p><svg><text>no</text></svg><button>no</button><p>b</p><header>c</header>") == ["a", "b", "c"]
     assert shown("<p>a</p><script>no <p>no") == shown("<p>a</p><!-- <p>no") == ["a"]
-    assert shown("<button><article><p>a</p></article><button>no</button>") == shown("<object>a<object>no</object>") == ["a"]
+    assert shown("<button><article><p>a</p></article><button>no</button>") == ["a"] and shown("<object>a <math>b</math></object>") == ["a b"]
     assert shown("<head><noscript><p>no</p></noscript><title>no</title></head><p>a</p>") == shown("<head><title>no</title>a") == ["a"]
     assert shown("<svg/><p>a</p><svg><text>no</text></svg>") == ["a"]
 
@@ -87,6 +104,33 @@ def test_decoding_is_consistent():
     assert stays[1] and stays[2] and stays[3] and not stays[4] and not stays[5]
 
 
+@pytest.mark.parametrize("kind", ["replace", "put in", "leave out", "mixed"])
+def test_decontamination_recall(kind):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [prose(9000 + i, 20 + i % 40) for i in range(150)]
+    items = decontamination.Items(list(range(150)), texts, 0.2, 24, 2)
+    docs = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        for _ in range(int(0.2 * len(w))):
+            how, j = r.choice(["replace", "put in", "leave out"]) if kind == "mixed" else kind, r.randrange(len(w))
+            w[j : j + (how != "put in")] = [] if how == "leave out" else [f"x{r.randrange(10**9)}"]
+        docs.append(f"{prose(50 + i, 60)} {' '.join(w)} {prose(70000 + i, 50)}")
+    h, _, at, _ = decontamination.words(pa.array(docs), marks=False)
+    rows, found, _, _ = decontamination._matches(items, h, at)
+    assert sum((i, i) in set(zip(rows, found, strict=True)) for i in range(150)) >= 0.95 * 150
+
+
+def test_decontamination_of_nested_items(spark):
+    whole = prose(1, 60)
+    inner, last = " ".join(whole.split()[10:35]), " ".join(whole.split()[-20:])
+    bench = spark.createDataFrame([(1, whole, "c"), (2, inner, "c"), (3, last, "c"), (4, last, "c"), (4, last, "c")], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.distance) for r in decontamination.contaminated(frame(spark, [(7, f"{prose(2, 30)} {whole} {prose(3, 30)}"), (7, "other")]), bench).collect()}
+    assert got == {(7, 1, 30, 0), (7, 2, 40, 0), (7, 3, 70, 0), (7, 4, 70, 0)}
+
+
 def test_decontamination(spark):
     items = [(i, prose(5000 + i, 20 + i % 15)) for i in range(30)] + [(900, None), (901, ""), (None, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")

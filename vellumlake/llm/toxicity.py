@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters (fixed lexicons, patterns, and lexicons learned from labelled rows) vote
-toxic, clean or nothing on every document.  A generative label model estimates, by
-EM over counts of vote patterns, each voter's accuracy given the hidden label, and
-the correlation of each pair beyond it; correlated voters share their weight.  The
-model's posteriors then train a linear classifier on word features.
+toxic, clean or nothing on every document.  A generative label model explains the
+votes by a hidden label: each voter's accuracy given the label, and the correlations
+among voters beyond it, as a tree in which a voter's vote depends on the label and on
+one other voter's vote.  Both are estimated by EM over counts of vote patterns; given
+labels, where there are any, take part in that estimation alone.  The posteriors of
+the votes, and no label, then train a linear classifier on word features.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, crc_mod, documents, mapped, only, signed, words
+from .common import Scratch, U, crc_mod, documents, mapped, only, signed, words
 
 #: Common insults by sort, each list a voter.
 LEXICONS = {
@@ -114,90 +116,137 @@ def learned_words(sample: DataFrame, positives: int, negatives: int) -> tuple[np
 
 
 class LabelModel:
-    """P(label | votes): accuracies by EM, correlations from what is left of each pair."""
+    """P(label | votes), with accuracies and a tree of correlations, by EM."""
 
-    def __init__(self, votes: np.ndarray, label: np.ndarray, count: np.ndarray, rounds: int = 30):
+    def __init__(self, votes: np.ndarray, label: np.ndarray, count: np.ndarray, rounds: int = 30, smooth: float = 0.5):
         """label: 1, 0, or -1 where it is hidden; rows are patterns that occur count times."""
-        k = votes.shape[1]
+        self.smooth = smooth
+        v = votes.astype(int) + 1
         known = label >= 0
         share = (count * (label == 1)).sum() / max(1, (count * known).sum())
-        self.prior = min(max(share, 0.01), 0.5)
-        post = np.where(known, label, np.where((votes == 1).sum(1) > 0, 0.5, 0.05)).astype(float)
-        self.weight = np.ones(k)
+        self.prior = min(max(share, 0.01), 0.5) if known.any() else 0.05
+        self.parent = np.full(v.shape[1], -1)
+        # without labels: what any voter calls toxic may be so
+        first = np.where((v == 2).any(1), 0.5, 0.01)
+        if known.any():  # the labelled patterns alone say where to begin
+            self.fit(v[known], label[known].astype(float), count[known])
+            first = self(votes)
+        post = np.where(known, label, first)
         for i in range(rounds):
-            by = np.stack([count * (1 - post), count * post])
-            self.table = np.stack([[[(b * (votes[:, j] == v)).sum() for v in (-1, 0, 1)] for j in range(k)] for b in by]) + 0.5
-            self.table /= self.table.sum(2, keepdims=True)
-            if i in (5, 15):
-                self.weight = 1 / self.correlated(votes, post, count)
+            if i in (3, 10):
+                self.parent = self.tree(v, post, count)
+            self.fit(v, post, count)
             self.prior = min(max((count * post).sum() / max(1e-9, count.sum()), 1e-3), 0.999)
             post = np.where(known, label, self(votes))
-        self.accuracy = np.array([(count * (post * (votes[:, j] == 1) + (1 - post) * (votes[:, j] == -1))).sum() / max(1, (count * (votes[:, j] != 0)).sum()) for j in range(k)])
-
-    def correlated(self, votes: np.ndarray, post: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """For each voter 1 plus its squared correlations with the others, given the label."""
-        total = np.zeros((votes.shape[1],) * 2)
-        for b in (count * (1 - post), count * post):
-            n = max(1e-9, b.sum())
-            x = votes - (b[:, None] * votes).sum(0) / n
-            cov = (x * b[:, None]).T @ x / n
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            total += (cov / sd / sd[:, None]) ** 2 * (n / count.sum())
-        np.fill_diagonal(total, 0)
-        self.correlation = total
-        return 1 + total.sum(1)
+
+    def joint(self, v: np.ndarray, w: np.ndarray, i: int, j: int) -> np.ndarray:
+        """How often voter i says the row's and voter j the column's vote."""
+        return np.bincount(3 * v[:, i] + v[:, j], w, 9).reshape(3, 3)
+
+    def fit(self, v: np.ndarray, post: np.ndarray, count: np.ndarray) -> None:
+        """log P(vote of j | label, vote of its parent), for each voter: [label, parent's vote, vote]."""
+        self.table = []
+        for j, parent in enumerate(self.parent):
+            of = []
+            for w in (count * (1 - post), count * post):
+                alone = np.bincount(v[:, j], w, 3) + self.smooth
+                alone /= alone.sum()
+                pair = self.joint(v, w, parent, j) if parent >= 0 else np.zeros((3, 3))
+                pair = pair + 3 * self.smooth * alone  # little seen together: nearly as if independent
+                of.append(np.log(pair / pair.sum(1, keepdims=True)))
+            self.table.append(np.stack(of))
+        #: The share of right votes among those that a voter gives.
+        given = lambda j, x: (count * x * (v[:, j] != 1)).sum()
+        self.accuracy = np.array([(count * (post * (v[:, j] == 2) + (1 - post) * (v[:, j] == 0))).sum() / max(1e-9, given(j, 1)) for j in range(v.shape[1])])
+
+    def tree(self, v: np.ndarray, post: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Each voter's parent in the tree of greatest mutual information given the label; -1 for the root, and for voters that nothing is tied to."""
+        k = v.shape[1]
+        info = np.zeros((k, k))
+        for w in (count * (1 - post), count * post):
+            for i in range(k):
+                for j in range(i):
+                    p = self.joint(v, w, i, j) / max(1e-9, count.sum())
+                    rows, columns, whole = p.sum(1, keepdims=True), p.sum(0, keepdims=True), max(p.sum(), 1e-12)
+                    some = p > 0
+                    info[i, j] += (p[some] * np.log(p[some] * whole / (rows * columns)[some])).sum()
+        self.information = info = info + info.T
+        parent, inside = np.full(k, -1), {0}
+        while len(inside) < k:
+            i, j = max(((i, j) for i in inside for j in range(k) if j not in inside), key=lambda x: info[x])
+            parent[j] = i if info[i, j] > 1e-6 else -1
+            inside.add(j)
+        return parent
 
     def __call__(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + np.zeros(len(votes))
-        for j in range(votes.shape[1]):
-            odds += self.weight[j] * np.log(self.table[1, j] / self.table[0, j])[votes[:, j].astype(int) + 1]
+        v = votes.astype(int) + 1
+        odds = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for j, (parent, t) in enumerate(zip(self.parent, self.table, strict=True)):
+            above = v[:, parent] if parent >= 0 else 0
+            odds += (t[1] - t[0])[above, v[:, j]]
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def trained(docs: DataFrame, labels: DataFrame, limit: int):
-    """(voters, coefficients, intercept), or None without labelled rows of both kinds."""
+    """(voters, label model, coefficients, intercept), or None without rows to learn from.
+
+    The classifier is fitted on at most limit rows, half of them with a vote for toxic
+    (by a hash of their ids), each weighted for the rows that it stands for.
+    """
     d = documents(docs)
     spark = docs.sparkSession
     known = training_labels(labels, limit)
     positives = sum(known.values())
-    if not 0 < positives < len(known):
-        return None
-    ids = spark.createDataFrame(pa.table({"doc_id": pa.array(list(known), pa.int64()), "toxic": pa.array(list(known.values()), pa.int32())}))
-    sample = d.join(F.broadcast(ids), "doc_id")  # at most limit rows
-    voters = Voters(*learned_words(sample.select("doc_id", "text", "toxic"), positives, len(known) - positives))
-
-    def vote(batch: pa.RecordBatch) -> dict[str, object]:
-        votes, _ = voters(batch.column("text"))
-        label = np.array([known.get(i, -1) for i in batch.column("doc_id").to_pylist()], np.int8)
-        rows, n = np.unique(np.hstack([votes, label[:, None]]), axis=0, return_counts=True)
-        return {"votes": pa.array([r.tobytes() for r in rows], pa.binary()), "n": n.astype(np.int64)}
-
-    # all rows that may be learned from vote; patterns are few, as most voters know two votes
-    patterns = mapped(d.where(crc_mod() != 0), vote, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    table = np.array([np.frombuffer(r["votes"], np.int8) for r in patterns])
-    model = LabelModel(table[:, :-1], table[:, -1], np.array([r["n"] for r in patterns], float))
-
-    def example(batch: pa.RecordBatch) -> dict[str, object]:
-        votes, features = voters(batch.column("text"))
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-        # the posterior of a labelled row: the label, weighed against what the voters say
-        post = 0.8 * toxic + 0.2 * model(votes)
-        both = np.concatenate([post, 1 - post])
-        x = np.concatenate([features, features])
-        return {"features": pa.array(list(x), pa.list_(pa.float64())), "label": np.repeat([1.0, 0.0], len(post)), "weight": both}
-
-    examples = mapped(sample.select("doc_id", "text", "toxic"), example, "features array<double>, label double, weight double")
-    examples = examples.select(array_to_vector("features").alias("features"), "label", "weight").where("weight > 0")
-    fit = LogisticRegression(weightCol="weight", maxIter=40, regParam=1e-3).fit(examples)
-    return voters, fit.coefficients.toArray(), float(fit.intercept)
+    learned = np.zeros(0, U), np.zeros(0)
+    if 0 < positives < len(known):
+        ids = spark.createDataFrame(pa.table({"doc_id": pa.array(list(known), pa.int64()), "toxic": pa.array(list(known.values()), pa.int32())}))
+        learned = learned_words(d.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), positives, len(known) - positives)  # ids: at most limit rows
+    voters = Voters(*learned)
+    with Scratch(spark) as scratch:
+
+        def vote(batch: pa.RecordBatch) -> dict[str, object]:
+            votes, _ = voters(batch.column("text"))
+            label = np.array([known.get(i, -1) for i in batch.column("doc_id").to_pylist()], np.int8)
+            return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "votes": pa.array([v.tobytes() for v in votes], pa.binary()), "label": label.astype(np.int32), "some": (votes == 1).any(1)}
+
+        # all rows that may be learned from vote
+        rows = d.where(crc_mod() != 0).withColumn("h", F.xxhash64("doc_id", "text"))
+        votes = scratch.keep(mapped(rows, vote, "doc_id long, h long, votes binary, label int, some boolean"))
+        # patterns are few, whatever the input: most voters know two votes, none more than three
+        patterns = votes.groupBy("votes", "label").agg(F.count("*").alias("n"), F.first("some").alias("some")).collect()
+        if not patterns:
+            return None
+        table = np.array([np.frombuffer(r["votes"], np.int8) for r in patterns])
+        model = LabelModel(table, np.array([r["label"] for r in patterns]), np.array([r["n"] for r in patterns], float))
+        parts = []
+        for some in (True, False):
+            whole = sum(r["n"] for r in patterns if r["some"] == some)
+            part = votes.where(F.col("some") == some).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(limit // 2)
+            parts.append(part.select("doc_id", "h", F.lit(float(whole)).alias("whole"), F.lit(some).alias("some")))
+        ids = scratch.keep(parts[0].union(parts[1]))
+        ids = ids.join(F.broadcast(ids.groupBy("some").agg(F.count("*").alias("k"))), "some").select("doc_id", "h", (F.col("whole") / F.col("k")).alias("stands"))
+
+        def example(batch: pa.RecordBatch) -> dict[str, object]:
+            votes, features = voters(batch.column("text"))
+            post, stands = model(votes), batch.column("stands").to_numpy()
+            return {"features": pa.array(list(np.concatenate([features, features])), pa.list_(pa.float64())), "label": np.repeat([1.0, 0.0], len(post)), "weight": np.concatenate([post * stands, (1 - post) * stands])}
+
+        sample = rows.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "stands")  # at most limit rows
+        examples = scratch.keep(mapped(sample, example, "features array<double>, label double, weight double"))
+        fit = LogisticRegression(weightCol="weight", maxIter=40, regParam=1e-3).fit(examples.select(array_to_vector("features").alias("features"), "label", "weight").where("weight > 0"))
+        return voters, model, fit.coefficients.toArray(), float(fit.intercept)
 
 
 def scored(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; labels gives (doc_id, toxic).
 
-    limit bounds the labelled rows that the classifier and the learned words are
-    fitted on; votes are counted over all rows that may be learned from.  Without
-    labels of both kinds all scores are 0.  Null texts are scored as empty ones.
+    limit bounds the labelled rows that learned words come from and the rows that the
+    classifier is fitted on; votes are counted over all rows that may be learned
+    from.  Without labels the fixed voters alone are weighed; without rows to learn
+    from all scores are 0.  Null texts are scored as empty ones, texts of any length
+    whole; rows without a doc_id are left out; rows that repeat are scored one by
+    one, and of labels that contradict each other toxic holds; other columns are
+    ignored.
     """
     got = trained(docs, labels, limit)
 
@@ -205,7 +254,7 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame
         if got is None:
             s = np.zeros(batch.num_rows)
         else:
-            voters, weights, intercept = got
+            voters, _, weights, intercept = got
             s = 1 / (1 + np.exp(-np.clip(voters(batch.column("text"))[1] @ weights + intercept, -50, 50)))
         return {"doc_id": batch.column("doc_id"), "score": s}
 
@@ -220,4 +269,5 @@ def clean(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """scored() of the whole table documents by the table labels; see there for nulls, empty and repeated rows."""
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -356,9 +356,9 @@ def q25_reconcile_all_entries(spark, sf_dir):
     return metadata.reconciled(snapshot(F.col("text")), snapshot(edited)).groupBy("file", "action").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {NOTES} SELECT path FROM notes WHERE regexp_full_match(path, 'src[12]/[^/]*/[^/]*5[.]md')")
+@query(f"WITH {NOTES} SELECT path FROM notes WHERE regexp_full_match(path, 'src1?[1-4]/[^/]*/[^/]*[1-4][.]md')")
 def s9_list_notes(spark, sf_dir):
-    return reading.list_notes(A.notes(spark, sf_dir), None, "src[12]/*/*5.md")
+    return reading.list_notes(A.notes(spark, sf_dir), None, "{src[1-4],src1[1-4]}/*/*[1-4].md")
 
 
 @query(f"WITH {A.FILES} SELECT path, CASE WHEN e = '' THEN '(none)' ELSE e END AS extension, bytes FROM (SELECT path, lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) AS e, bytes FROM files WHERE path NOT LIKE '%/.%' AND path LIKE 'files/1/%') ORDER BY path LIMIT 25")
@@ -366,7 +366,7 @@ def s10_list_files(spark, sf_dir):
     return reading.list_files(A.files(spark, sf_dir), "files/1/", None, 25)[0]
 
 
-@query(f"WITH {A.FILES} SELECT lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) AS extension, count(*) AS n FROM files WHERE path NOT LIKE '%/.%' AND lower(path) LIKE ANY ('%.png', '%.canvas') GROUP BY 1")
+@query(f"WITH {A.FILES} SELECT lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) AS extension, count(*) AS n FROM files WHERE path NOT LIKE '%/.%' AND (lower(path) LIKE '%.png' OR lower(path) LIKE '%.canvas') GROUP BY 1")
 def a10_extension_counts(spark, sf_dir):
     return reading.list_files(A.files(spark, sf_dir), None, ["PNG", ".canvas"])[1]
 
@@ -381,10 +381,10 @@ def s14_sections(spark, sf_dir):
     return reading.sections(A.outlined(spark, sf_dir), "part 1").select("path", F.sha2("text", 256).alias("digest"), "error")
 
 
-@query("WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM documents), t AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM l) SELECT doc_id, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL ELSE sha256(array_to_string(l[3:6], chr(10))) END AS digest, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL ELSE 3 END AS start_line, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL WHEN len(l) = 0 THEN 2 ELSE least(len(l), 6) END AS end_line, len(l) AS total_lines FROM t")
+@query("WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM documents), t AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM l) SELECT doc_id, CASE WHEN len(l) BETWEEN 1 AND 2 THEN NULL ELSE sha256(array_to_string(l[3:6], chr(10))) END AS digest, CASE WHEN len(l) BETWEEN 1 AND 2 THEN -1 ELSE 3 END AS start_line, CASE WHEN len(l) BETWEEN 1 AND 2 THEN -1 WHEN len(l) = 0 THEN 2 ELSE least(len(l), 6) END AS end_line, len(l) AS total_lines FROM t")
 def s15_line_windows(spark, sf_dir):
     found = reading.line_window(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 3, 4)
-    return found.select("doc_id", F.when(F.col("error").isNull(), F.sha2("window", 256)).alias("digest"), "start_line", F.when(F.col("error").isNull(), F.col("end_line")).alias("end_line"), F.col("total_lines").cast("long").alias("total_lines"))
+    return found.select("doc_id", F.when(F.col("error").isNull(), F.sha2("window", 256)).alias("digest"), F.coalesce("start_line", F.lit(-1)).alias("start_line"), F.when(F.col("error").isNull(), F.col("end_line")).otherwise(-1).alias("end_line"), F.col("total_lines").cast("long").alias("total_lines"))
 
 
 @query("WITH s AS (SELECT DISTINCT p_name AS section FROM part), w AS (SELECT unnest(['Blue  Bolt (newest first)', 'hott gear', 'small rings', 'red wigdet']) AS wanted, unnest(['blue bolt', 'hot gear', 'small rings', 'red wigdet']) AS form) SELECT section, count(*) AS n FROM s, w WHERE section = form OR (levenshtein(section, CASE form WHEN 'hot gear' THEN 'hott gear' ELSE form END) <= 2 AND least(length(section), length(form)) > 7) OR (levenshtein(section, CASE form WHEN 'hot gear' THEN 'hott gear' ELSE form END) <= 1 AND least(length(section), length(form)) BETWEEN 4 AND 7) GROUP BY section")

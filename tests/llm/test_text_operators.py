@@ -56,9 +56,19 @@ def test_ngram_join_empty(spark):
     assert sorted((r.doc_id or 0, r["class"]) for r in kept.collect()) == [(0, "c"), (1, "c"), (3, "c")]
 
 
+def likeness_brute(a, b):
+    """By the text of two fingerprints alone."""
+    if a == b:
+        return 1.0
+    x, y = ([int(c, 16) - 7 for c in f[8 * fingerprints.IDENTITY :]] for f in (a, b))
+    assert len(x) == len(y) == 2 * fingerprints.LIKENESS
+    size = math.sqrt(sum(i * i for i in x) * sum(i * i for i in y))
+    return min(1.0, max(0.0, sum(i * j for i, j in zip(x, y, strict=True)) / size)) if size else 0.0
+
+
 def test_fingerprints(spark):
     pairs = [(i, t) for i, t in edge_cases() if i is not None and i != 6] + [(1000, "p one\np two\n\np three"), (70000, "p three\np two\np one"), (10**12, prose(1, 300)), (-5, "neg")]
-    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, pairs)).withColumn("near", fingerprints.likeness(F.col("vector"), F.col("edited_vector"))).withColumn("d", fingerprints.digest(F.col("vector"))).collect()}
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, pairs)).withColumns({"d": fingerprints.digest(F.col("vector")), "e": fingerprints.digest(F.col("edited_vector"))}).withColumn("near", fingerprints.likeness(F.col("d"), F.col("e"))).collect()}
     order = sorted(pairs, key=lambda p: -p[0])
     for i, (doc, text) in enumerate(order):
         text, then = text or "", order[(i + 1) % len(order)][1] or ""
@@ -66,8 +76,9 @@ def test_fingerprints(spark):
         assert got[doc].n_chars == n
         assert got[doc].edited_sha256 == hashlib.sha256((text[: n - n // 2] + then[: n // 2]).encode()).hexdigest()
         assert got[doc].next_vector == got[order[(i + 1) % len(order)][0]].vector
-        assert 0 <= got[doc].near <= 1
+        assert got[doc].near == pytest.approx(likeness_brute(got[doc].d, got[doc].e), abs=1e-9)
     assert got[1000].d == got[70000].d != got[1].d
+    assert got[10**12].near > 0.5 > likeness_brute(got[10**12].d, got[1000].d)
     one = fingerprints.edited_fingerprints(frame(spark, [(1, "ab"), (1, "ab")])).collect()
     assert [r.n_chars for r in one] == [2, 2]
     assert fingerprints.edited_fingerprints(frame(spark, [])).count() == 0

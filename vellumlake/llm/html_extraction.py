@@ -70,7 +70,7 @@ def silent_spans(page: str) -> dict[int, int]:
     out = {}
     for m in PIECE.finditer(page):
         tag = (m["tag"] or "").lower()
-        if tag not in SILENT:
+        if tag not in SILENT and tag != "noscript":
             continue
         if not m["end"]:
             if not m[0].endswith("/>"):
@@ -119,7 +119,7 @@ def parse(page: str) -> list[Node]:
             if m["silent"]:
                 stack[-1][1].items.append(" ")
             continue
-        if tag in SILENT:
+        if tag in SILENT or (head and tag == "noscript"):  # elsewhere it may hold text
             at = spans.get(m.start(), at)
             stack[-1][1].items.append(" ")
             continue

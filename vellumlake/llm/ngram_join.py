@@ -301,6 +301,7 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """jaccard_components() of the whole table documents by three words and 0.9; see there for nulls, empty and repeated rows."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90).drop("n_links")
 
 

@@ -181,7 +181,7 @@ def test_suffix_dedup_empty(spark):
 
 
 def test_licenses(spark):
-    mit = license_scan.TEMPLATES[2][1]
+    mit = license_scan.MIT
     noisy = mit.replace("without restriction", "zzz without restriction").replace("sublicense", "yyy")
     pairs = [*edge_cases(), (10, "CC-BY, then cc by. All Rights\nreserved"), (11, "Released under the MIT License."), (12, prose(3, 30) + " " + noisy), (13, "the GNU General Public License, version 3"), (14, "the license of the work")]
     got = {r.doc_id: r for r in license_scan.licenses(frame(spark, pairs)).collect()}
@@ -192,6 +192,17 @@ def test_licenses(spark):
     assert license_scan.licenses(frame(spark, [])).count() == 0
 
 
+def test_every_copy_of_a_license_has_its_span():
+    import pyarrow as pa
+
+    three = f"{license_scan.BSD_TWO} {license_scan.BSD_THREE} {license_scan.BSD_AS_IS}"
+    text = f"{prose(1, 40)} {license_scan.ISC} {prose(2, 5)} {license_scan.ISC} {prose(3, 300)} {three}"
+    got = license_scan.Scanner()(pa.array([text]))[0]
+    n = len(license_scan.ISC.split())
+    assert [(s["start"], s["end"]) for s in got["spans"] if s["label"] == "isc" and s["covered"] == 1] == [(40, 40 + n), (45 + n, 45 + 2 * n)]
+    assert "bsd-3-clause" in got["labels"] and "isc" in got["labels"] and "mit" not in got["labels"].split(",")
+
+
 def test_automaton_runs():
     a = license_scan.Automaton([[1, 2, 3, 1, 2, 4], [2, 3, 5]])
     text = [9, 1, 2, 3, 5, 1, 2, 4, 7]

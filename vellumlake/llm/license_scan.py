@@ -7,6 +7,8 @@ there; long maximal runs are chained, in order, into spans that cover a template
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,11 +17,27 @@ from .common import documents, mapped, words
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Short public notices of common licenses, by SPDX-like labels.
+#: What public licenses disclaim, in their own words.
+AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BSD_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+BSD_TWO = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_THREE = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+ISC = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+ISC_AS_IS = "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+ZLIB = "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"
+UNLICENSE = "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+#: Public notices of common licenses, and whole short licenses, by SPDX-like labels.
 TEMPLATES = (
+    ("mit", f"{MIT} {AS_IS}"),
+    ("bsd-2-clause", f"{BSD_TWO} {BSD_AS_IS}"),
+    ("bsd-3-clause", f"{BSD_TWO} {BSD_THREE} {BSD_AS_IS}"),
+    ("isc", f"{ISC} {ISC_AS_IS}"),
+    ("zlib", ZLIB),
+    ("unlicense", UNLICENSE),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", MIT),
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
@@ -28,7 +46,7 @@ TEMPLATES = (
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("agpl", "licensed under the gnu affero general public license version 3"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", ISC),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by-4.0", "licensed under cc by 4 0"),
@@ -130,7 +148,11 @@ class Scanner:
                 by.setdefault(template, []).append((base + end - length, place - length, length))
 
     def chained(self, by: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, int]]:
-        """(template, words covered, first word, end word) of each template's best chain: runs in the order of both, not a template's length apart."""
+        """(template, words covered, first word, end word) of each template's chains: runs in the order of both, not two templates' length apart.
+
+        The best chain of a template comes first, then all that overlap none before them
+        and cover enough of it, so each copy in a text has its span.
+        """
         out = []
         for template, found in by.items():
             found = sorted(set(found))
@@ -144,8 +166,16 @@ class Scanner:
                     if b + m <= a and q + m <= p and best[j][0] + n > mine[0]:
                         mine = (best[j][0] + n, best[j][1])
                 best.append(mine)
-            top = max(range(len(found)), key=lambda i: (best[i][0], -i))
-            out.append((template, best[top][0], best[top][1], found[top][0] + found[top][2]))
+            taken: list[tuple[int, int]] = []
+            for i in sorted(range(len(found)), key=lambda i: (-best[i][0], i)):
+                covered, first = best[i]
+                if taken and covered < self.cover * self.sizes[template]:
+                    break
+                end = found[i][0] + found[i][2]
+                at = bisect.bisect_left(taken, (first, end))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (first, end))
+                    out.append((template, covered, first, end))
         return out
 
     def __call__(self, texts: pa.Array) -> list[dict]:
@@ -177,7 +207,9 @@ class Scanner:
         out = []
         for r in range(n):
             spans = self.chained(runs[r])
-            full = {t: k / self.sizes[t] for t, k, _, _ in spans}
+            full: dict[int, float] = {}
+            for t, k, _, _ in spans:
+                full[t] = max(full.get(t, 0.0), k / self.sizes[t])
             labels = {self.labels[t] for t, s in full.items() if s >= self.cover}
             starts = [p for p, _ in base[r]]
             own = {x for _, x in base[r]}
@@ -192,7 +224,10 @@ def licenses(docs: DataFrame, templates=TEMPLATES, least: int = 3, cover: float
     """One row for each row of docs: words, phrase places, labels, the best cover of a template as score, and covered spans (words from 0).
 
     A label of its own needs a chain of runs of `least` words or more that covers at
-    least `cover` of one of its templates.  Null texts are empty.
+    least `cover` of one of its templates.  Null texts are empty; rows without a doc_id
+    are left out; rows that repeat are scanned one by one; of chains that cover as much
+    the first counts; texts of any length are scanned whole; an empty table gives no
+    rows; other columns are ignored.
     """
     scanner = Scanner(templates, least=least, cover=cover)
 

@@ -22,6 +22,21 @@ def best_of_each(hits: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def candidates(limit: int) -> int:
+    """How many hits of each leg go into a fusion of which `limit` are shown."""
+    return min(max(1, 3 * limit), 100)
+
+
+def hydrated(hits: DataFrame, notes: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, score) with kind, title, type, folder, tags, bytes and score (6 digits): of a note where there is one of that path, else of another file; hits that are neither are left out."""
+    of_note = notes.select("path", F.struct(F.lit("note").alias("kind"), "title", "type", "folder", "tags", "bytes").alias("n"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    folder = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise("")
+    of_file = files.select("path", F.struct(F.lit("file").alias("kind"), name.alias("title"), F.lit(None).cast("string").alias("type"), folder.alias("folder"), F.array().cast("array<string>").alias("tags"), "bytes").alias("f"))
+    both = hits.join(of_note, "path", "left").join(of_file, "path", "left").select("path", F.round("score", 6).alias("score"), F.coalesce("n", "f").alias("row"))
+    return both.where("row is not null").select("path", "score", "row.*")
+
+
 def fused(legs: list[DataFrame], key: str, order: list[list[Column]]) -> DataFrame:
     """(key, score): reciprocal rank fusion of lists, each short enough to rank in one task."""
     ranked = None

@@ -31,14 +31,14 @@ def query(sql: str | None = None):
 
 
 #: BM25 in SQL over rows t(id columns, text); parts are single words.
-def bm25_sql(source: str, ids: str, text: str, words: list[str], any_term: bool, tail: str) -> str:
+def bm25_sql(source: str, ids: str, text: str, words: list[str], any_term: bool, tail: str, x: str = "") -> str:
     tf = ", ".join(f"CAST(len(list_filter(w, lambda x: x = '{t}')) AS BIGINT) AS f{i}" for i, t in enumerate(words))
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(len(words)))
     idf = lambda i: f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5)))"
     score = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(words)))
     hit = (" OR " if any_term else " AND ").join(f"f{i} > 0" for i in range(len(words)))
-    return f"""{source}, tok AS (SELECT *, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM t), tf AS (SELECT {ids}, len(w) AS dl, {tf} FROM tok),
-st AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM tf), hits AS (SELECT {ids}, round({score}, 6) AS score FROM tf, st WHERE {hit}) {tail}"""
+    return f"""{source}, tok{x} AS (SELECT *, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM t{x}), tf{x} AS (SELECT {ids}, len(w) AS dl, {tf} FROM tok{x}),
+st{x} AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM tf{x}), hits{x} AS (SELECT {ids}, round({score}, 6) AS score FROM tf{x}, st{x} WHERE {hit}) {tail}"""
 
 
 @query(bm25_sql(f"WITH {NOTES}, t AS (SELECT path, type, folder, title, bytes, title||' '||content AS txt FROM notes)", "path, type, folder, title, bytes", "txt", ["that", "with"], False, "SELECT path, title, folder, type, bytes, score FROM hits WHERE type = 'en' ORDER BY score DESC, path LIMIT 20"))
@@ -148,6 +148,31 @@ def q02_hybrid_search(spark, sf_dir):
     return vectors.reranked(top, "f", "p", "doc_id").select("doc_id", "score")
 
 
+_NOTE_HITS = bm25_sql(f"WITH {NOTES}, {A.FILES}, {VECTORS}, t AS (SELECT path, type, title||' '||content AS txt FROM notes)", "path, type", "txt", ["that", "with"], False, "")
+_FILE_HITS = bm25_sql(_NOTE_HITS + ", t2 AS (SELECT f.path, p.url FROM pages p JOIN files f ON f.page_id = p.page_id)", "path", "url", ["blog"], False, "", "2")
+
+
+@query(_FILE_HITS + """, a AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS r FROM hits WHERE type = 'en'), b AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS r FROM hits2),
+near AS (SELECT vec_id, label, round(list_distance(e, q), 6) AS distance FROM v, q),
+c AS (SELECT path, row_number() OVER (ORDER BY distance, path) AS r FROM near JOIN notes ON doc_id = vec_id WHERE near.label < 5), d AS (SELECT path, row_number() OVER (ORDER BY distance, path) AS r FROM near JOIN files ON page_id = vec_id WHERE near.label >= 5),
+legs AS (SELECT * FROM a WHERE r <= 60 UNION ALL SELECT * FROM b WHERE r <= 60 UNION ALL SELECT * FROM c WHERE r <= 60 UNION ALL SELECT * FROM d WHERE r <= 60),
+fused AS (SELECT path, round(sum(1.0 / (60 + r) + CASE WHEN r = 1 THEN 0.05 WHEN r <= 3 THEN 0.02 ELSE 0 END), 6) AS score FROM legs GROUP BY path),
+have AS (SELECT path, 'note' AS kind, title, type FROM notes UNION ALL SELECT path, 'file', regexp_extract(path, '[^/]*$'), NULL FROM files)
+SELECT path, kind, title, score FROM fused JOIN have USING (path) WHERE kind = 'file' OR type = 'en' ORDER BY score DESC, path LIMIT 20""")
+def q02_hybrid_with_files(spark, sf_dir):
+    """Text and vectors of notes and of other files, fused; the type asked for holds for notes that vectors alone found, too."""
+    notes, files, most = A.notes(spark, sf_dir), A.files(spark, sf_dir), vectors.candidates(20)
+    english, v = F.col("type") == "en", table(spark, sf_dir, "embeddings")
+    urls = files.join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    text = fulltext.search(notes, "that with", english, most).select("path", F.round("score", 6).alias("s"))
+    named = fulltext.bm25(urls.select("path", "url"), F.col("url"), [["blog"]]).select("path", F.round("score", 6).alias("s")).orderBy(F.desc("s"), "path").limit(most)
+    near = lambda rows, key, label: vectors.nearest(v.where(label).join(rows.select(F.col(key).alias("vec_id"), "path"), "vec_id"), "embedding", _vector(spark, sf_dir), most, ("path",)).select("path", "distance")
+    legs = [text, named, near(notes, "doc_id", F.col("label") < 5), near(files, "page_id", F.col("label") >= 5)]
+    by_score, by_distance = [F.desc("s"), F.col("path")], [F.col("distance"), F.col("path")]
+    found = vectors.hydrated(vectors.fused(legs, "path", [by_score, by_score, by_distance, by_distance]), notes, files)
+    return found.where((F.col("kind") == "file") | english).orderBy(F.desc("score"), "path").limit(20).select("path", "kind", "title", "score")
+
+
 @query(bm25_sql(f"WITH {ENTRIES}, t AS (SELECT * FROM entries)", "file, section, entry_date, entry_index, entry_key", "entry_text", ["the", "and"], False, "SELECT file, section, entry_date, entry_index, score FROM hits ORDER BY score DESC, entry_key, entry_index LIMIT 50"))
 def q06_memory_recall(spark, sf_dir):
     hits = fulltext.bm25(A.entries(spark, sf_dir), F.col("entry_text"), [["the"], ["and"]])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumlake.functions import predicates as P
 from vellumlake.functions import ranking
 from vellumlake.functions.stems import stem
-from vellumlake.operators import fulltext, links, metadata, reading, textindex, vectors
+from vellumlake.operators import fulltext, links, metadata, reading, recall, textindex, vectors
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
 from vellumlake.sources.store import shared_folder
@@ -179,6 +179,53 @@ def q06_memory_recall(spark, sf_dir):
     return metadata.recall(hits).select("file", "section", "entry_date", "entry_index", F.round("score", 6).alias("score"))
 
 
+def _entries(spark, sf_dir):
+    e = A.entries(spark, sf_dir)
+    return e.select((F.col("entry_key") * 100 + F.col("entry_index")).alias("id"), "file", "section", "entry_date", "entry_index", "entry_text")
+
+
+def _entry_vectors(spark, sf_dir):
+    """The nearest of the vectors that first turns of conversations have."""
+    v = table(spark, sf_dir, "embeddings").join(_entries(spark, sf_dir).select("id"), F.col("id") == F.col("vec_id") * 100 + 1)
+    return vectors.nearest(v.select("id", "embedding"), "embedding", _vector(spark, sf_dir), recall.NEAREST, ("id",)).select("id", "distance")
+
+
+def _hits(spark, sf_dir, words, any_term=False):
+    return fulltext.bm25(_entries(spark, sf_dir), F.col("entry_text"), words, any_term).select("id", F.round("score", 6).alias("score"))
+
+
+def recall_sql(words: list[str], any_term: bool, tail: str) -> str:
+    return bm25_sql(f"WITH {ENTRIES}, {VECTORS}, e AS (SELECT entry_key * 100 + entry_index AS id, * FROM entries), t AS (SELECT * FROM e)", "id", "entry_text", words, any_term, f""", near AS (SELECT id, round(list_distance(e, q), 6) AS distance FROM (SELECT vec_id * 100 + 1 AS id, e FROM v) JOIN (SELECT id FROM e) USING (id), q ORDER BY distance, id LIMIT 100),
+ranks AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM hits UNION ALL SELECT id, row_number() OVER (ORDER BY distance, id) FROM near),
+fused AS (SELECT id, round(sum(1.0 / (60 + r) + CASE WHEN r = 1 THEN 0.05 WHEN r <= 3 THEN 0.02 ELSE 0 END), 6) AS fused FROM ranks GROUP BY id),
+placed AS (SELECT *, row_number() OVER (ORDER BY fused DESC, id) AS place FROM fused), cand AS (SELECT p.id, p.fused, h.id IS NOT NULL AS lexical, n.distance FROM placed p LEFT JOIN hits h ON h.id = p.id LEFT JOIN near n ON n.id = p.id WHERE h.id IS NOT NULL OR place <= 120) {tail}""")
+
+
+@query(recall_sql(["thing", "that"], False, ", k AS (SELECT * FROM cand WHERE lexical OR distance <= (SELECT min(distance) FROM cand) + 0.15 ORDER BY fused DESC, id LIMIT 50) SELECT file, section, entry_date, entry_index FROM k JOIN e USING (id)"))
+def q06_recall_hybrid(spark, sf_dir):
+    """Text and vectors without a reranker: vectors alone count within a margin of the nearest."""
+    found = recall.found(_entries(spark, sf_dir), _hits(spark, sf_dir, [["thing"], ["that"]]), _entry_vectors(spark, sf_dir))
+    return recall.told(recall.relevant(found))[1].select("file", "section", "entry_date", "entry_index")
+
+
+RERANK = "1 / (1 + exp(-(12 - 8 * distance)))"
+
+
+@query(recall_sql(["thing", "that"], False, f", p AS (SELECT *, coalesce({RERANK}, 0) AS p FROM cand), k AS (SELECT * FROM p WHERE lexical OR p >= least(0.05, greatest(0.001, 0.1 * coalesce((SELECT max(p) FROM p WHERE NOT lexical), 0.5)))) SELECT count(*) AS total FROM k"))
+def q06_recall_reranked(spark, sf_dir):
+    """How many entries stay beside the best of those that vectors alone found, by a stand-in for a reranker's probability."""
+    found = recall.found(_entries(spark, sf_dir), _hits(spark, sf_dir, [["thing"], ["that"]]), _entry_vectors(spark, sf_dir))
+    return recall.told(recall.relevant(found, F.expr(RERANK)))[0]
+
+
+@query(recall_sql(["of", "nowhere"], True, "SELECT file, section, entry_date, entry_index FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 50) JOIN e USING (id)"))
+def q06_recall_rescued(spark, sf_dir):
+    """No entry has all words and no vectors are at hand: those with any of them."""
+    e = _entries(spark, sf_dir)
+    all_terms = _hits(spark, sf_dir, [["of"], ["nowhere"]]).join(e, "id").select(*e.columns, F.col("score").alias("relevance"))
+    return recall.told(recall.rescued(all_terms, _hits(spark, sf_dir, [["of"], ["nowhere"]], True), e))[1].select("file", "section", "entry_date", "entry_index")
+
+
 LISTED = "path, title, mtime_ms"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumlake.functions import predicates as P
 from vellumlake.functions import ranking
 from vellumlake.functions.stems import stem
-from vellumlake.operators import fulltext, links, metadata, reading, recall, textindex, vectors
+from vellumlake.operators import fulltext, links, metadata, reading, recall, reports, textindex, vectors
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
 from vellumlake.sources.store import shared_folder
@@ -428,6 +428,30 @@ def q25_reconcile_all_entries(spark, sf_dir):
     return metadata.reconciled(snapshot(F.col("text")), snapshot(edited)).groupBy("file", "action").agg(F.count("*").alias("n"))
 
 
+@query(f"""{GRAPH}, {PROPERTIES}, {ENTRIES} SELECT 'folder' AS part, * FROM (SELECT split_part(path, '/', 1) AS name, count(*) AS n FROM notes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) UNION ALL
+SELECT 'tag', * FROM (SELECT tag, count(*) AS n FROM (SELECT DISTINCT path, unnest(tags) AS tag FROM notes) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) UNION ALL
+SELECT 'property', * FROM (SELECT p.k, count(DISTINCT path) FROM props WHERE p.v IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) UNION ALL
+SELECT 'recent', * FROM (SELECT path, CAST(mtime_ms AS BIGINT) FROM notes ORDER BY mtime_ms DESC, path LIMIT 20) UNION ALL
+SELECT 'memory', file, count(*) FROM entries GROUP BY file UNION ALL
+SELECT 'orphan', * FROM (SELECT path, CAST(mtime_ms AS BIGINT) FROM notes n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.target = n.path AND l.source <> l.target) ORDER BY mtime_ms DESC, path LIMIT 20) UNION ALL
+SELECT 'count', unnest(['n_notes', 'n_untagged', 'n_without_properties', 'bytes']), unnest([count(*), count(*) FILTER (len(tags) = 0), count(*) FILTER (NOT has_properties), CAST(sum(bytes) AS BIGINT)]) FROM notes UNION ALL
+SELECT 'count', 'n_broken', count(*) FROM (SELECT DISTINCT target FROM links WHERE target NOT IN (SELECT path FROM notes))""")
+def q23_orientation(spark, sf_dir):
+    return reports.orientation(A.notes(spark, sf_dir), _links(spark, sf_dir), A.entries(spark, sf_dir))
+
+
+@query(f"""WITH {TASKS}, {NOTES}, {ENTRIES}, b AS (SELECT CASE WHEN due < '1996-06-10' THEN 'overdue' WHEN due = '1996-06-10' THEN 'due' WHEN due = '1996-06-11' THEN 'tomorrow' WHEN "start" = '1996-06-10' OR scheduled = '1996-06-10' THEN 'begins' END AS bucket FROM tasks WHERE status IN ('todo', 'in_progress'))
+SELECT 'task' AS part, bucket AS name, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY 2 UNION ALL SELECT 'task', 'done', count(*) FROM tasks WHERE status = 'done' AND done = '1996-06-10' UNION ALL
+SELECT 'memory', 'entries', count(*) FROM entries WHERE entry_date = '1996-06-10' UNION ALL SELECT 'note', 'created', count(*) FROM notes WHERE created LIKE '1996-06-10%'""")
+def q24_daily_report(spark, sf_dir):
+    return reports.daily_review(A.tasks(spark, sf_dir), A.entries(spark, sf_dir), A.notes(spark, sf_dir), "1996-06-10")
+
+
+@query(f"WITH {ENTRIES}, g AS (SELECT file, section, count(*) AS n_entries, count(*) FILTER (entry_date < '2024-03-03') AS n_old, max(entry_date) AS last_date FROM entries GROUP BY 1, 2) SELECT *, n_old = n_entries AS stale FROM g")
+def q25_memory_review(spark, sf_dir):
+    return reports.memory_review(A.entries(spark, sf_dir), "2024-06-01")
+
+
 @query(f"WITH {NOTES} SELECT path FROM notes WHERE regexp_full_match(path, 'src1?[1-4]/[^/]*/[^/]*[1-4][.]md')")
 def s9_list_notes(spark, sf_dir):
     return reading.list_notes(A.notes(spark, sf_dir), None, "{src[1-4],src1[1-4]}/*/*[1-4].md")

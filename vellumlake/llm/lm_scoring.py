@@ -1,23 +1,30 @@
 """Language-model scoring with a log-frequency Bloom filter of n-gram counts.
 
-Words and pairs of neighbouring words are counted over all training documents, as
-sorted blocks of hashes that are dealt by hash and merged.  A count c is quantised
-to q = 1 + floor(log2 c), and the n-gram goes into the filter q times, with 1, ..., q:
-a reader probes 1, 2, ... until one is missing.  All words and pairs are in the filter,
-whose size follows the counts.  Up to MOST_BITS it is broadcast; a larger one stays in
-parts by hash block in the shared folder, and n-grams go to the part of their block.
-Both ways read the same bits, so they give the same scores.
+Words and pairs of neighbouring words are counted over all training documents and
+dealt by hash into blocks, as many as the text needs.  A count c is quantised to
+q = 1 + floor(log2 c), and the n-gram goes into its block's filter q times, with
+1, ..., q: a reader probes 1, 2, ... until one is missing.  All words and pairs are in
+the filter, whose size follows the counts.  So it grows with the corpus, and nothing
+bounds what a broadcast would carry: a part for each block stays in the shared folder,
+and n-grams are asked of their part.  A caller who knows the corpus to be small may name
+a bound (most_bits) up to which the whole filter is broadcast and probed where the texts
+are; both ways read the same bits, so they give the same scores.
+
+Within its block an n-gram is a 32-bit key: two n-grams of a block share one about as
+seldom as the filter's own false hits allow for many times over.  The base score needs
+exact counts of words; these are kept by their whole hashes, in the same blocks.
 
 A pair's probability is its count over that of its first word, smoothed by PULL
 pseudo-counts of the second word's own probability.
 
-Exact counts of words, which the base score needs, do not fit one machine: words
-that make up more than 1/HOT of all tokens (so fewer than HOT) are broadcast, the
-others meet their counts in a join by hash block.
+Texts are scored in batches of bounded size.  A batch asks each block once for all its
+distinct n-grams, so that frequent words cost no more than rare ones, and the answers
+come back to the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, STEP, U, buckets, crc_mod, documents, importable, mapped, mix, pieces, signed, words, written
+from .common import STEP, Scratch, U, buckets, crc_mod, documents, importable, mix, pieces, words
 
 END, BEGIN = U(0xE4D0F7E87), U(0xBE619C0DE)
 PULL = 50.0
-#: Bits of the filter for each insertion, probes for each membership test, and bits that are broadcast at most (32 MB).
-PER, PROBES, MOST_BITS = 8, 3, 1 << 28
-HOT = 20_000
+#: Bits of the filter for each insertion, and probes for each membership test.
+PER, PROBES = 8, 3
+#: Bytes of text to a hash block, and to a batch (a longer text alone).
+BLOCK_BYTES, BATCH_BYTES = 16_000_000, 4_000_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,68 +64,25 @@ def summed(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     return x[first], np.add.reduceat(n, first) if len(x) else n
 
 
-def small_counts(n: np.ndarray) -> bytes:
-    return n.astype("<u8" if len(n) and n.max() >= 1 << 32 else "<u4").tobytes()
+def small(n: np.ndarray) -> bytes:
+    """Counts in 1, 4 or 8 bytes each."""
+    most = n.max(initial=0)
+    return n.astype("<u1" if most < 256 else "<u4" if most < 1 << 32 else "<u8").tobytes()
 
 
-def large_counts(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, "<u8" if n and len(b) == 8 * n else "<u4").astype(np.int64)
+def large(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, {1: "<u1", 4: "<u4", 8: "<u8"}[len(b) // n] if n else "<u1").astype(np.int64)
 
 
-BLOCK = pa.schema([("gram", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def key32(x: np.ndarray) -> np.ndarray:
+    return (mix(x + U(STEP)) >> U(32)).astype("<u4")
 
 
-def counted(docs: DataFrame, parts: int) -> DataFrame:
-    """(gram, bucket, keys, counts): the exact counts of all words (gram 1) and pairs (gram 2), a row for each gram and hash block."""
+def dealt(x: np.ndarray, parts: int) -> np.ndarray:
+    """Of n-gram hashes: the block, and the key within it, as one number that sorts by block."""
+    return (x % U(parts)) << U(32) | key32(x).astype(U)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: []}
-        size = 0
-
-        def flush():
-            for gram, found in held.items():
-                if found:
-                    x, n = summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-                    bucket = (x % U(parts)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    x, n, bucket = x[order], n[order], bucket[order]
-                    cuts = np.searchsorted(bucket, np.arange(parts + 1))
-                    rows = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array([gram] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([small_counts(n[cuts[i] : cuts[i + 1]]) for i in rows], pa.binary())], schema=BLOCK)
-                found.clear()
-
-        for batch in pieces(batches):
-            one, two, _ = tokens(batch.column("text"))
-            for gram, x in ((1, one), (2, two)):
-                held[gram].append(summed(x))
-                size += len(held[gram][-1][0])
-            if size > 4_000_000:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, n = np.zeros(0, U), np.zeros(0, np.int64)
-        held = []
-
-        def add():
-            nonlocal x, n
-            x, n = summed(np.concatenate([x, *(h[0] for h in held)]), np.concatenate([n, *(h[1] for h in held)]))
-            held.clear()
 
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                k = np.frombuffer(k, U)
-                held.append((k, large_counts(c, len(k))))
-                if sum(len(h[0]) for h in held) > max(1_000_000, len(x)):
-                    add()
-        if held:
-            add()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([small_counts(n)], pa.binary())], schema=BLOCK)
-
-    kinds = "gram int, bucket int, keys binary, counts binary"
-    importable(docs.sparkSession)
-    return written(docs.select("doc_id", "text").mapInArrow(count, kinds).groupBy("gram", "bucket").applyInArrow(merge, kinds))
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -125,38 +90,106 @@ def level(n: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A log-frequency Bloom filter in parts, one for each hash block."""
+    """A log-frequency Bloom filter, whole or one block's part of it: bits, and where each block's begin and how many they are."""
 
-    def __init__(self, bits: bytes, parts: int, size: int):
-        self.bits, self.parts, self.size = np.frombuffer(bits, np.uint8), parts, size
+    def __init__(self, bits: bytes, begins: np.ndarray, sizes: np.ndarray):
+        self.bits, self.begins, self.sizes = np.frombuffer(bits, np.uint8), begins.astype(np.int64), sizes.astype(np.int64)
 
     @staticmethod
-    def places(x: np.ndarray, q: int | np.ndarray, size: int) -> list[np.ndarray]:
-        """Bit positions within a part of `size` bits."""
-        h = mix(x + np.asarray(q).astype(U) * U(STEP))
-        return [((h >> U(21 * j)) % U(1 << 21) * U(0x9E3779B1) + h % U(0xFFFFFFFB)) % U(size) for j in range(PROBES)]
-
-    def levels(self, x: np.ndarray) -> np.ndarray:
-        """The level of each n-gram's count; 0 where the first probe misses."""
-        q, alive = np.zeros(len(x), np.int64), np.arange(len(x))
-        if not self.size:
-            return q
-        offset = (x % U(self.parts)) * U(self.size)
+    def places(key: np.ndarray, q: int, size: np.ndarray | int) -> list[np.ndarray]:
+        h = mix(key.astype(U) + U(q * STEP & 0xFFFFFFFFFFFFFFFF))
+        step = (h >> U(32)) | U(1)
+        return [(((h & U(0xFFFFFFFF)) + U(j) * step) % np.asarray(size).astype(U)).astype(np.int64) for j in range(PROBES)]
+
+    @classmethod
+    def of(cls, key: np.ndarray, count: np.ndarray) -> "Filter":
+        """The filter of one block."""
+        q = level(count)
+        size = -(-PER * int(q.sum()) // 8) * 8
+        bits = np.zeros(size, bool)
+        for i in range(1, int(q.max(initial=0)) + 1):
+            for p in cls.places(key[q >= i], i, size):
+                bits[p] = True
+        return cls(np.packbits(bits, bitorder="little").tobytes(), np.zeros(1), np.array([size]))
+
+    def levels(self, code: np.ndarray) -> np.ndarray:
+        """The level of each n-gram's count, by what dealt() gives (or keys alone, of one block); 0 where the first probe misses."""
+        block, key = (code >> U(32)).astype(np.int64), code & U(0xFFFFFFFF)
+        q, alive = np.zeros(len(code), np.uint8), np.flatnonzero(self.sizes[block] > 0)
         for i in range(1, 64):
             if not len(alive):
                 break
+            b = block[alive]
             there = np.ones(len(alive), bool)
-            for p in self.places(x[alive], i, self.size):
-                p = p + offset[alive]
-                there &= (self.bits[(p >> U(3)).astype(np.int64)] >> (p & U(7)).astype(np.uint8)) & 1 == 1
+            for p in self.places(key[alive], i, self.sizes[b]):
+                p += self.begins[b]
+                there &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
             alive = alive[there]
             q[alive] = i
         return q
 
 
+MODEL = pa.schema([("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary()), ("size", pa.int64()), ("total", pa.int64()), ("kinds", pa.int64())])
+
+
+def model_of(docs: DataFrame, parts: int) -> DataFrame:
+    """(block, words, counts, bits, size, total, kinds), a row for each hash block: the exact counts of its words, and the filter of its words and pairs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], []]
+        size = 0
+
+        def flush():
+            one, two = (summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) for found in held)
+            order = np.argsort(one[0] % U(parts), kind="stable")
+            one = one[0][order], one[1][order]
+            a, b = np.searchsorted(one[0] % U(parts), np.arange(parts + 1).astype(U)), np.searchsorted(two[0], np.arange(parts + 1).astype(U) << U(32))
+            rows = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist()
+            cut = lambda x, at, f: pa.array([f(x[at[i] : at[i + 1]]) for i in rows], pa.binary())
+            raw = lambda x: x.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), cut(one[0], a, raw), cut(one[1], a, small), cut((two[0] & U(0xFFFFFFFF)).astype("<u4"), b, raw), cut(two[1], b, small)], names=["block", "words", "counts", "pairs", "times"])
+            for found in held:
+                found.clear()
+
+        for batch in pieces(batches):
+            one, two, _ = tokens(batch.column("text"))
+            for found, x in zip(held, (one, dealt(two, parts)), strict=True):
+                found.append(summed(x))
+                size += len(found[-1][0])
+            if size > 4_000_000:
+                yield from flush()
+                size = 0
+        if held[0]:
+            yield from flush()
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [(np.zeros(0, t), np.zeros(0, np.int64)) for t in (U, "<u4")]
+        held: list[list] = [[], []]
+
+        def add(i: int):
+            whole[i] = summed(np.concatenate([whole[i][0], *(h[0] for h in held[i])]), np.concatenate([whole[i][1], *(h[1] for h in held[i])]))
+            held[i].clear()
+
+        for batch in batches:
+            for i, (x, n, t) in enumerate((("words", "counts", U), ("pairs", "times", "<u4"))):
+                for k, c in zip(batch.column(x).to_pylist(), batch.column(n).to_pylist(), strict=True):
+                    k = np.frombuffer(k, t)
+                    held[i].append((k, large(c, len(k))))
+                    if sum(len(h[0]) for h in held[i]) > max(1_000_000, len(whole[i][0])):
+                        add(i)
+        for i in (0, 1):
+            add(i)
+        (one, n), (two, m) = whole
+        own = Filter.of(np.concatenate([key32(one), two]), np.concatenate([n, m]))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((key[0].as_py(), one.tobytes(), small(n), own.bits.tobytes(), int(own.sizes[0]), int(n.sum()), len(n)), MODEL.types, strict=True)], schema=MODEL)
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "block int, words binary, counts binary, pairs binary, times binary")
+    return counted.groupBy("block").applyInArrow(merge, "block int, words binary, counts binary, bits binary, size long, total long, kinds long")
+
+
 def expected(q: np.ndarray) -> np.ndarray:
     """About how often an n-gram of each level was counted."""
-    return np.where(q > 0, 1.5 * 2.0 ** (q - 1) - 0.5 * (q == 1), 0.0)
+    return np.where(q > 0, 1.5 * 2.0 ** (q.astype(float) - 1) - 0.5 * (q == 1), 0.0)
 
 
 def log_sums(c: np.ndarray, c2: np.ndarray, starts: np.ndarray, whole: float) -> np.ndarray:
@@ -170,177 +203,120 @@ def log_sums(c: np.ndarray, c2: np.ndarray, starts: np.ndarray, whole: float) ->
     return np.bincount(np.repeat(np.arange(len(n)), n), np.log10(np.minimum(p, 1)), len(n))
 
 
-def build_filter(counts: DataFrame, parts: int, most_bits: int) -> tuple[Filter | DataFrame, int, int, int]:
-    """(filter, bits of a part, training tokens, distinct words); a filter of more than most_bits as rows (bucket, bits) in the shared folder."""
+def scored(docs: DataFrame, most_bits: int = 0) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, token_score, n_elsewhere) of every row.
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gram, c, k in zip(*(batch.column(x).to_pylist() for x in ("gram", "counts", "keys")), strict=True):
-                n = large_counts(c, len(k) // 8)
-                yield pa.RecordBatch.from_pylist([{"gram": gram, "kinds": len(n), "total": int(n.sum()), "levels": int(level(n).sum())}], schema=SIZES)
-
-    SIZES = pa.schema([("gram", pa.int32()), ("kinds", pa.int64()), ("total", pa.int64()), ("levels", pa.int64())])
-    rows = counts.select("gram", "counts", "keys").mapInArrow(histogram, "gram int, kinds long, total long, levels long").groupBy("gram").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), F.sum("levels").alias("levels")).collect()  # at most 2 rows
-    N, V = (sum(r[k] for r in rows if r["gram"] == 1) for k in ("total", "kinds"))
-    size = -(-PER * sum(r["levels"] for r in rows) // parts)
-
-    def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+    Training documents are those whose crc32(doc_id) mod 5 is not 1.  token_score is
+    score / n_tokens; n_elsewhere counts tokens whose pair with the one before the
+    filter has more often than once (in a held-out text: at all), so that the pairs of
+    a text that occurs twice are all in it.  A null or empty text is one end; rows
+    without a doc_id are left out; rows that repeat are scored one by one, with equal
+    results; without training documents all counts are 0; an empty table gives no
+    rows; other columns are ignored.  Texts of any length are scored whole.
+    """
+    importable(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_scored(documents(docs), most_bits, scratch))
+
+
+def _scored(d: DataFrame, most_bits: int, scratch: Scratch) -> DataFrame:
+    spark = d.sparkSession
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(buckets(spark), -(-size // BLOCK_BYTES))
+    model = scratch.keep(model_of(d.where(crc_mod() != 1), parts))
+    sums = model.agg(F.sum("total"), F.sum("kinds"), F.sum("size")).first()
+    N, V, bits = (x or 0 for x in sums)
+    whole = N + 0.5 * (V + 1)
+    shared = None
+    if bits <= most_bits:
+        begins, sizes, data = np.zeros(parts, np.int64), np.zeros(parts, np.int64), bytearray()
+        for r in model.select("block", "bits", "size").toLocalIterator():
+            begins[r["block"]], sizes[r["block"]] = 8 * len(data), r["size"]
+            data += r["bits"]
+        shared = spark.sparkContext.broadcast((bytes(data), begins, sizes))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, BATCH_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            blob = sink.getvalue().to_pybytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)]), pa.array([blob], pa.binary())], names=["batch", "blob"])
+
+    # the batches as they were first made: whoever reads them again finds the same ones
+    packed = scratch.keep(d.select("doc_id", "text").mapInArrow(pack, "batch long, blob binary"))
+
+    def grams(blob: bytes) -> tuple:
+        """A batch's rows, where texts start, the distinct words and pairs (both sorted by block), and which each token is."""
+        rows = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        one, two, starts = tokens(rows.column("text").combine_chunks())
+        w, at = np.unique(one, return_inverse=True)
+        order = np.argsort(w % U(parts), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs, pair_at = np.unique(dealt(two, parts), return_inverse=True)
+        return rows.column("doc_id").combine_chunks(), starts, w[order], rank[at], pairs, pair_at
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, c in zip(*(batch.column(x).to_pylist() for x in ("keys", "counts")), strict=True):
-                x = np.frombuffer(k, U)
-                q = level(large_counts(c, len(x)))
-                for i in range(1, int(q.max(initial=0)) + 1):
-                    for p in Filter.places(x[q >= i], i, size):
-                        bits[p.astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
-
-    size = -(-size // 8) * 8
-    filled = counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
-    if size * parts > most_bits:
-        return written(filled), size, N, V
-    whole = bytearray(size // 8 * parts)
-    if size:
-        for r in filled.toLocalIterator():
-            whole[r["bucket"] * size // 8 : (r["bucket"] + 1) * size // 8] = r["bits"]
-    return Filter(bytes(whole), parts, size), size, N, V
-
-
-def scores_by_block(d: DataFrame, filled: DataFrame, parts: int, size: int, whole: float) -> DataFrame:
-    """(row, score), with the filter in parts: texts are dealt into batches, whose distinct n-grams ask the part of their block."""
-    bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = d.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(max(parts, -(-bytes_ // CHUNK_BYTES)))).alias("batch"))
-
-    def dealt(texts: pa.Table) -> tuple:
-        """The tokens of a batch, its distinct n-grams, and their order by block."""
-        one, two, starts = tokens(texts.column("text"))
-        grams, at = np.unique(np.concatenate([one, two]), return_inverse=True)
-        return starts, grams, at, np.argsort(grams % U(parts), kind="stable")
-
-    def ask(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
-        _, grams, _, order = dealt(texts)
-        grams = grams[order]
-        cuts = np.searchsorted(grams % U(parts), np.arange(parts + 1).astype(U))
-        blocks = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
-        return pa.table({"batch": pa.array([key[0].as_py()] * len(blocks), pa.int64()), "bucket": pa.array(blocks, pa.int32()), "keys": pa.array([grams[cuts[i] : cuts[i + 1]].tobytes() for i in blocks], pa.binary())})
+            for number, blob in zip(batch.column("batch").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                _, _, w, _, pairs, _ = grams(blob)
+                if shared:
+                    pairs = pairs[:0]
+                a, b = np.searchsorted(w % U(parts), np.arange(parts + 1).astype(U)), np.searchsorted(pairs, np.arange(parts + 1).astype(U) << U(32))
+                keys = (pairs & U(0xFFFFFFFF)).astype("<u4")
+                blocks = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array([w[a[i] : a[i + 1]].tobytes() for i in blocks], pa.binary()), pa.array([keys[b[i] : b[i + 1]].tobytes() for i in blocks], pa.binary())], names=["batch", "block", "words", "pairs"])
 
     def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, part: pa.Table) -> pa.Table:
-        bits = part.column("bits").to_pylist()
-        own = Filter(bits[0], 1, size) if bits else Filter(b"", 1, 0)
-        found = [own.levels(np.frombuffer(k, U)).astype(np.uint8).tobytes() for k in asked.column("keys").to_pylist()]
-        return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "levels": pa.array(found, pa.binary())})
+        there = part.num_rows > 0
+        x = np.frombuffer(part.column("words")[0].as_py() if there else b"", U)
+        n = large(part.column("counts")[0].as_py() if there else b"", len(x))
+        own = Filter(part.column("bits")[0].as_py() if there else b"", np.zeros(1), np.array([part.column("size")[0].as_py() if there else 0]))
+        out: dict[str, list] = {"counts": [], "levels": [], "pair_levels": []}
+        for w, p in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
+            w, p = np.frombuffer(w, U), np.frombuffer(p, "<u4")
+            at = np.minimum(np.searchsorted(x, w), max(0, len(x) - 1))
+            out["counts"].append((np.where(x[at] == w, n[at], 0) if len(x) else np.zeros(len(w))).astype("<u8").tobytes())
+            out["levels"].append((np.zeros(0, np.uint8) if shared else own.levels(key32(w).astype(U))).tobytes())
+            out["pair_levels"].append(own.levels(p.astype(U)).tobytes())
+        return pa.table({"batch": asked.column("batch"), "block": asked.column("block")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     def score(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
-        starts, grams, at, order = dealt(texts)
-        q = np.zeros(len(grams), np.int64)
-        found = sorted(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-        q[order] = np.frombuffer(b"".join(x for _, x in found), np.uint8)
-        c = expected(q)[at]
-        return pa.table({"row": texts.column("row"), "score": log_sums(c[: len(c) // 2], c[len(c) // 2 :], starts, whole)})
+        said = {}  # batches that are equal asked the same
+        for block, *found in zip(*(answers.column(c).to_pylist() for c in ("block", "counts", "levels", "pair_levels")), strict=True):
+            said[block] = found
+        counts, levels, pair_levels = (b"".join(said[k][i] for k in sorted(said)) for i in range(3))
+        tables = []
+        for blob in texts.column("blob").to_pylist():
+            docs, starts, w, at, pairs, pair_at = grams(blob)
+            n = np.diff(starts)
+            row = np.repeat(np.arange(len(n)), n)
+            exact = np.frombuffer(counts, "<u8").astype(np.int64)
+            if shared:
+                own = Filter(*shared.value)
+                q, q2 = own.levels(dealt(w, parts)), own.levels(pairs)
+            else:
+                q, q2 = np.frombuffer(levels, np.uint8), np.frombuffer(pair_levels, np.uint8)
+            held = np.array([_held_out(i) for i in docs.to_pylist()])
+            total = log_sums(expected(q)[at], expected(q2)[pair_at], starts, whole)
+            add = lambda x: np.bincount(row, x, len(n))
+            tables.append(pa.table({"doc_id": docs, "n_tokens": n, "n_known": add(exact[at] > 0).astype(np.int64), "base_score": add(np.log10((exact + 0.5) / whole)[at]), "score": total, "n_elsewhere": add(q2[pair_at] + held[row] > 1).astype(np.int64)}))
+        return pa.concat_tables(tables)
 
-    asked = batches.groupBy("batch").applyInArrow(ask, "batch long, bucket int, keys binary")
-    answers = asked.groupBy("bucket").cogroup(filled.groupBy("bucket")).applyInArrow(look_up, "batch long, bucket int, levels binary")
-    each = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "row long, score double")
-    return each.groupBy("row").agg(F.max("score").alias("score"))
+    asked = packed.mapInArrow(ask, "batch long, block int, words binary, pairs binary")
+    need = model.select("block", "words", "counts", *([F.lit(b"").alias("bits"), F.lit(0).cast("long").alias("size")] if shared else ["bits", "size"]))
+    answers = asked.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(look_up, "batch long, block int, counts binary, levels binary, pair_levels binary")
+    out = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_elsewhere long")
+    return out.select("doc_id", (crc_mod() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("token_score"), "n_elsewhere")
 
 
-def scored(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+def _held_out(doc_id: int) -> bool:
+    import zlib
 
-    Training documents are those whose crc32(doc_id) mod 5 is not 1.  An empty text
-    is one end.  Equal rows get equal results; without training documents all
-    counts are 0.
-    """
-    spark = importable(docs.sparkSession)
-    d = documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    parts = buckets(spark)
-    counts = counted(d.where(crc_mod() != 1), parts)
-    model, size, N, V = build_filter(counts, parts, most_bits)
-    whole, floor = N + 0.5 * (V + 1), max(2, N // HOT)
-    shared = spark.sparkContext.broadcast((model.bits.tobytes(), model.parts, model.size)) if isinstance(model, Filter) else None
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(k, U)
-                n = large_counts(c, len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x[n > floor])), pa.array(n[n > floor])], names=["key", "n"])
-
-    top = counts.where("gram = 1").select("keys", "counts").mapInArrow(frequent, "key long, n long").collect()  # fewer than HOT
-    hot = np.array(sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in top), U).reshape(-1, 2)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(*shared.value) if shared else None
-        hot_key, hot_log = hot[:, 0].copy(), np.log10((hot[:, 1].astype(float) + 0.5) / whole) if whole > 0.5 else np.zeros(0)
-        for batch in pieces(batches):
-            one, two, starts = tokens(batch.column("text"))
-            n = np.diff(starts)
-            row = np.repeat(np.arange(len(n)), n)
-            words_, word_at = np.unique(one, return_inverse=True)
-            if own:
-                pairs_, pair_at = np.unique(two, return_inverse=True)
-                total = log_sums(expected(own.levels(words_))[word_at], expected(own.levels(pairs_))[pair_at], starts, whole)
-            else:
-                total = np.zeros(len(n))  # comes from scores_by_block
-            spot = np.minimum(np.searchsorted(hot_key, words_), max(0, len(hot_key) - 1))
-            is_hot = (hot_key[spot] == words_) if len(hot_key) else np.zeros(len(words_), bool)
-            token_hot = is_hot[word_at]
-            base = np.bincount(row[token_hot], hot_log[spot[word_at[token_hot]]] if token_hot.any() else None, len(n)).astype(float)
-            known = np.bincount(row[token_hot], minlength=len(n))
-            # the other words of each text with their numbers, dealt by hash block
-            cold = np.flatnonzero(~token_hot)
-            code = row[cold] * len(words_) + word_at[cold]
-            code, times = np.unique(code, return_counts=True)
-            key, who = words_[code % len(words_)], (code // len(words_)).astype("<u4")
-            bucket = (key % U(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-            blocks = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
-            rows = batch.column("row").to_numpy()
-            part = [order[cuts[i] : cuts[i + 1]] for i in blocks]
-            who_in = [np.unique(who[x], return_inverse=True) for x in part]
-            blank = len(blocks)
-            own_id = int(np.bitwise_xor.reduce(mix(rows.view(U))).view(np.int64))  # of this batch
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(blank, pa.int64())]), pa.concat_arrays([batch.column("row"), pa.array([own_id] * blank, pa.int64())]), pa.concat_arrays([pa.array(n), pa.nulls(blank, pa.int64())]), pa.concat_arrays([pa.array(known.astype(np.int64)), pa.nulls(blank, pa.int64())]), pa.concat_arrays([pa.array(base), pa.nulls(blank, pa.float64())]), pa.concat_arrays([pa.array(total), pa.nulls(blank, pa.float64())]),
-                    pa.concat_arrays([pa.nulls(len(n), pa.int32()), pa.array(blocks, pa.int32())]), pa.concat_arrays([pa.nulls(len(n), pa.binary()), pa.array([rows[w].tobytes() for w, _ in who_in], pa.binary())]), pa.concat_arrays([pa.nulls(len(n), pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in who_in], pa.binary())]), pa.concat_arrays([pa.nulls(len(n), pa.binary()), pa.array([key[x].tobytes() for x in part], pa.binary())]), pa.concat_arrays([pa.nulls(len(n), pa.binary()), pa.array([times[x].astype("<u4").tobytes() for x in part], pa.binary())]),
-                ],
-                names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "bucket", "rows", "who", "keys", "times"],
-            )
-
-    both = written(d.select("doc_id", "text", "row").mapInArrow(score, "doc_id long, row long, n_tokens long, n_known long, base double, score double, bucket int, rows binary, who binary, keys binary, times binary"))
-
-    def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, exact: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(exact.column("keys").to_pylist()), U)
-        n = np.concatenate([np.zeros(0, np.int64), *(large_counts(c, len(k) // 8) for c, k in zip(exact.column("counts").to_pylist(), exact.column("keys").to_pylist(), strict=True))])
-        out: dict[str, list] = {"batch": asked.column("batch").to_pylist(), "rows": asked.column("rows").to_pylist(), "base": [], "known": []}
-        for r, w, k, t in zip(*(asked.column(c).to_pylist() for c in ("rows", "who", "keys", "times")), strict=True):
-            w, k, t = np.frombuffer(w, "<u4"), np.frombuffer(k, U), np.frombuffer(t, "<u4").astype(float)
-            at = np.minimum(np.searchsorted(x, k), max(0, len(x) - 1))
-            c = np.where(x[at] == k, n[at], 0) if len(x) else np.zeros(len(k), np.int64)
-            out["base"].append(np.bincount(w, t * np.log10((c + 0.5) / whole), len(r) // 8).tobytes())
-            out["known"].append(np.bincount(w, t * (c > 0), len(r) // 8).astype("<i8").tobytes())
-        return pa.table(out, schema=pa.schema([("batch", pa.int64()), ("rows", pa.binary()), ("base", pa.binary()), ("known", pa.binary())]))
-
-    def add_up(answers: pa.Table) -> pa.Table:
-        """Sums of a batch's rows over all blocks."""
-        joint = lambda c, t: np.frombuffer(b"".join(answers.column(c).to_pylist()), t)
-        rows, at = np.unique(joint("rows", np.int64), return_inverse=True)
-        return pa.table({"row": rows, "base": np.bincount(at, joint("base", np.float64), len(rows)), "n_known": np.bincount(at, joint("known", np.int64), len(rows)).astype(np.int64)})
-
-    asked = both.where("bucket is not null").select("bucket", F.col("row").alias("batch"), "rows", "who", "keys", "times").groupBy("bucket")
-    rest = asked.cogroup(counts.where("gram = 1").select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(look_up, "batch long, rows binary, base binary, known binary")
-    rest = rest.groupBy("batch").applyInArrow(add_up, "row long, base double, n_known long")
-    rest = rest.groupBy("row").agg(F.sum("base").alias("more"), F.sum("n_known").alias("more_known"))
-    mine = both.where("bucket is null").groupBy("row", "doc_id").agg(F.count("*").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base").alias("base"), F.max("score").alias("score"))
-    if not shared:
-        mine = mine.drop("score").join(scores_by_block(d, model, parts, size, whole), "row")
-    out = mine.join(rest, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    # equal rows asked together, so what they got is shared out
-    more = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
-    return out.select("doc_id", (crc_mod() == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.round(more("more_known")).cast("long")).alias("n_known"), F.lit(N or 0).cast("long").alias("train_tokens"), (F.col("base") + more("more")).alias("base_score"), "score")
+    return zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """scored() of the whole table documents; see there for nulls, empty and repeated rows."""
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -31,25 +31,49 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
 
 
-def link_keys(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(key, tier, n, path): the best path for each text that may lead to it, a row for each key.
+def path_keys(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(key, tier, n, path): every text that may lead to a path.
 
     Keys begin with what they are: "n" and "f" for the ends of paths of notes and of other
     files, "N" and "F" for whole paths, which a link may give from the source's folder.
     Tiers are the order of the rules: notes before files; whole names before names without
-    their extension; exact before relative before the end of a path.  Of equals the
-    shortest path wins, then the first.
+    their extension; exact before relative before the end of a path.  n is the path's
+    length.
     """
 
     def of(paths: DataFrame, name: Column, kind: str, tier: int) -> DataFrame:
         ends = F.transform(suffixes(name), lambda s: F.struct(F.concat(F.lit(kind), s["key"]).alias("key"), F.when(s["depth"] == 0, tier).otherwise(tier + 2).alias("tier")))
         whole = F.array(F.struct(F.concat(F.lit(kind.upper()), name).alias("key"), F.lit(tier + 1).alias("tier")))
-        return paths.select("path", F.explode(F.concat(ends, whole)).alias("k")).select("path", "k.*")
+        return paths.select("path", F.explode(F.concat(ends, whole)).alias("k")).select("k.*", F.length("path").alias("n"), "path")
 
     keys = of(notes.select("path"), F.col("path"), "n", 0)
     if files is not None:
         keys = keys.union(of(files.select("path"), F.col("path"), "f", 3)).union(of(files.select("path"), stem_of(F.col("path")), "f", 6))
-    return keys.groupBy("key").agg(F.min(F.struct("tier", F.length("path").alias("n"), "path")).alias("best")).select("key", "best.*")
+    return keys
+
+
+def best_of(keys: DataFrame) -> DataFrame:
+    """(key, tier, n, path): of each key the best path: the lowest tier, of equals the shortest path, then the first."""
+    return keys.groupBy("key").agg(F.min(F.struct("tier", "n", "path")).alias("best")).select("key", "best.*")
+
+
+def link_keys(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(key, tier, n, path): the best path for each text that may lead to it, a row for each key."""
+    return best_of(path_keys(notes, files))
+
+
+def asked_keys(references: DataFrame, files: bool, extension: str = ".md") -> DataFrame:
+    """(source, target, key): the few keys that the rules look for, of each link text."""
+    note = F.when(F.endswith("target", F.lit(extension)), F.col("target")).otherwise(F.concat("target", F.lit(extension)))
+    source = F.col("source")
+    asked = {"n": note, "N": beside(source, note)} | ({"f": F.col("target"), "F": beside(source, F.col("target"))} if files else {})
+    return references.select("source", "target", F.explode(F.array(*[F.concat(F.lit(k), c) for k, c in asked.items()])).alias("key"))
+
+
+def answered(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(source, target, path): the best path of each link text over all its keys, null where there is none."""
+    met = asked.join(keys, "key", "left").groupBy("source", "target").agg(F.min(F.when(F.col("path").isNotNull(), F.struct("tier", "n", "path"))).alias("best"))
+    return met.select("source", "target", F.col("best.path").alias("path"))
 
 
 def resolved(references: DataFrame, notes: DataFrame, files: DataFrame | None = None, extension: str = ".md") -> DataFrame:
@@ -59,13 +83,9 @@ def resolved(references: DataFrame, notes: DataFrame, files: DataFrame | None =
     so that the search is an equi-join; a popular target is one row of keys, whose
     references a skewed join may split.  Repeated references count once.
     """
-    note = F.when(F.endswith("target", F.lit(extension)), F.col("target")).otherwise(F.concat("target", F.lit(extension)))
-    source = F.col("source")
-    asked = {"n": note, "N": beside(source, note)} | ({"f": F.col("target"), "F": beside(source, F.col("target"))} if files is not None else {})
     refs = references.select("source", "target").distinct()
-    each = refs.select("source", "target", F.explode(F.array(*[F.concat(F.lit(k), c) for k, c in asked.items()])).alias("key"))
-    met = each.join(link_keys(notes, files), "key", "left").groupBy("source", "target").agg(F.min(F.when(F.col("path").isNotNull(), F.struct("tier", "n", "path"))).alias("best"))
-    return met.select("source", F.coalesce("best.path", "target").alias("target")).distinct()
+    found = answered(asked_keys(refs, files is not None, extension), link_keys(notes, files))
+    return found.select("source", F.coalesce("path", "target").alias("target")).distinct()
 
 
 def backlinks(links: DataFrame, notes: DataFrame, path: str, files: DataFrame | None = None) -> DataFrame:

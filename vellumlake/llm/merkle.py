@@ -225,7 +225,7 @@ _FIELDS = "concat({})".format(", ".join("coalesce(strlen({0}::varchar) || ':' ||
 SQL = f"""
 WITH RECURSIVE base AS (
   SELECT doc_id, lang, sha256({_FIELDS.replace("TEXT", "text")}) AS leaf, sha256({_FIELDS.replace("TEXT", f"translate(text, '{UPPER}', '{LOWER}')")}) AS lowered,
-    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
       lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 3 = 0 AS changed
   FROM documents),
 d AS (SELECT doc_id, lang, leaf, CASE WHEN changed THEN lowered ELSE leaf END AS start, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM base),

@@ -67,13 +67,14 @@ def build(notes: DataFrame, text: Column, folder: str, key: str = "path", bucket
     notes.agg(F.count("*").alias("n"), F.avg(size).alias("average")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/corpus")
 
 
-def search(spark: SparkSession, folder: str, query: str, key: str = "path", any_term: bool = False) -> DataFrame:
-    """(key, score): the notes that match all parts of the query (any, with any_term), words by their stems, and their BM25."""
-    corpus = spark.read.parquet(f"{folder}/corpus").first()  # one row
+def parts_of(query: str, any_term: bool) -> tuple[list[list[str]], list[str]]:
+    """The stems of each part of a query, and all of them."""
     parts = [[stem(w) for w in part] for part in parse_query(query, any_term)]
-    asked = sorted({w for part in parts for w in part})
-    dealt = [r[0] for r in spark.createDataFrame([(w,) for w in asked], "term string").select(bucket_of(F.col("term"), corpus["buckets"])).distinct().collect()] if asked else []
-    rows = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(dealt) & F.col("term").isin(asked))
+    return parts, sorted({w for part in parts for w in part})
+
+
+def scored(rows: DataFrame, parts: list[list[str]], asked: list[str], n: float, average: float, key: str = "path", any_term: bool = False) -> DataFrame:
+    """(key, score) of the postings of the asked stems: notes that match all parts (any, with any_term), and their BM25 among n notes of average length."""
     notes = rows.groupBy(key).agg(F.max("dl").alias("dl"), *[F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"p{i}") for i, w in enumerate(asked)])
     at = {w: F.col(f"p{i}") for i, w in enumerate(asked)}
 
@@ -89,8 +90,17 @@ def search(spark: SparkSession, folder: str, query: str, key: str = "path", any_
 
     def weight(i: int) -> Column:
         df, f = F.col(f"df{i}"), F.col(f"f{i}")
-        idf = F.greatest(F.lit(FLOOR), F.log((corpus["n"] - df + 0.5) / (df + 0.5)))
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / corpus["average"]))
+        idf = F.greatest(F.lit(FLOOR), F.log((n - df + 0.5) / (df + 0.5)))
+        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / average))
 
     score = reduce(lambda a, b: a + b, map(weight, range(len(parts))))
     return counted.where(hit).join(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics
+
+
+def search(spark: SparkSession, folder: str, query: str, key: str = "path", any_term: bool = False) -> DataFrame:
+    """(key, score): the notes that match all parts of the query (any, with any_term), words by their stems, and their BM25."""
+    corpus = spark.read.parquet(f"{folder}/corpus").first()  # one row
+    parts, asked = parts_of(query, any_term)
+    dealt = [r[0] for r in spark.createDataFrame([(w,) for w in asked], "term string").select(bucket_of(F.col("term"), corpus["buckets"])).distinct().collect()] if asked else []
+    rows = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(dealt) & F.col("term").isin(asked))
+    return scored(rows, parts, asked, corpus["n"], corpus["average"], key, any_term)

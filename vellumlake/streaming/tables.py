@@ -22,7 +22,7 @@ BUCKET = "bucket"
 
 
 class Tables:
-    """keys: of each table the column whose hash deals its rows."""
+    """keys: of each table the column whose hash deals its rows; tables "name@1", "name@2", ... are dealt as "name" is."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: dict[str, str], buckets: int = 16, bucket_bytes: int = 128 << 20):
         self.spark, self.folder, self.keys, self.buckets, self.bucket_bytes = spark, folder.rstrip("/"), keys, buckets, bucket_bytes
@@ -62,6 +62,13 @@ class Tables:
     def has(self, batch_id: int) -> bool:
         return self.manifest()["batch"] >= batch_id
 
+    def key(self, name: str) -> str:
+        return self.keys[name.split("@")[0]]
+
+    def names(self, prefix: str) -> list[str]:
+        """The tables "prefix@..." that the last commit left."""
+        return sorted(n for n in self.manifest()["tables"] if n.startswith(f"{prefix}@"))
+
     # --- rows ---------------------------------------------------------------
 
     def _of(self, name: str, manifest: dict | None = None) -> dict:
@@ -72,7 +79,7 @@ class Tables:
 
     def touched(self, name: str, keys: DataFrame, column: str | None = None) -> list[int]:
         """The buckets of a table that keys lie in: as many numbers as it has buckets at most."""
-        of = self.bucket(name, F.col(column or self.keys[name]))
+        of = self.bucket(name, F.col(column or self.key(name)))
         return sorted(r[0] for r in keys.select(of.alias(BUCKET)).distinct().collect())
 
     def read(self, name: str, some: list[int] | None = None) -> DataFrame | None:
@@ -97,15 +104,15 @@ class Tables:
 
     def _write(self, name: str, rows: DataFrame, buckets: int) -> str:
         path = f"data/{name}-{uuid.uuid4().hex}"
-        of = F.pmod(F.xxhash64(self.keys[name]), F.lit(buckets)).cast("int")
-        rows.withColumn(BUCKET, of).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, self.keys[name]).write.partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
+        of = F.pmod(F.xxhash64(self.key(name)), F.lit(buckets)).cast("int")
+        rows.withColumn(BUCKET, of).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, self.key(name)).write.partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
         return path
 
     def _parts(self, path: str) -> dict[str, str]:
         return {n.split("=")[1]: path for n in self._names(path) if n.startswith(f"{BUCKET}=")}
 
-    def commit(self, batch_id: int, writes: dict[str, tuple[DataFrame, list[int] | None]], numbers: dict | None = None) -> dict:
-        """Puts the rows of each table's touched buckets (None: of all) in place of what these held, all tables at once.
+    def commit(self, batch_id: int, writes: dict[str, tuple[DataFrame, list[int] | None] | None], numbers: dict | None = None) -> dict:
+        """Puts the rows of each table's touched buckets (None: of all) in place of what these held, all tables at once; a table without rows to put goes.
 
         Returns how many buckets of each table were written.  Two writers at once: the
         second one's rename fails, and it ends with an error.
@@ -113,8 +120,11 @@ class Tables:
         found = self._manifests()
         last = found[0] if found else self.manifest()
         tables, written = dict(last["tables"]), {}
-        for name, (rows, touched) in writes.items():
-            t = self._of(name, last)
+        for name, change in writes.items():
+            if change is None:
+                tables.pop(name, None)
+                continue
+            (rows, touched), t = change, self._of(name, last)
             parts = {} if touched is None else {b: p for b, p in t["parts"].items() if int(b) not in touched}
             if touched is None or touched:
                 new = self._parts(self._write(name, rows, t["buckets"]))

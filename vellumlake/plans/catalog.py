@@ -14,7 +14,8 @@ from vellumlake.operators import fulltext, links, metadata, reading, recall, rep
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
 from vellumlake.sources.store import shared_folder
-from vellumlake.streaming import feed
+from vellumlake.streaming import debounce, feed, linkindex, textfeed, vectorfeed
+from vellumlake.streaming.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -519,12 +520,65 @@ def r2_latest_per_path(spark, sf_dir):
     return feed.last_changes(e).select("path", "version", "op").where("op <> 'delete'")
 
 
-@query(f"WITH {NOTES}, a AS (SELECT path, mtime_ms FROM notes WHERE doc_id % 9 <> 4), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms FROM notes WHERE doc_id % 9 <> 5) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR b.mtime_ms > a.mtime_ms")
-def r3_manifest_changes(spark, sf_dir):
-    """What changed between two listings of the same notes, each without some that the other has."""
+@query(f"WITH {NOTES}, a AS (SELECT path, mtime_ms FROM notes), b AS (SELECT CASE WHEN type = 'de' THEN 'moved/' || path ELSE path END AS path, CASE WHEN bytes > 2000 THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms FROM notes) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR b.mtime_ms > a.mtime_ms")
+def r5_manifest_changes(spark, sf_dir):
+    """What changed between two listings of all notes: in the second some have been moved, and some edited."""
     n = A.notes(spark, sf_dir)
-    now = n.where("doc_id % 9 <> 5").select("path", F.when(F.col("doc_id") % 7 == 0, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"))
-    return feed.manifest_changes(n.where("doc_id % 9 <> 4").select("path", "mtime_ms"), now)
+    path = F.when(F.col("type") == "de", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    now = n.select(path.alias("path"), F.when(F.col("bytes") > 2000, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"))
+    return feed.manifest_changes(n.select("path", "mtime_ms"), now)
+
+
+@query("WITH l AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, epoch_us(ts) // 1000 AS at_ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS next_ms FROM events) SELECT user_id AS path, event_id AS version, op, at_ms FROM l WHERE op = 'delete' OR next_ms IS NULL OR next_ms - at_ms >= 21600000")
+def r3_settled_changes(spark, sf_dir):
+    """The changes that a debounce of six hours passes on: events as a log of their users' changes, errors being deletions."""
+    at_ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("version"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), at_ms.alias("at_ms"))
+    return debounce.settled_log(log, 6 * 3600 * 1000)
+
+
+def _changes(spark, sf_dir) -> list[DataFrame]:
+    """All notes as two batches of changes: first each with its title alone and German ones in a drafts folder, then each with its text in its own place, the drafts deleted."""
+    n = A.notes(spark, sf_dir).select("path", "type", "title", "content", "doc_id")
+    draft = F.when(F.col("type") == "de", F.concat(F.lit("drafts/"), "path")).otherwise(F.col("path"))
+    return [n.select(draft.alias("path"), F.col("title").alias("text"), "doc_id"), n.select("path", F.concat_ws(" ", "title", "content").alias("text"), "doc_id"), n.where("type = 'de'").select(draft.alias("path"))]
+
+
+@query(stems_sql("SELECT path, score FROM hits WHERE f0 > 0 OR f1 > 0 ORDER BY score DESC, path LIMIT 30"))
+def w1_segments_search(spark, sf_dir):
+    """A search after two batches of changes: the first one's postings lie dead in their segment."""
+    titles, texts, gone = _changes(spark, sf_dir)
+    index = textfeed.TextIndex(Tables(spark, shared_folder(spark), textfeed.KEYS))
+    index.apply(0, titles, gone.limit(0))
+    index.apply(1, texts, gone)
+    found = index.search("what about Hands, Resting", any_term=True).select("path", F.round("score", 6).alias("score"))
+    return found.orderBy(F.desc("score"), "path").limit(30)
+
+
+@query(f"{GRAPH} SELECT source, target FROM links")
+def r9_links_after_changes(spark, sf_dir):
+    """The link table after two batches: links are written while their targets lie in other places or nowhere, and found anew as these come and go."""
+    n, refs = A.notes(spark, sf_dir), A.references(spark, sf_dir)
+    german = F.col("type") == "de"
+    note = lambda path, op: [path.alias("path"), F.lit("note").alias("kind"), F.lit(op).alias("op")]
+    draft = F.concat(F.lit("drafts/"), "path")
+    index = linkindex.LinkIndex(Tables(spark, shared_folder(spark), linkindex.KEYS))
+    index.apply(0, n.select(*note(F.when(german, draft).otherwise(F.col("path")), "upsert")), refs)
+    moved = n.where(german)
+    index.apply(1, moved.select(*note(F.col("path"), "upsert")).union(moved.select(*note(draft, "delete"))), refs.where(F.split_part("source", F.lit("/"), F.lit(2)) == "de"))
+    return index.links()
+
+
+@query("WITH c AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) SELECT 'n/' || doc_id AS path, 0 AS chunk_index, h AS content_hash, 64 AS dims FROM c")
+def r8_healed_vectors(spark, sf_dir):
+    """Vectors after a first heal() of older texts and a second one of the present ones: each chunk has one vector, of its present text."""
+    d = table(spark, sf_dir, "documents")
+    older = F.when(F.col("lang") == "en", F.concat(F.lit("draft of "), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
+    chunks = lambda text: d.select(F.concat(F.lit("n/"), F.col("doc_id").cast("string")).alias("path"), F.lit(0).alias("chunk_index"), text.alias("chunk_text"), F.sha2(text, 256).alias("content_hash"))
+    store = vectorfeed.VectorFeed(Tables(spark, shared_folder(spark), vectorfeed.KEYS))
+    store.heal(chunks(older), 0)
+    store.heal(chunks(F.coalesce("text", F.lit(""))), 1)
+    return store.vectors().select("path", "chunk_index", "content_hash", F.size("embedding").alias("dims"))
 
 
 @query("SELECT d.doc_id AS path, 0 AS chunk_index, sha256(d.text) AS content_hash FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 1)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumlake.functions.predicates import visible
 from vellumlake.sources.vault import note_rows
 
 
@@ -109,10 +110,10 @@ def asset_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f.select((F.col("page_id") * 3).alias("from_id"), F.col("path").alias("to"))
     style, name = F.col("page_id") % 5, F.regexp_extract("to", r"([^/]*)$", 1)
     text = F.when(F.col("to").isNull(), F.concat(F.lit("nowhere/"), F.col("page_id").cast("string"))).when(style == 0, F.col("to")).when(style == 1, F.concat(F.lit("../"), F.regexp_replace("to", "^files/", ""))).when(style == 2, name).when(style == 3, F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")).otherwise(F.concat(F.lit("../../x/.././"), F.col("to")))
-    return f.where("page_id % 17 <> 0").join(to, F.col("page_id") == F.col("from_id"), "left").select(F.col("path").alias("source"), text.alias("target"))
+    return f.where(visible(F.col("path"))).join(to, F.col("page_id") == F.col("from_id"), "left").select(F.col("path").alias("source"), text.alias("target"))
 
 
-ASSET_REFERENCES = """pairs AS (SELECT f.page_id, f.path AS source, t.path AS dest FROM files f LEFT JOIN files t ON t.page_id * 3 = f.page_id WHERE f.page_id % 17 <> 0),
+ASSET_REFERENCES = """pairs AS (SELECT f.page_id, f.path AS source, t.path AS dest FROM files f LEFT JOIN files t ON t.page_id * 3 = f.page_id WHERE f.path NOT LIKE '%/.%'),
 asset_links AS (SELECT source, CASE WHEN dest IS NULL THEN 'nowhere/'||page_id ELSE dest END AS target FROM pairs)"""
 
 

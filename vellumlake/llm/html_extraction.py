@@ -47,6 +47,7 @@ TOKENS = {
 TOKEN_SETS = [frozenset(x.split()) for x in TOKENS.values()]
 TAGS = ("article", "main", "section", "div", "p", "h", "list", "li", "table", "nav", "header", "footer", "aside", "form", "figure", "quote")
 TAG_OF = {"h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "caption": "table", "figcaption": "figure", "blockquote": "quote", "pre": "quote"}
+LEGAL = re.compile(r"\u00a9|\bcopyright\b|\ball rights reserved\b", re.I)
 ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{RAW})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS})/?>|<[!?/][^>]*>", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -174,9 +175,23 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def is_legal(n: Node) -> bool:
+    """Whether a short block is a line of rights."""
+    return n.own <= 400 and any(LEGAL.search(x) for x in n.items if isinstance(x, str))
+
+
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node."""
-    total, out, seen = max(1, nodes[0].text), [], 0
+    """A row for each node; sizes are also relative to the page's largest, which need no telling names."""
+    total, out = max(1, nodes[0].text), []
+    most_own = max(1, *(n.own for n in nodes))
+    prose = [0] * len(nodes)  # of each subtree, text that is no link
+    for n in reversed(nodes):
+        plain = n.own - min(n.own, n.links)
+        prose[n.index] += plain
+        if n.parent is not None:
+            prose[n.parent.index] += prose[n.index]
+    all_prose = max(1, prose[0])
+    legal = [float(is_legal(n)) for n in nodes]
     # of each node: its children, the most text in one, and how many have each tag
     below = [(len(n.children), max((c.text for c in n.children), default=0), Counter(c.tag for c in n.children)) for n in nodes]
     inherited = [[0.0] * len(TOKEN_SETS) for _ in nodes]
@@ -192,13 +207,26 @@ def features(nodes: list[Node]) -> np.ndarray:
             around = [float(siblings), tags_[n.tag] / siblings, n.text / max(1, most), n.text / max(1, n.parent.text)]
         else:
             around = [1.0, 1.0, 1.0, 1.0]
-        out.append([np.log1p(n.text), np.log1p(n.own), n.links / max(1, n.text), n.tags / max(1, n.text), n.text / total, n.depth, seen / total, len(n.children), *around, *tags, *map(float, n.flags), *inherited[i], *above[i]])
-        seen += n.own
+        out.append([np.log1p(n.text), np.log1p(n.own), n.links / max(1, n.text), n.tags / max(1, n.text), n.text / total, n.depth, len(n.children), legal[i], n.own / most_own, prose[i] / all_prose, prose[i] / max(1, n.text), prose[n.parent.index] / max(1, n.parent.text) if n.parent is not None else 1.0, *around, *tags, *map(float, n.flags), *inherited[i], *above[i]])
     return np.array(out, float)
 
 
+#: Elements of running text.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre".split())
+
+
 def decode(nodes: list[Node], odds: np.ndarray, divide: float = 0.5) -> list[bool]:
-    """Which nodes' own text stays: each subtree is kept, dropped or divided, whatever adds up to the most."""
+    """Which nodes' own text stays: each subtree is kept, dropped or divided, whatever adds up to the most.
+
+    Running text that shows nothing of its own (no link, no telling token, no legal line)
+    goes by its parent's odds, or by the mean of such siblings, where these are for the main text.
+    """
+    given, plain = odds, [n.parent is not None and n.tag in FLOW and not n.links and not any(n.flags) and not is_legal(n) for n in nodes]
+    odds = odds.copy()
+    for up in nodes:
+        run = [c.index for c in up.children if plain[c.index]]
+        if run:
+            odds[run] += max(0.0, float(given[up.index]), float(given[run].mean()))
     worth = [float(o) * np.log1p(n.own + 0.1 * n.text) for n, o in zip(nodes, odds, strict=True)]
     whole, best, how = worth[:], [0.0] * len(nodes), [0] * len(nodes)
     split = [0.0] * len(nodes)
@@ -249,23 +277,33 @@ def generated_pages(count: int, seed: int = 7) -> list[tuple[str, str]]:
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
     said = lambda a, b, mark="": " ".join(word() + mark for _ in range(r.randint(a, b))) + r.choice(".!?")
     attr = lambda group: r.choice(["", f' class="{r.choice(TOKENS[group].split())}"', f' id="{r.choice(TOKENS[group].split())}"', f' class="{word()} {r.choice(TOKENS[group].split())}-{word()}"'])
+    odd = lambda: r.choice([word() + "-" + str(r.randint(1, 99)), "x" + str(r.randint(1, 999)), word() + " " + word()])  # noqa: E731  a class that tells nothing
     link = lambda: f'<a href="/{word()}">{" ".join(word() for _ in range(r.randint(1, 4)))}</a>'
 
-    def links(group: str, tags: list[str]) -> str:
+    def links(group: str, tags: list[str], bare: bool = False) -> str:
         t, n = r.choice(tags), r.randint(3, 12)
         inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>" if r.random() < 0.7 else " ".join(link() for _ in range(n))
+        if bare:
+            if r.random() < 0.3:  # teasers: a heading over sentences that are links
+                inner = f"<h3>{word()} {word()}</h3>" + "".join(f'<p><a href="/{word()}">{said(4, 25)}</a></p>' for _ in range(r.randint(3, 8)))
+            return r.choice([f"<div>{inner}</div>", f'<div class="{odd()}">{inner}</div>', inner, f"<div><div>{inner}</div></div>"])
         return f"<{t}{attr(group)}>{inner}</{t}>"
 
-    def box(group: str, tags: list[str], low: int = 3, high: int = 25, many: int = 1) -> str:
+    def box(group: str, tags: list[str], low: int = 3, high: int = 45, many: int = 1) -> str:
         t = r.choice(tags)
         inner = "".join(f"<p>{said(low, high)}</p>" if r.random() < 0.6 else said(low, high) + " " for _ in range(r.randint(1, many)))
         return f"<{t}{attr(group) if t == 'div' and r.random() < 0.1 else ' class=' + chr(34) + r.choice(TOKENS[group].split()) + chr(34) if t in ('div', 'section', 'p') else attr(group)}>{inner}</{t}>"
 
-    def article() -> str:
+    def comments() -> str:
+        t = r.choice(["div", "section"])
+        name = r.choice(["class", "id"])
+        return f'<{t} {name}="{r.choice(TOKENS["talk"].split())}"><h3>{word()}</h3>' + "".join(f"<div>{said(3, 60)}</div>" if r.random() < 0.4 else f"<p>{said(3, 60)}</p>" if r.random() < 0.5 else f"<div><b>{word()}</b><p>{said(3, 40)}</p></div>" for _ in range(r.randint(1, 8))) + f"</{t}>"
+
+    def article(bare: bool) -> str:
         m, out = "q", [f"<h1>{' '.join(word() + 'q' for _ in range(r.randint(2, 10)))}</h1>"]
         if r.random() < 0.3:
             out.append(f"<p><b>{said(5, 40, m)}<br>")
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.choice([1, 2, r.randint(1, 14), r.randint(3, 14), r.randint(3, 14)])):
             kind = r.random()
             if kind < 0.72:
                 inner = said(1 if r.random() < 0.2 else 8, 90, m)
@@ -284,30 +322,50 @@ def generated_pages(count: int, seed: int = 7) -> list[tuple[str, str]]:
                 out.append(f"<pre>{said(3, 20, m)}</pre>")
             else:
                 out.append(box("advert", ["div", "aside"]))
+        talk = comments() if r.random() < 0.2 else ""
+        if bare:
+            if r.random() < 0.25:  # lines instead of paragraphs
+                out = ["<br><br>".join(said(8, 60, m) for _ in range(r.randint(3, 14)))]
+            elif r.random() < 0.5:
+                out = out[1:] or out  # no heading
+            inner = "".join(out) + talk
+            return r.choice([f"<div>{inner}</div>", f'<div class="{odd()}">{inner}</div>', f"<div><div>{inner}</div></div>", f'<div class="{odd()}"><div id="{odd()}">{inner}</div></div>', inner, f"<section>{inner}</section>"])
+        out.append(talk)
         t = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         body = f"<{t}{attr('main') if t != 'div' or r.random() < 0.2 else ' class=' + chr(34) + r.choice(TOKENS['main'].split()) + chr(34)}>{''.join(out)}</{t}>"
         return f"<div>{body}</div>" if r.random() < 0.3 else body
 
     pages = []
     for _ in range(count):
-        parts = []
+        parts, bare, plain = [], r.random() < 0.5, r.random() < 0.5  # no telling names around the main text; around the rest
+        if bare and r.random() < 0.08:  # no markup at all
+            pages.append(("\n".join(said(20, 90, "q") for _ in range(r.randint(1, 8))), "q"))
+            continue
+        plain = plain and bare
         if r.random() < 0.4:
-            parts.append(f"<header{attr('top')}>{said(1, 8)} {link()}</header>" if r.random() < 0.7 else box("top", ["div"]))
-        if r.random() < 0.85:
-            parts.append(links("menu", ["nav", "nav", "div"]))
+            parts.append(f"<header{attr('top')}>{said(1, 25)} {link()}</header>" if r.random() < 0.7 else box("top", ["div"]))
+        menu = links("menu", ["nav", "nav", "div"], plain) if r.random() < 0.85 else ""
         if r.random() < 0.4:
             parts.append(box("notice", ["div", "section", "aside"], 4, 40))
         if r.random() < 0.5:
             parts.append(box("advert", ["div", "aside"]))
-        main, side = article(), r.choice([links("side", ["aside", "div"]), box("side", ["aside", "div"], 3, 30, 4)]) if r.random() < 0.5 else ""
-        parts += [side, main] if r.random() < 0.4 else [main, side]
-        if r.random() < 0.35:
-            t = r.choice(["div", "section"])
-            parts.append(f'<{t} class="{r.choice(TOKENS["talk"].split())}"><h3>{word()}</h3>' + "".join(f"<div>{said(3, 60)}</div>" if r.random() < 0.5 else f"<p>{said(3, 60)}</p>" for _ in range(r.randint(1, 8))) + f"</{t}>")
+        main, side = article(bare), r.choice([links("side", ["aside", "div"], plain), box("side", ["aside", "div"], 3, 30, 4)]) if r.random() < 0.5 else ""
+        if bare and r.random() < 0.25:  # a table lays out the page
+            cells = [menu, main, side] if r.random() < 0.7 else [main, menu + side]
+            parts.append("<table><tr>" + "".join(f"<td>{c}</td>" for c in cells if c) + "</tr></table>")
+        else:
+            parts.insert(r.randint(0, len(parts)), menu)
+            parts += [side, main] if r.random() < 0.4 else [main, side]
+        if r.random() < 0.3:
+            parts.append(comments())
         if r.random() < 0.3:
             parts.append(f"<form{attr('form')}><p>{said(2, 12)}</p><input><button>{word()}</button></form>")
         if r.random() < 0.85:
-            parts.append(f"<footer{attr('bottom')}>&copy; {said(2, 15)} {link()}</footer>" if r.random() < 0.75 else box("bottom", ["div"]))
+            foot = f"{r.choice(['&copy;', 'Copyright 20' + str(r.randint(10, 30))])} {said(2, 35)}"
+            if plain:
+                parts.append(r.choice([f"<div><p>{foot}</p></div>", f"<div>{foot} {link()}</div>", f'<p class="{odd()}">{foot}</p>', f"<div>{link()} {link()} {foot}</div>"]))
+            else:
+                parts.append(f"<footer{attr('bottom')}>{foot} {link() if r.random() < 0.5 else ''}</footer>" if r.random() < 0.75 else box("bottom", ["div"]))
         body = "".join(parts)
         pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{'<div>' + body + '</div>' if r.random() < 0.3 else body}</body></html>", "q"))
     return pages
@@ -364,13 +422,13 @@ class Trees:
 
 
 @lru_cache(maxsize=4)
-def trained(count: int = 500, rounds: int = 12, depth: int = 4) -> Trees:
+def trained(count: int = 1200, rounds: int = 36, depth: int = 5) -> Trees:
     """The trees, fitted once per driver on `count` generated pages; they do not depend on the input."""
     spark = SparkSession.active()
     x, y = examples(count)
     rows = spark.createDataFrame(pa.table({"x": pa.array(list(x), pa.list_(pa.float64())), "label": y})).coalesce(2)
     rows = rows.select(array_to_vector("x").alias("features"), "label")
-    return Trees(GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=3).fit(rows))
+    return Trees(GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=64, stepSize=0.3, seed=3).fit(rows))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ class Index:
         writes |= {k: (v[0], None) if fresh else v for k, v in linkindex.link_writes(state, paths, refs).items()}
         if self.with_text:
             text = F.concat_ws(" ", "title", "body")
-            more, numbers = textfeed.text_writes(state, batch_id, alive.select("path", "title", "body"), gone, text)
-            writes |= {k: (v[0], None) if fresh else v for k, v in more.items()}
+            more, numbers = textfeed.text_writes(state, batch_id, alive.select("path", "title", "body"), gone, text, t)
+            writes |= {k: (v[0], None) if fresh and isinstance(v, tuple) else v for k, v in more.items()}
             if fresh:
                 writes = dict.fromkeys(t.names("terms")) | writes
         written = t.commit(batch_id, writes, numbers)

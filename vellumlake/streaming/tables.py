@@ -93,7 +93,7 @@ class Tables:
     def keep(self, df: DataFrame) -> DataFrame:
         """df, computed once and kept in the folder until the next commit is done."""
         path = f"{self.folder}/scratch/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self._scratch.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -102,17 +102,31 @@ class Tables:
             self._remove(path)
         self._scratch = []
 
-    def _write(self, name: str, rows: DataFrame, buckets: int) -> str:
+    def _write(self, name: str, rows: DataFrame, buckets: int, dealt: bool = True) -> str:
         path = f"data/{name}-{uuid.uuid4().hex}"
-        of = F.pmod(F.xxhash64(self.key(name)), F.lit(buckets)).cast("int")
-        rows.withColumn(BUCKET, of).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, self.key(name)).write.partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
+        rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(self.key(name)), F.lit(buckets)).cast("int"))
+        rows = rows.hint("rebalance", BUCKET) if dealt else rows
+        rows.sortWithinPartitions(BUCKET, self.key(name)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
         return path
 
+    def ahead(self, name: str, rows: DataFrame) -> dict:
+        """Writes a new table for the next commit, each task its own file of a bucket: for rows that are many and few tasks' own, which no exchange needs to deal.
+
+        What commit() does not take is deleted with the next one.
+        """
+        path = self._write(name, rows, self.buckets, dealt=False)
+        return {"buckets": self.buckets, "parts": self._parts(path), "schema": rows._jdf.schema().toDDL()}
+
+    def rows_of(self, table: dict) -> int:
+        """How many rows a table written ahead has, from its files' footers."""
+        parts = [f"{self.folder}/{p}/{BUCKET}={b}" for b, p in table["parts"].items()]
+        return self.spark.read.schema(table["schema"]).parquet(*parts).count() if parts else 0
+
     def _parts(self, path: str) -> dict[str, str]:
         return {n.split("=")[1]: path for n in self._names(path) if n.startswith(f"{BUCKET}=")}
 
-    def commit(self, batch_id: int, writes: dict[str, tuple[DataFrame, list[int] | None] | None], numbers: dict | None = None) -> dict:
-        """Puts the rows of each table's touched buckets (None: of all) in place of what these held, all tables at once; a table without rows to put goes.
+    def commit(self, batch_id: int, writes: dict[str, tuple[DataFrame, list[int] | None] | dict | None], numbers: dict | None = None) -> dict:
+        """Puts the rows of each table's touched buckets (None: of all) in place of what these held, all tables at once; tables written ahead() come, and those for which nothing is given go.
 
         Returns how many buckets of each table were written.  Two writers at once: the
         second one's rename fails, and it ends with an error.
@@ -124,6 +138,9 @@ class Tables:
             if change is None:
                 tables.pop(name, None)
                 continue
+            if isinstance(change, dict):
+                tables[name], written[name] = change, len(change["parts"])
+                continue
             (rows, touched), t = change, self._of(name, last)
             parts = {} if touched is None else {b: p for b, p in t["parts"].items() if int(b) not in touched}
             if touched is None or touched:

@@ -23,15 +23,18 @@ HEADS = "path string, seg long, dl int"
 MERGED = 4
 
 
-def text_writes(tables: Tables, batch_id: int, notes: DataFrame, gone: DataFrame, text: Column) -> tuple[dict, dict]:
+def text_writes(tables: Tables, batch_id: int, notes: DataFrame, gone: DataFrame, text: Column, into: Tables | None = None) -> tuple[dict, dict]:
     """What a batch changes, and the new sums, for Tables.commit().
 
     notes: a row (path, ...) for each new or edited note; gone: (path) of those deleted.
-    A null text has no words.
+    A null text has no words.  The segment is written at once, to `into` if the commit
+    is not that of `tables`.
     """
-    fresh = tables.keep(notes.select("path", text.alias("text")))
-    rows = tables.keep(textindex.postings(fresh, F.col("text")).withColumn("seg", F.lit(batch_id).cast("long")))
-    new = fresh.select("path", F.lit(batch_id).cast("long").alias("seg"), F.size(textindex.plain_tokens(F.coalesce("text", F.lit("")))).alias("dl"))
+    into = into or tables
+    name = f"terms@{batch_id:012d}"
+    segment = into.ahead(name, textindex.postings(notes.select("path", text.alias("text")), F.col("text")).withColumn("seg", F.lit(batch_id).cast("long")))
+    size = F.size(textindex.plain_tokens(F.coalesce(text, F.lit(""))))
+    new = tables.keep(notes.select("path", F.lit(batch_id).cast("long").alias("seg"), size.alias("dl")))
     changed = tables.keep(new.select("path").union(gone.select("path")).distinct())
     at = tables.touched("heads", changed)
     had = tables.read("heads", at) if at else None
@@ -43,9 +46,9 @@ def text_writes(tables: Tables, batch_id: int, notes: DataFrame, gone: DataFrame
     if at:
         writes["heads"] = (had.join(changed, "path", "left_anti").unionByName(new), at)
     segments = list(was.get("segments", []))
-    if n := rows.count():
-        writes[f"terms@{batch_id:012d}"] = (rows, None)
-        segments.append({"name": f"terms@{batch_id:012d}", "rows": n})
+    if n := into.rows_of(segment):
+        writes[name] = segment
+        segments.append({"name": name, "rows": n})
     return writes, {"n": was.get("n", 0) + plus["n"] - minus["n"], "words": was.get("words", 0) + plus["words"] - minus["words"], "segments": segments}
 
 
@@ -79,10 +82,11 @@ class TextIndex:
         if due is None:
             return False
         every = reduce(DataFrame.unionByName, [self.tables.read(s["name"]) for s in due])
-        rows = self.tables.keep(self.live(every))
-        name, n = f"{due[-1]['name']}m", rows.count()
+        name = f"{due[-1]['name']}m"
+        rows = self.tables.ahead(name, self.live(every).repartition(self.tables.buckets, "term"))
+        n = self.tables.rows_of(rows)
         left = [s for s in state["numbers"]["segments"] if s not in due]
-        writes = {s["name"]: None for s in due} | ({name: (rows, None)} if n else {})
+        writes = {s["name"]: None for s in due} | ({name: rows} if n else {})
         self.tables.commit(state["batch"], writes, {"segments": left + ([{"name": name, "rows": n}] if n else [])})
         return True
 

@@ -19,14 +19,15 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_ = F.col("doc_id")
     tags = F.when(id_ % 10 == 3, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.concat(F.lit("lang/"), "lang"), F.when(F.col("quality") == 1, "q/good").when(F.col("quality") == 0, "q/bad"), F.when(F.col("toxic") == 1, "flag/toxic"))))
     properties = F.when(id_ % 11 == 0, F.lit("{}")).otherwise(F.to_json(F.struct("lang", "source", "quality", (F.col("toxic") == 1).alias("toxic"))))
-    return d.join(labels, "doc_id", "left").select(
+    # before the join, so that a query without content doesn't carry it there
+    return d.withColumn("bytes", F.octet_length("text").cast("long")).join(labels, "doc_id", "left").select(
         "doc_id",
         F.concat("source", F.lit("/"), "lang", F.lit("/"), id_.cast("string"), F.lit(".md")).alias("path"),
         F.concat(F.lit("doc "), id_.cast("string")).alias("title"),
         F.col("source").alias("folder"),
         F.col("lang").alias("type"),
         F.col("text").alias("content"),
-        F.octet_length("text").cast("long").alias("bytes"),
+        "bytes",
         F.when(id_ % 7 != 0, F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (id_ % 400).cast("int")), "yyyy-MM-dd"), F.lit("T08:00:00+00:00"))).alias("created"),
         (1700000000000 + (id_ * 7919 % 40000) * 3600000).cast("double").alias("mtime_ms"),
         tags.alias("tags"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumlake.functions import predicates as P
+from vellumlake.operators.ranks import first_of_each
 
 
 def newest(rows: DataFrame, limit: int) -> DataFrame:
@@ -51,10 +52,9 @@ def property_keys(notes: DataFrame, folder: str | None = None, samples: int = 3)
     # a key occurs once in a note, so notes are counted by the first value of each
     each = some.select("key", F.posexplode_outer(texts).alias("at", "text"))
     values = each.groupBy("key", "text").agg(F.count("*").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("notes"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("text").isNull(), F.desc("n"), "text"))
-    ranked = values.withColumn("rank", rank)
-    top = F.when((F.col("rank") <= samples) & F.col("text").isNotNull(), F.struct("rank", "text"))
-    out = ranked.groupBy("key").agg(F.sum("notes").alias("n_notes"), F.transform(F.array_sort(F.collect_list(top)), lambda s: s["text"]).alias("samples"))
+    counts = values.groupBy("key").agg(F.sum("notes").alias("n_notes"))
+    top = first_of_each(values.where("text is not null"), "key", samples, [(-F.col("n")).alias("n"), F.col("text").alias("text")])
+    out = counts.join(top, "key", "left").select("key", "n_notes", F.coalesce(F.transform("first", lambda s: s["text"]), F.array().cast("array<string>")).alias("samples"))
     return out.orderBy(F.desc("n_notes"), "key")
 
 

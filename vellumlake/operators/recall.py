@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumlake.operators import vectors
@@ -17,11 +17,12 @@ def found(entries: DataFrame, text_hits: DataFrame, near: DataFrame, key: str =
     Text hits all stay; of those that vectors alone found, those among the first
     RERANKED by fused score.
     """
-    both = vectors.fused([text_hits, near], key, [[F.desc("score"), F.col(key)], [F.col("distance"), F.col(key)]])
-    both = both.withColumn("score", F.round("score", 6)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    both = vectors.fused([text_hits, near], key, [[F.desc("score"), F.col(key)], [F.col("distance"), F.col(key)]], unlimited=(0,))
+    both = both.withColumn("score", F.round("score", 6))
+    first = both.orderBy(F.desc("score"), key).limit(RERANKED).select(key, F.lit(True).alias("first"))
     lexical = text_hits.select(key, F.lit(True).alias("hit"))
-    every = both.join(lexical, key, "left").join(near.select(key, "distance"), key, "left").withColumn("lexical", F.coalesce("hit", F.lit(False)))
-    return every.where(F.col("lexical") | (F.col("place") <= RERANKED)).join(entries, key).select(*entries.columns, F.col("score").alias("fused"), "lexical", "distance")
+    every = both.join(first, key, "left").join(lexical, key, "left").join(near.select(key, "distance"), key, "left").withColumn("lexical", F.coalesce("hit", F.lit(False)))
+    return every.where(F.col("lexical") | F.col("first")).join(entries, key).select(*entries.columns, F.col("score").alias("fused"), "lexical", "distance")
 
 
 def relevant(candidates: DataFrame, probability: Column | None = None) -> DataFrame:

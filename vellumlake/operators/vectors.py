@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumlake.functions import ranking
+from vellumlake.operators.ranks import ranked
 
 
 def nearest(rows: DataFrame, vector: str, query: list[float], k: int, by: tuple[str, ...], metric: str = "l2", where: Column | None = None) -> DataFrame:
@@ -37,13 +38,13 @@ def hydrated(hits: DataFrame, notes: DataFrame, files: DataFrame) -> DataFrame:
     return both.where("row is not null").select("path", "score", "row.*")
 
 
-def fused(legs: list[DataFrame], key: str, order: list[list[Column]]) -> DataFrame:
-    """(key, score): reciprocal rank fusion of lists, each short enough to rank in one task."""
-    ranked = None
-    for leg, by in zip(legs, order, strict=True):
-        one = leg.select(key, F.row_number().over(Window.orderBy(*by)).alias("rank"))
-        ranked = one if ranked is None else ranked.unionByName(one)
-    return ranked.groupBy(key).agg(F.sum(ranking.reciprocal_rank(F.col("rank"))).alias("score"))
+def fused(legs: list[DataFrame], key: str, order: list[list[Column]], unlimited: tuple[int, ...] = ()) -> DataFrame:
+    """(key, score): reciprocal rank fusion of lists, each short enough to rank in one task but for those that `unlimited` numbers."""
+    fused_ = None
+    for i, (leg, by) in enumerate(zip(legs, order, strict=True)):
+        one = ranked(leg, by).select(key, "rank") if i in unlimited else leg.select(key, F.row_number().over(Window.orderBy(*by)).cast("long").alias("rank"))
+        fused_ = one if fused_ is None else fused_.unionByName(one)
+    return fused_.groupBy(key).agg(F.sum(ranking.reciprocal_rank(F.col("rank"))).alias("score"))
 
 
 def reranked(candidates: DataFrame, fused_score: str, rerank_score: str, key: str) -> DataFrame:
@@ -56,12 +57,12 @@ def reranked(candidates: DataFrame, fused_score: str, rerank_score: str, key: st
 
 def adaptive_floor(candidates: DataFrame, probability: str, lexical: str) -> DataFrame:
     """Candidates that text search found, and others whose probability reaches a floor of a tenth of the best such, within 0.001 and 0.05."""
-    best = F.max(F.when(~F.col(lexical), F.col(probability))).over(Window.partitionBy())
-    floor = F.coalesce(F.least(F.lit(0.05), F.greatest(F.lit(0.001), 0.1 * best)), F.lit(0.05))
-    return candidates.withColumn("_floor", floor).where(F.col(lexical) | (F.col(probability) >= F.col("_floor"))).drop("_floor")
+    best = candidates.agg(F.max(F.when(~F.col(lexical), F.col(probability))).alias("_best"))  # one row
+    floor = F.coalesce(F.least(F.lit(0.05), F.greatest(F.lit(0.001), 0.1 * F.col("_best"))), F.lit(0.05))
+    return candidates.join(F.broadcast(best)).where(F.col(lexical) | (F.col(probability) >= floor)).drop("_best")
 
 
 def within_margin(candidates: DataFrame, distance: str, lexical: str, margin: float = 0.15) -> DataFrame:
     """Candidates that text search found, and others at most margin beyond the nearest."""
-    best = F.min(distance).over(Window.partitionBy())
-    return candidates.withColumn("_best", best).where(F.col(lexical) | (F.col(distance) <= F.col("_best") + margin)).drop("_best")
+    best = candidates.agg(F.min(distance).alias("_best"))  # one row
+    return candidates.join(F.broadcast(best)).where(F.col(lexical) | (F.col(distance) <= F.col("_best") + margin)).drop("_best")

@@ -101,14 +101,53 @@ def bm25(rows: DataFrame, text: Column, parts: list[list[str]], any_term: bool =
     return kept.join(F.broadcast(stats)).select(*rows.columns, score.alias("score"))  # one row of statistics
 
 
+def best_window(words: Column, asked: list[str], n: int) -> Column:
+    """(n_terms, length, start): the stretch of at most n words with the most different asked words; of such the shortest, then the first; null where none is there.
+
+    One walk over the places of asked words, each as the end of a stretch: the last place
+    of each word says which of them lie in it and where it begins.
+    """
+    terms = list(dict.fromkeys(asked))
+    kind = "struct<n_terms:int,length:int,start:int>"
+    if not terms:
+        return F.lit(None).cast(kind)
+    every = F.array(*[F.lit(t) for t in terms])
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(every, w).cast("int").alias("t"), i.alias("at"))), lambda h: h["t"] > 0)
+    start = F.struct(F.array(*[F.lit(-n - 1)] * len(terms)).alias("last"), F.lit(None).cast("struct<n:int,l:int,s:int>").alias("best"))
+
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda v, j: F.when(j == hit["t"] - 1, hit["at"]).otherwise(v))
+        inside = F.filter(last, lambda v: v > hit["at"] - n)
+        begins = F.array_min(inside)
+        this = F.struct(F.size(inside).alias("n"), (begins - hit["at"] - 1).alias("l"), (-begins).alias("s"))
+        return F.struct(last.alias("last"), F.greatest(state["best"], this).alias("best"))
+
+    best = F.aggregate(hits, start, step)["best"]
+    return F.when(best.isNotNull(), F.struct(best["n"].alias("n_terms"), (-best["l"]).alias("length"), (-best["s"]).alias("start")))
+
+
+def shown_words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
+
+
+def plain_words(every: Column) -> Column:
+    return F.transform(every, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
+
+
 def snippet(text: Column, words: list[str], n: int = 30) -> Column:
-    """n words from shortly before the first hit on, with ... where text is left out."""
-    every = F.split(F.trim(text), r"\s+")
-    plain = F.transform(every, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
-    first = F.array_min(F.filter(F.transform(plain, lambda w, i: F.when(w.isin(words), i)), lambda i: i.isNotNull()))
-    start = F.greatest(F.lit(0), F.coalesce(first, F.lit(0)) - n // 4)
-    body = F.array_join(F.slice(every, start + 1, n), " ")
-    return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + n < F.size(every), "...").otherwise(""))
+    """n words with the best stretch of asked ones in their middle, as far as the text's ends let it; with ... where text is left out."""
+
+    def cut(every: Column) -> Column:
+        def around(w: Column) -> Column:
+            start = F.coalesce(w["start"] - F.floor((n - w["length"]) / 2).cast("int"), F.lit(0))
+            start = F.greatest(F.lit(0), F.least(start, F.size(every) - n))
+            body = F.array_join(F.slice(every, start + 1, n), " ")
+            return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + n < F.size(every), "...").otherwise(""))
+
+        return F.element_at(F.transform(F.array(best_window(plain_words(every), words, n)), around), 1)
+
+    # arrays of one, so that words and window are computed once
+    return F.element_at(F.transform(F.array(shown_words(text)), cut), 1)
 
 
 def search(notes: DataFrame, query: str, where: Column | None = None, limit: int = 20, any_term: bool = False) -> DataFrame:

@@ -32,6 +32,18 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bounded(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in slices with about so many words (a longer note alone)."""
+    for batch in batches:
+        ends = batch.column("words").offsets.to_numpy()[1:].astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else batch.column("words").offsets[0].as_py()
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def postings(notes: DataFrame, text: Column, key: str = "path") -> DataFrame:
     """(term, key, tf, dl, places): for each stem of each note how often and where it stands, and the note's length in words.
 
@@ -39,11 +51,11 @@ def postings(notes: DataFrame, text: Column, key: str = "path") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             words = batch.column("words")
             if not len(words) or not len(words.flatten()):
                 continue
-            sizes = np.diff(words.offsets.to_numpy())
+            sizes = np.diff(words.offsets.to_numpy())  # flatten() holds what the offsets of a slice span
             coded = words.flatten().dictionary_encode()
             stems, of = np.unique([stem(w) for w in coded.dictionary.to_pylist()], return_inverse=True)
             term, row = of[coded.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes)

@@ -95,6 +95,23 @@ def q01_indexed_phrase(spark, sf_dir):
     return places.select("path", F.size(F.array_intersect(F.transform("licensing", lambda x: x + 1), "under")).alias("n_places")).where("n_places > 0")
 
 
+SHOWN = ["the", "and", "license", "que", "der"]
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split_regex(trim(coalesce(text, '')), '[\\s\\x0B]+') AS every FROM documents),
+h AS (SELECT doc_id, i, t FROM (SELECT doc_id, i - 1 AS i, list_position({SHOWN}, regexp_replace(lower(every[i]), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS t FROM (SELECT doc_id, every, unnest(range(1, len(every) + 1)) AS i FROM d)) WHERE t > 0),
+e AS (SELECT a.doc_id, a.i, b.t, max(b.i) AS last FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.i <= a.i AND b.i > a.i - 30 GROUP BY ALL),
+c AS (SELECT doc_id, i, count(*) AS n_terms, i - min(last) + 1 AS length, min(last) AS start FROM e GROUP BY doc_id, i),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_terms DESC, length, start) AS r FROM c),
+s AS (SELECT d.doc_id, every, n_terms, length, start, greatest(0, least(coalesce(start - (30 - length) // 2, 0), len(every) - 30)) AS b FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND r = 1)
+SELECT doc_id, CAST(coalesce(n_terms, 0) AS INTEGER) AS n_terms, CAST(coalesce(length, 0) AS INTEGER) AS length, CAST(coalesce(start, -1) AS INTEGER) AS start, sha256(CASE WHEN b > 0 THEN '...' ELSE '' END || array_to_string(every[b + 1 : b + 30], ' ') || CASE WHEN b + 30 < len(every) THEN '...' ELSE '' END) AS digest FROM s""")
+def x5_best_snippets(spark, sf_dir):
+    """For each document the best stretch of 30 words, and what a search would show of it."""
+    text = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", fulltext.best_window(fulltext.plain_words(fulltext.shown_words(text)), SHOWN, 30).alias("w"), fulltext.snippet(text, SHOWN).alias("shown"))
+    return d.select("doc_id", F.coalesce("w.n_terms", F.lit(0)).alias("n_terms"), F.coalesce("w.length", F.lit(0)).alias("length"), F.coalesce("w.start", F.lit(-1)).alias("start"), F.sha2("shown", 256).alias("digest"))
+
+
 def _vector(spark, sf_dir, vec_id: int = 7) -> list[float]:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumlake.functions import predicates as P
 from vellumlake.functions import ranking
 from vellumlake.functions.stems import stem
-from vellumlake.operators import fulltext, links, metadata, reading, recall, reports, textindex, vectors
+from vellumlake.operators import fulltext, links, metadata, reading, recall, reports, textindex, vectorindex, vectors
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
 from vellumlake.sources.store import shared_folder
@@ -126,6 +126,15 @@ def q03_vector_search(spark, sf_dir):
     return vectors.best_of_each(hits, "note", ("vec_id",)).select("vec_id", "note", "distance")
 
 
+@query(f"WITH {VECTORS} SELECT vec_id, label, round(list_distance(e, q), 6) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 25")
+def q03_indexed_neighbours(spark, sf_dir):
+    """The nearest vectors, exact, from the lists of an inverted file that may hold them."""
+    folder = shared_folder(spark)
+    vectorindex.build(table(spark, sf_dir, "embeddings"), "embedding", folder)
+    found, _ = vectorindex.search(spark, folder, "embedding", _vector(spark, sf_dir), 25, ("vec_id",))
+    return found.select("vec_id", "label", "distance")
+
+
 @query(f"WITH {VECTORS} SELECT vec_id, round(1 - list_cosine_similarity(e, q), 6) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 20")
 def q04_cosine_search(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "embeddings"), "embedding", _vector(spark, sf_dir), 20, ("vec_id",), "cosine").select("vec_id", "distance")

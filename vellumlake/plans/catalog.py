@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumlake.functions import predicates as P
 from vellumlake.functions import ranking
 from vellumlake.functions.stems import stem
-from vellumlake.operators import fulltext, links, metadata, reading, recall, reports, textindex, vectorindex, vectors
+from vellumlake.operators import fulltext, links, metadata, moves, reading, recall, reports, textindex, vectorindex, vectors
 from vellumlake.sources import adapters as A
 from vellumlake.sources.adapters import ENTRIES, NOTES, PROPERTIES, REFERENCES, TASKS, table
 from vellumlake.sources.store import shared_folder
@@ -381,6 +381,18 @@ def q18_broken_links(spark, sf_dir):
     return links.broken(_links(spark, sf_dir), A.notes(spark, sf_dir), "missing/")
 
 
+MOVED = "CASE WHEN {0} IN (SELECT path FROM notes WHERE type = 'de') THEN 'archive/' || substr({0}, strpos({0}, '/') + 1) || '.moved.md' ELSE {0} END"
+
+
+@query(f"{GRAPH} SELECT DISTINCT {MOVED.format('source')} AS source, {MOVED.format('target')} AS target FROM links")
+def u4_links_after_moves(spark, sf_dir):
+    """The link table after all German notes have moved and been renamed, from link texts that were written anew where they had to be: each leads where it led."""
+    n, refs = A.notes(spark, sf_dir), A.references(spark, sf_dir)
+    new = F.concat(F.lit("archive/"), F.regexp_replace("path", "^[^/]*/", ""), F.lit(".moved.md"))
+    gone = n.where("type = 'de'").select(F.col("path").alias("old"), new.alias("new"))
+    return links.resolved(moves.moved_links(refs, n, gone), moves.renamed(n.select("path"), "path", gone))
+
+
 ASSETS = f"WITH {A.FILES}, {A.ASSET_REFERENCES}"
 
 

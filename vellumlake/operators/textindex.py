@@ -24,8 +24,9 @@ BUCKETS = 64
 
 
 def plain_tokens(text: Column) -> Column:
-    """Lower-case words, Latin letters without their marks."""
-    return tokens(F.translate(F.lower(text), *marks()))
+    """Lower-case words, Latin letters without their marks; a text of ASCII alone has none."""
+    lower = F.lower(text)
+    return tokens(F.when(F.octet_length(text) == F.char_length(text), lower).otherwise(F.translate(lower, *marks())))
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -44,15 +45,18 @@ def bounded(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
             start = stop
 
 
-def postings(notes: DataFrame, text: Column, key: str = "path") -> DataFrame:
+def postings(notes: DataFrame, text: Column, key: str = "path", with_lengths: bool = False) -> DataFrame:
     """(term, key, tf, dl, places): for each stem of each note how often and where it stands, and the note's length in words.
 
-    A null text has no words; rows that repeat a key are notes of their own.
+    A null text has no words; rows that repeat a key are notes of their own.  With
+    lengths, each note has a row with its length for the term "" too, words or none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             words = batch.column("words")
+            if with_lengths and len(words):
+                yield pa.RecordBatch.from_arrays([pa.array([""] * len(words)), batch.column(key), pa.array(np.zeros(len(words), np.int32)), pa.array(np.diff(words.offsets.to_numpy()).astype(np.int32)), pa.array([[]] * len(words), pa.list_(pa.int32()))], names=["term", key, "tf", "dl", "places"])
             if not len(words) or not len(words.flatten()):
                 continue
             sizes = np.diff(words.offsets.to_numpy())  # flatten() holds what the offsets of a slice span

@@ -577,7 +577,7 @@ def r3_settled_changes(spark, sf_dir):
 
 def _changes(spark, sf_dir) -> list[DataFrame]:
     """All notes as two batches of changes: first each with its title alone and German ones in a drafts folder, then each with its text in its own place, the drafts deleted."""
-    n = A.notes(spark, sf_dir).select("path", "type", "title", "content", "doc_id")
+    n = A.texts(spark, sf_dir)
     draft = F.when(F.col("type") == "de", F.concat(F.lit("drafts/"), "path")).otherwise(F.col("path"))
     return [n.select(draft.alias("path"), F.col("title").alias("text"), "doc_id"), n.select("path", F.concat_ws(" ", "title", "content").alias("text"), "doc_id"), n.where("type = 'de'").select(draft.alias("path"))]
 

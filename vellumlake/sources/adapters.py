@@ -35,6 +35,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, type, title, content) of notes(), without what labels say of them, so that no text is dealt to its label."""
+    id_ = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), id_, F.lit(".md")).alias("path"), F.col("lang").alias("type"), F.concat(F.lit("doc "), id_).alias("title"), F.col("text").alias("content"))
+
+
 NOTES = """notes AS (SELECT d.doc_id, d.source||'/'||d.lang||'/'||d.doc_id||'.md' AS path, 'doc '||d.doc_id AS title, d.source AS folder, d.lang AS type, d.text AS content,
   CAST(strlen(d.text) AS BIGINT) AS bytes, CASE WHEN d.doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(d.doc_id % 400 AS INTEGER), '%Y-%m-%d')||'T08:00:00+00:00' END AS created,
   CAST(1700000000000 + (d.doc_id * 7919 % 40000) * 3600000 AS DOUBLE) AS mtime_ms,

@@ -1,6 +1,6 @@
 """A full-text index that follows changes: segments that are never rewritten, and marks of what is alive.
 
-Each batch adds the postings of its notes as one segment.  `heads` names, for each note,
+Each batch adds the postings of its notes as one segment, with their lengths as those of the empty term.  `heads` names, for each note,
 the batch that its postings are of; postings of another batch are dead, so an edit or a
 deletion touches no segment.  The number of notes and their words are kept as sums to
 which a batch adds what it puts in and takes out.  Once MERGED segments are of one size
@@ -32,9 +32,8 @@ def text_writes(tables: Tables, batch_id: int, notes: DataFrame, gone: DataFrame
     """
     into = into or tables
     name = f"terms@{batch_id:012d}"
-    segment = into.ahead(name, textindex.postings(notes.select("path", text.alias("text")), F.col("text")).withColumn("seg", F.lit(batch_id).cast("long")))
-    size = F.size(textindex.plain_tokens(F.coalesce(text, F.lit(""))))
-    new = tables.keep(notes.select("path", F.lit(batch_id).cast("long").alias("seg"), size.alias("dl")))
+    segment = into.ahead(name, textindex.postings(notes.select("path", text.alias("text")), F.col("text"), with_lengths=True).withColumn("seg", F.lit(batch_id).cast("long")))
+    new = into.rows(segment).where("term = ''").select("path", "seg", "dl")
     changed = tables.keep(new.select("path").union(gone.select("path")).distinct())
     at = tables.touched("heads", changed)
     had = tables.read("heads", at) if at else None
@@ -46,7 +45,7 @@ def text_writes(tables: Tables, batch_id: int, notes: DataFrame, gone: DataFrame
     if at:
         writes["heads"] = (had.join(changed, "path", "left_anti").unionByName(new), at)
     segments = list(was.get("segments", []))
-    if n := into.rows_of(segment):
+    if n := into.rows(segment).count():  # from the files' footers
         writes[name] = segment
         segments.append({"name": name, "rows": n})
     return writes, {"n": was.get("n", 0) + plus["n"] - minus["n"], "words": was.get("words", 0) + plus["words"] - minus["words"], "segments": segments}
@@ -84,7 +83,7 @@ class TextIndex:
         every = reduce(DataFrame.unionByName, [self.tables.read(s["name"]) for s in due])
         name = f"{due[-1]['name']}m"
         rows = self.tables.ahead(name, self.live(every).repartition(self.tables.buckets, "term"))
-        n = self.tables.rows_of(rows)
+        n = self.tables.rows(rows).count()
         left = [s for s in state["numbers"]["segments"] if s not in due]
         writes = {s["name"]: None for s in due} | ({name: rows} if n else {})
         self.tables.commit(state["batch"], writes, {"segments": left + ([{"name": name, "rows": n}] if n else [])})

@@ -19,7 +19,7 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank", parts: int
     """
     spark = rows.sparkSession
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/ranges"
     rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
     dealt = spark.read.parquet(folder)
     sizes = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}

@@ -8,10 +8,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below what spark.checkpoint.dir names; on one machine without it, below one of our own."""
+    """A new folder below what spark.checkpoint.dir names (on one machine without it, below one of our own); it goes when the application ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "/tmp/checkpoints"
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return folder

@@ -130,24 +130,24 @@ def shown_words(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def plain_words(every: Column) -> Column:
-    return F.transform(every, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
+def plain_words(text: Column) -> Column:
+    """shown_words() as they are compared: in lower case, without marks."""
+    return F.transform(shown_words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
 
 
-def snippet(text: Column, words: list[str], n: int = 30) -> Column:
-    """n words with the best stretch of asked ones in their middle, as far as the text's ends let it; with ... where text is left out."""
-
-    def cut(every: Column) -> Column:
-        def around(w: Column) -> Column:
-            start = F.coalesce(w["start"] - F.floor((n - w["length"]) / 2).cast("int"), F.lit(0))
-            start = F.greatest(F.lit(0), F.least(start, F.size(every) - n))
-            body = F.array_join(F.slice(every, start + 1, n), " ")
-            return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + n < F.size(every), "...").otherwise(""))
+def shown(every: Column, window: Column, n: int = 30) -> Column:
+    """n words with the window in their middle, as far as the text's ends let it; with ... where text is left out."""
+    start = F.coalesce(window["start"] - F.floor((n - window["length"]) / 2).cast("int"), F.lit(0))
+    start = F.greatest(F.lit(0), F.least(start, F.size(every) - n))
+    body = F.array_join(F.slice(every, start + 1, n), " ")
+    return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + n < F.size(every), "...").otherwise(""))
 
-        return F.element_at(F.transform(F.array(best_window(plain_words(every), words, n)), around), 1)
 
-    # arrays of one, so that words and window are computed once
-    return F.element_at(F.transform(F.array(shown_words(text)), cut), 1)
+def snippet(text: Column, words: list[str], n: int = 30) -> Column:
+    """What a search shows of a text: shown() of its best_window()."""
+    # an array of one struct, so that words and window are computed once
+    both = F.array(F.struct(shown_words(text).alias("every"), best_window(plain_words(text), words, n).alias("window")))
+    return F.element_at(F.transform(both, lambda x: shown(x["every"], x["window"], n)), 1)
 
 
 def search(notes: DataFrame, query: str, where: Column | None = None, limit: int = 20, any_term: bool = False) -> DataFrame:

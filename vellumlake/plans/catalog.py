@@ -108,8 +108,9 @@ SELECT doc_id, CAST(coalesce(n_terms, 0) AS INTEGER) AS n_terms, CAST(coalesce(l
 def x5_best_snippets(spark, sf_dir):
     """For each document the best stretch of 30 words, and what a search would show of it."""
     text = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", fulltext.best_window(fulltext.plain_words(fulltext.shown_words(text)), SHOWN, 30).alias("w"), fulltext.snippet(text, SHOWN).alias("shown"))
-    return d.select("doc_id", F.coalesce("w.n_terms", F.lit(0)).alias("n_terms"), F.coalesce("w.length", F.lit(0)).alias("length"), F.coalesce("w.start", F.lit(-1)).alias("start"), F.sha2("shown", 256).alias("digest"))
+    d = table(spark, sf_dir, "documents").select("doc_id", fulltext.shown_words(text).alias("every"), fulltext.best_window(fulltext.plain_words(text), SHOWN, 30).alias("w"))
+    digest = F.sha2(fulltext.shown(F.col("every"), F.col("w")), 256)
+    return d.select("doc_id", F.coalesce("w.n_terms", F.lit(0)).alias("n_terms"), F.coalesce("w.length", F.lit(0)).alias("length"), F.coalesce("w.start", F.lit(-1)).alias("start"), digest.alias("digest"))
 
 
 def _vector(spark, sf_dir, vec_id: int = 7) -> list[float]:

@@ -57,3 +57,17 @@ def test_manifest(spark):
     now = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("d", 1.0)], "path string, mtime_ms double")
     assert {(r.path, r.op) for r in feed.manifest_changes(had, now).collect()} == {("b", "upsert"), ("c", "delete"), ("d", "upsert")}
     assert [r.path for r in feed.settled_changes(now, 1001.5, 1000.0).orderBy("path").collect()] == ["a", "d"]
+
+
+def test_notes_are_parsed_in_bounded_frames(spark):
+    import pandas as pd
+
+    from vellumlake.sources.store import BATCH_BYTES, BATCH_ROWS, small_batches
+
+    texts = ["# a\n" + "x" * 300_000, None, "", "y" * 2_500_000, *["z" * 400_000] * 9]
+    frames = list(V.parse_batches(iter([(pd.Series([f"{i}.md" for i in range(len(texts))]), pd.Series(texts)), (pd.Series([], dtype=str), pd.Series([], dtype=str))])))
+    assert max(sum(len(x or "") for x in f["body"][:-1]) for f in frames if len(f)) < V.PARSED_CHARS
+    assert [x for f in frames for x in f["body"].where(f["body"].notna(), None)] == texts and len(frames) > 4
+    small_batches(spark)
+    sizes = spark.range(0, 5000, 1, 1).selectExpr("repeat('x', 20000) as t").mapInArrow(lambda bs: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) <= min(BATCH_ROWS, 2 * BATCH_BYTES // 20000) and sum(r.n for r in sizes) == 5000

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vellumlake.functions import markdown as M
 from vellumlake.functions.predicates import visible
 from vellumlake.operators.links import resolved
+from vellumlake.sources.store import small_batches
 
 TEXT_TYPES = ("txt", "csv", "json", "xml", "svg", "log", "yaml", "yml", "base")
 TASK = "line int, heading string, status_char string, status string, priority string, block_id string, done string, cancelled string, due string, scheduled string, start string, created string, recurrence string, on_completion string, task_id string, depends_on array<string>, description string, tags array<string>"
@@ -63,9 +64,15 @@ def _instant(text: str) -> bool:
     return True
 
 
+#: Characters of text that are parsed into one frame: a parsed note holds its text several times.
+PARSED_CHARS = 1_000_000
+
+
 def parse_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    names = [f.split(":")[0] for f in ("error", "title", "tags", "related", "type", "created", "properties", "body", "metadata", "callout", "headings", "links", "tasks", "entries", "chunks", "done_lanes")]
+    frame = lambda rows: pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
     for paths, texts in batches:
-        rows = []
+        rows, size = [], 0
         for path, text in zip(paths, texts, strict=True):
             try:
                 if text is None:
@@ -73,8 +80,12 @@ def parse_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
                 rows.append(parse_note(path, text))
             except Exception as e:  # one bad file must not end the scan
                 rows.append({"error": f"{type(e).__name__}: {e}"})
-        names = [f.split(":")[0] for f in ("error", "title", "tags", "related", "type", "created", "properties", "body", "metadata", "callout", "headings", "links", "tasks", "entries", "chunks", "done_lanes")]
-        yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+            size += len(text or "")
+            if size >= PARSED_CHARS:
+                yield frame(rows)
+                rows, size = [], 0
+        if rows or not len(paths):
+            yield frame(rows)
 
 
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -88,6 +99,7 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def note_rows(raw: DataFrame) -> DataFrame:
     """path, mtime_ms, bytes and the parsed fields of (path, mtime_ms, bytes, text); a null text, which was no UTF-8, is an error."""
+    small_batches(raw.sparkSession)
     return raw.withColumn("note", F.pandas_udf(parse_batches, PARSED)("path", "text")).select("path", "mtime_ms", "bytes", "note.*").withColumn("folder", F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(""))
 
 

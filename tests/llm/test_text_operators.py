@@ -210,3 +210,9 @@ def test_automaton_runs():
     ends = [brute(i) for i in range(len(text))]
     want = [(i + 1, n) for i, n in enumerate(ends) if n >= 2 and (i + 1 == len(text) or ends[i + 1] <= n)]
     assert [(e, n) for e, n, _ in a.runs(text, 2)] == want
+
+
+def test_the_largest_counter_is_found_once_for_a_digest(spark):
+    v = fingerprints.vectors(spark.createDataFrame([(1, "a b c d\ne f g h")], "doc_id long, text string"), ["doc_id"])
+    plan = v.select(fingerprints.digest(F.col("vector")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (array_max" not in plan

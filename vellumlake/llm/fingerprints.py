@@ -96,8 +96,9 @@ def steps(v: Column) -> Column:
     flat = F.flatten(F.transform(counters(v), lambda s: F.array(s["a"], s["b"])))
 
     def scaled(every: Column) -> Column:
-        most = F.array_max(F.transform(every, lambda x: F.abs(x)))
-        return F.transform(every, lambda x: F.when(most == 0, 0).otherwise(F.round(7 * x / most)).cast("int"))
+        # an array of one, so that the largest is found once and not for each counter
+        largest = F.array(F.array_max(F.transform(every, lambda x: F.abs(x))))
+        return F.element_at(F.transform(largest, lambda most: F.transform(every, lambda x: F.when(most == 0, 0).otherwise(F.round(7 * x / most)).cast("int"))), 1)
 
     # an array of one array, so that the counters are computed once
     return F.element_at(F.transform(F.array(flat), scaled), 1)

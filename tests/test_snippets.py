@@ -32,3 +32,12 @@ def test_snippets(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [x.s for x in df.select(fulltext.snippet(F.col("t"), ["the", "cat", "mat"], 10).alias("s")).collect()]
     assert got == ["one two three", "...x x x Cat, sat near (mat) y y y...", "", "no hit no hit no hit no hit no hit..."]
+
+
+def test_words_are_compared_without_a_pattern_for_each(spark):
+    texts = ["  -- The\tcat,\n\n(sat)  xé-Y ", "", "\n a --\x0b", "one"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = fulltext.plain_words(F.col("t"))
+    assert [x.w for x in df.select(plain.alias("w")).collect()] == [["", "the", "cat", "sat", "xéy"], [""], ["", "a", "", ""], ["one"]]
+    plan = df.select(fulltext.best_window(plain, ["a"], 3).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction(regexp_replace" not in plan

@@ -112,7 +112,14 @@ def best_window(words: Column, asked: list[str], n: int) -> Column:
     if not terms:
         return F.lit(None).cast(kind)
     every = F.array(*[F.lit(t) for t in terms])
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(every, w).cast("int").alias("t"), i.alias("at"))), lambda h: h["t"] > 0)
+
+    def places(ws: Column) -> Column:
+        # get() is null beyond the last word; only what is asked for becomes a struct
+        found = F.filter(F.sequence(F.lit(0), F.size(ws)), lambda i: F.coalesce(F.get(ws, i).isin(terms), F.lit(False)))
+        return F.transform(found, lambda i: F.struct(F.array_position(every, F.get(ws, i)).cast("int").alias("t"), i.alias("at")))
+
+    # an array of one array, so that words is computed once for all its places
+    hits = F.element_at(F.transform(F.array(words), places), 1)
     start = F.struct(F.array(*[F.lit(-n - 1)] * len(terms)).alias("last"), F.lit(None).cast("struct<n:int,l:int,s:int>").alias("best"))
 
     def step(state: Column, hit: Column) -> Column:
@@ -131,8 +138,10 @@ def shown_words(text: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """shown_words() as they are compared: in lower case, without marks."""
-    return F.transform(shown_words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    """shown_words() as they are compared: in lower case, without marks; a word of marks alone is an empty one."""
+    # the whole text at once, white space first as one line feed, at which words of marks stay apart
+    parted = F.regexp_replace(F.lower(F.trim(text)), r"\s+", "\n")
+    return F.split(F.regexp_replace(parted, r"[^\p{L}\p{N}\n]+", ""), "\n")
 
 
 def shown(every: Column, window: Column, n: int = 30) -> Column:

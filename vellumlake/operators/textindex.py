@@ -1,7 +1,7 @@
 """A stored full-text index, so that a search reads the few terms that it asks for.
 
-build() writes two tables: `postings`, a row for each stem and note, dealt by a hash of
-the stem into folders (bucket=...) and sorted by it, and `corpus`, one row with the number
+build() writes two tables: `postings`, a row for each stem and note and one of the empty
+stem with each note's length, dealt by a hash of the stem into folders (bucket=...) and sorted by it, and `corpus`, one row with the number
 of notes and their average length.  A search names its buckets and stems as literals, so
 the scan opens a few folders and skips what lies between; scores need nothing else.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vellumlake.functions.stems import marks, stem
 from vellumlake.operators.fulltext import B, FLOOR, K1, parse_query, tokens
+from vellumlake.sources.store import small_batches
 
 #: Folders that stems are dealt into.
 BUCKETS = 64
@@ -61,7 +62,8 @@ def postings(notes: DataFrame, text: Column, key: str = "path", with_lengths: bo
                 continue
             sizes = np.diff(words.offsets.to_numpy())  # flatten() holds what the offsets of a slice span
             coded = words.flatten().dictionary_encode()
-            stems, of = np.unique([stem(w) for w in coded.dictionary.to_pylist()], return_inverse=True)
+            # as objects: an array of fixed width would be as wide as the longest word
+            stems, of = np.unique(np.array([stem(w) for w in coded.dictionary.to_pylist()], object), return_inverse=True)
             term, row = of[coded.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             order = np.lexsort((place, term, row))
@@ -69,18 +71,20 @@ def postings(notes: DataFrame, text: Column, key: str = "path", with_lengths: bo
             first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1]))))
             tf = np.diff(np.append(first, len(term)))
             places = pa.ListArray.from_arrays(pa.array(np.append(first, len(term)), pa.int32()), pa.array(place, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(stems[term[first]].tolist(), pa.string()), batch.column(key).take(pa.array(row[first])), pa.array(tf, pa.int32()), pa.array(sizes[row[first]], pa.int32()), places], names=["term", key, "tf", "dl", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()).take(pa.array(term[first])), batch.column(key).take(pa.array(row[first])), pa.array(tf, pa.int32()), pa.array(sizes[row[first]], pa.int32()), places], names=["term", key, "tf", "dl", "places"])
 
+    small_batches(notes.sparkSession)
     kind = dict(notes.dtypes)[key]
     return notes.select(key, plain_tokens(text).alias("words")).mapInArrow(run, f"term string, `{key}` {kind}, tf int, dl int, places array<int>")
 
 
 def build(notes: DataFrame, text: Column, folder: str, key: str = "path", buckets: int = BUCKETS) -> None:
     """Writes the index of notes to folder; a bucket with a stem that most notes have is split over several files."""
-    rows = postings(notes, text, key).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    rows = postings(notes, text, key, with_lengths=True).withColumn("bucket", bucket_of(F.col("term"), buckets))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    size = F.size(plain_tokens(text))
-    notes.agg(F.count("*").alias("n"), F.avg(size).alias("average")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/corpus")
+    # the lengths are postings of the empty term, so no text is read again
+    lengths = notes.sparkSession.read.schema(rows.schema).parquet(f"{folder}/postings").where((F.col("bucket") == bucket_of(F.lit(""), buckets)) & (F.col("term") == ""))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/corpus")
 
 
 def parts_of(query: str, any_term: bool) -> tuple[list[list[str]], list[str]]:

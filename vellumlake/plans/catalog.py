@@ -74,7 +74,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS df0, cou
 
 def _indexed(spark, sf_dir, query: str, any_term: bool = False):
     folder = shared_folder(spark)
-    textindex.build(A.notes(spark, sf_dir), F.concat_ws(" ", "title", "content"), folder)
+    textindex.build(A.texts(spark, sf_dir), F.concat_ws(" ", "title", "content"), folder)
     return textindex.search(spark, folder, query, any_term=any_term).select("path", F.round("score", 6).alias("score"))
 
 
@@ -90,7 +90,7 @@ def q01_indexed_any_term(spark, sf_dir):
 
 @query(f"""WITH {NOTES}, hit AS (SELECT path, len(regexp_extract_all(' '||array_to_string(list_filter(string_split_regex(lower(title||' '||content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), '  ')||' ', ' (licensed|license)  under ')) AS n FROM notes) SELECT path, CAST(n AS INTEGER) AS n_places FROM hit WHERE n > 0""")
 def q01_indexed_phrase(spark, sf_dir):
-    rows = textindex.postings(A.notes(spark, sf_dir), F.concat_ws(" ", "title", "content")).where(F.col("term").isin(stem("licensing"), stem("under")))
+    rows = textindex.postings(A.texts(spark, sf_dir), F.concat_ws(" ", "title", "content")).where(F.col("term").isin(stem("licensing"), stem("under")))
     places = rows.groupBy("path").agg(*[F.max(F.when(F.col("term") == stem(w), F.col("places"))).alias(w) for w in ("licensing", "under")])
     return places.select("path", F.size(F.array_intersect(F.transform("licensing", lambda x: x + 1), "under")).alias("n_places")).where("n_places > 0")
 

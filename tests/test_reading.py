@@ -118,3 +118,24 @@ def test_property_keys_count_notes_once(spark):
     notes = spark.createDataFrame([("a", '{"k": ["x", "x", "y"], "n": 1}'), ("b", '{"k": "x", "e": []}'), ("c", '{"k": null}')], "path string, p string").select("path", F.parse_json("p").alias("properties"))
     got = {r.key: (r.n_notes, list(r.samples)) for r in metadata.property_keys(notes).collect()}
     assert got == {"k": (3, ["x", "y"]), "n": (1, ["1"]), "e": (1, [])}
+
+
+def test_near_counts_make_forms_after_distinct_names(spark):
+    df = spark.createDataFrame([("Hot  Gear",), ("hot gaer",), (None,), ("",), ("cold gear 1",), ("R&amp;D notes",)], "section string").crossJoin(spark.range(50)).select("section")
+    out = reading.near_counts(df, ["hot gear", "HOT GEAR (newest first)", "r&d notes", "cold gear 2"])
+    assert sorted(map(tuple, out.collect())) == [("Hot  Gear", 2), ("R&amp;D notes", 1), ("hot gaer", 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") : plan.index("LogicalRDD")]
+    assert "regexp" not in below and "levenshtein" not in below and "regexp" in plan
+
+
+def test_an_index_takes_words_of_any_length_and_keeps_lengths(spark, tmp_path):
+    # as an array of fixed width the words would take 4 bytes x 2,000,000 x 5,000
+    texts = [("a", "y" * 2_000_000 + " " + " ".join(f"w{i}" for i in range(5000))), ("b", None), ("c", "")]
+    notes = spark.createDataFrame(texts, "path string, t string")
+    textindex.build(notes, F.col("t"), str(tmp_path / "i"), buckets=2)
+    lengths = spark.read.parquet(str(tmp_path / "i/postings")).where("term = ''")
+    assert sorted((r.path, r.dl) for r in lengths.collect()) == [("a", 5001), ("b", 0), ("c", 0)]
+    corpus = spark.read.parquet(str(tmp_path / "i/corpus")).first()
+    assert (corpus["n"], corpus["average"]) == (3, 5001 / 3)
+    assert [r.path for r in textindex.search(spark, str(tmp_path / "i"), "w77").collect()] == ["a"]

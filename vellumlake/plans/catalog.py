@@ -526,9 +526,7 @@ def s15_line_windows(spark, sf_dir):
 @query("WITH s AS (SELECT DISTINCT p_name AS section FROM part), w AS (SELECT unnest(['Blue  Bolt (newest first)', 'hott gear', 'small rings', 'red wigdet']) AS wanted, unnest(['blue bolt', 'hot gear', 'small rings', 'red wigdet']) AS form) SELECT section, count(*) AS n FROM s, w WHERE section = form OR (levenshtein(section, CASE form WHEN 'hot gear' THEN 'hott gear' ELSE form END) <= 2 AND least(length(section), length(form)) > 7) OR (levenshtein(section, CASE form WHEN 'hot gear' THEN 'hott gear' ELSE form END) <= 1 AND least(length(section), length(form)) BETWEEN 4 AND 7) GROUP BY section")
 def x49_near_miss_sections(spark, sf_dir):
     wanted = ["Blue  Bolt (newest first)", "hott gear", "small rings", "red wigdet"]
-    sections = table(spark, sf_dir, "part").select(F.col("p_name").alias("section")).distinct()
-    hits = F.size(F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: reading.is_near(F.col("section"), w))).cast("long")
-    return sections.select("section", hits.alias("n")).where("n > 0")
+    return reading.near_counts(table(spark, sf_dir, "part").select(F.col("p_name").alias("section")), wanted)
 
 
 @query("SELECT DISTINCT trim(regexp_replace(lower(p_brand||' '||p_type), '[^a-z0-9]+', '-', 'g'), '-') AS tag FROM part")

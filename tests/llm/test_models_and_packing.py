@@ -247,3 +247,17 @@ def test_pipeline(spark):
     last = c.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in last.select("doc_id").collect()} == kept[4]
     assert last.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_sorted_keys_take_less_than_their_bytes():
+    import numpy as np
+
+    from vellumlake.llm import lm_scoring
+
+    r = np.random.default_rng(4)
+    for n in (0, 1, 7, 20_000):
+        x = np.unique(r.integers(0, 1 << 32, n, np.uint64)).astype("<u4")
+        assert (lm_scoring.opened(lm_scoring.shut(x)) == x).all()
+    assert len(lm_scoring.shut(x)) < 3 * len(x)
+    ends = np.array([0, (1 << 32) - 1], "<u4")
+    assert (lm_scoring.opened(lm_scoring.shut(ends)) == ends).all()

@@ -74,6 +74,25 @@ def large(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, {1: "<u1", 4: "<u4", 8: "<u8"}[len(b) // n] if n else "<u1").astype(np.int64)
 
 
+def shut(x: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as compressed steps from one to the next, byte by byte of their places."""
+    steps = np.diff(x.astype("<u4"), prepend=np.zeros(1, "<u4")).astype("<u4")
+    return packed_bytes(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def opened(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpacked_bytes(b), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype="<u4")
+
+
+def packed_bytes(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_bytes(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
 def key32(x: np.ndarray) -> np.ndarray:
     return (mix(x + U(STEP)) >> U(32)).astype("<u4")
 
@@ -147,7 +166,7 @@ def model_of(docs: DataFrame, parts: int) -> DataFrame:
             rows = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist()
             cut = lambda x, at, f: pa.array([f(x[at[i] : at[i + 1]]) for i in rows], pa.binary())
             raw = lambda x: x.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), cut(one[0], a, raw), cut(one[1], a, small), cut((two[0] & U(0xFFFFFFFF)).astype("<u4"), b, raw), cut(two[1], b, small)], names=["block", "words", "counts", "pairs", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), cut(one[0], a, raw), cut(one[1], a, small), cut((two[0] & U(0xFFFFFFFF)).astype("<u4"), b, shut), cut(two[1], b, small)], names=["block", "words", "counts", "pairs", "times"])
             for found in held:
                 found.clear()
 
@@ -173,7 +192,7 @@ def model_of(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for i, (x, n, t) in enumerate((("words", "counts", U), ("pairs", "times", "<u4"))):
                 for k, c in zip(batch.column(x).to_pylist(), batch.column(n).to_pylist(), strict=True):
-                    k = np.frombuffer(k, t)
+                    k = np.frombuffer(k, t) if t is U else opened(k)
                     held[i].append((k, large(c, len(k))))
                     if sum(len(h[0]) for h in held[i]) > max(1_000_000, len(whole[i][0])):
                         add(i)
@@ -238,7 +257,7 @@ def _scored(d: DataFrame, most_bits: int, scratch: Scratch) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, BATCH_BYTES):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
                 out.write_batch(batch)
             blob = sink.getvalue().to_pybytes()
             yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)]), pa.array([blob], pa.binary())], names=["batch", "blob"])
@@ -266,7 +285,7 @@ def _scored(d: DataFrame, most_bits: int, scratch: Scratch) -> DataFrame:
                 a, b = np.searchsorted(w % U(parts), np.arange(parts + 1).astype(U)), np.searchsorted(pairs, np.arange(parts + 1).astype(U) << U(32))
                 keys = (pairs & U(0xFFFFFFFF)).astype("<u4")
                 blocks = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array([w[a[i] : a[i + 1]].tobytes() for i in blocks], pa.binary()), pa.array([keys[b[i] : b[i + 1]].tobytes() for i in blocks], pa.binary())], names=["batch", "block", "words", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array([w[a[i] : a[i + 1]].tobytes() for i in blocks], pa.binary()), pa.array([shut(keys[b[i] : b[i + 1]]) for i in blocks], pa.binary())], names=["batch", "block", "words", "pairs"])
 
     def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, part: pa.Table) -> pa.Table:
         there = part.num_rows > 0
@@ -275,18 +294,18 @@ def _scored(d: DataFrame, most_bits: int, scratch: Scratch) -> DataFrame:
         own = Filter(part.column("bits")[0].as_py() if there else b"", np.zeros(1), np.array([part.column("size")[0].as_py() if there else 0]))
         out: dict[str, list] = {"counts": [], "levels": [], "pair_levels": []}
         for w, p in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
-            w, p = np.frombuffer(w, U), np.frombuffer(p, "<u4")
+            w, p = np.frombuffer(w, U), opened(p)
             at = np.minimum(np.searchsorted(x, w), max(0, len(x) - 1))
-            out["counts"].append((np.where(x[at] == w, n[at], 0) if len(x) else np.zeros(len(w))).astype("<u8").tobytes())
-            out["levels"].append((np.zeros(0, np.uint8) if shared else own.levels(key32(w).astype(U))).tobytes())
-            out["pair_levels"].append(own.levels(p.astype(U)).tobytes())
+            out["counts"].append(packed_bytes((np.where(x[at] == w, n[at], 0) if len(x) else np.zeros(len(w))).astype("<u8").tobytes()))
+            out["levels"].append(packed_bytes((np.zeros(0, np.uint8) if shared else own.levels(key32(w).astype(U))).tobytes()))
+            out["pair_levels"].append(packed_bytes(own.levels(p.astype(U)).tobytes()))
         return pa.table({"batch": asked.column("batch"), "block": asked.column("block")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     def score(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
         said = {}  # batches that are equal asked the same
         for block, *found in zip(*(answers.column(c).to_pylist() for c in ("block", "counts", "levels", "pair_levels")), strict=True):
             said[block] = found
-        counts, levels, pair_levels = (b"".join(said[k][i] for k in sorted(said)) for i in range(3))
+        counts, levels, pair_levels = (b"".join(unpacked_bytes(said[k][i]) for k in sorted(said)) for i in range(3))
         tables = []
         for blob in texts.column("blob").to_pylist():
             docs, starts, w, at, pairs, pair_at = grams(blob)

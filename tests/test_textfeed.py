@@ -40,3 +40,19 @@ def test_an_edit_touches_no_segment(spark, tmp_path):
     after = index.tables.manifest()
     assert after["tables"]["terms@000000000000"]["parts"] == parts and after["numbers"]["n"] == 199 and after["numbers"]["words"] == 198 * 5 + 1
     assert index.search("words").count() == 198 and [x.path for x in index.search("other").collect()] == ["n7.md"]
+
+
+def test_a_segment_is_written_without_a_sort(spark, tmp_path):
+    from vellumlake.streaming.tables import Tables
+
+    t = Tables(spark, str(tmp_path / "t"), {"terms": "term"})
+    rows = spark.range(5000).selectExpr("cast(id % 700 as string) as term", "id")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    sorted_, was = [], type(rows).sortWithinPartitions
+    type(rows).sortWithinPartitions = lambda self, *a: sorted_.append(a) or was(self, *a)
+    try:
+        made = t.ahead("terms@1", rows)
+    finally:
+        type(rows).sortWithinPartitions = was
+    assert not sorted_ and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert sorted(map(tuple, t.rows(made).select("term", "id").collect())) == sorted(map(tuple, rows.collect()))

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 BUCKET = "bucket"
 
 
+#: Bytes that a file holds in memory where a task writes all buckets at once.
+OPEN_BYTES = 2_000_000
+
+
 class Tables:
     """keys: of each table the column whose hash deals its rows; tables "name@1", "name@2", ... are dealt as "name" is."""
 
@@ -106,7 +110,17 @@ class Tables:
         path = f"data/{name}-{uuid.uuid4().hex}"
         rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(self.key(name)), F.lit(buckets)).cast("int"))
         rows = rows.hint("rebalance", BUCKET) if dealt else rows
-        rows.sortWithinPartitions(BUCKET, self.key(name)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
+        if dealt:
+            rows.sortWithinPartitions(BUCKET, self.key(name)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
+            return path
+        # a task holds all buckets' files open in small row groups, so its many rows needn't be sorted, which would spill
+        conf, writers = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(writers)
+        conf.set(writers, str(buckets))
+        try:
+            rows.write.option("compression", "zstd").option("parquet.block.size", str(OPEN_BYTES)).partitionBy(BUCKET).parquet(f"{self.folder}/{path}")
+        finally:
+            conf.set(writers, before)
         return path
 
     def ahead(self, name: str, rows: DataFrame) -> dict:

@@ -141,8 +141,8 @@ def pieces(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, text: st
             start = stop
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], schema: str, text: str | None = "text", limit: int = CHUNK_BYTES) -> DataFrame:
-    """df.mapInArrow with f on slices of bounded size; f returns columns (arrays) of any equal length."""
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], schema: str, text: str | None = "text", limit: int = CHUNK_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow with f on slices of bounded size; f returns columns (arrays) of any equal length; done() is called at a task's end."""
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +150,8 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], sche
             out = f(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names=list(out))
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 
@@ -173,7 +175,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        if size > 1 << 24:  # of a huge text: not kept
+        if size > 1 << 21:  # of a long text: not kept
             return up, down
         _powers[0] = have = (up, down)
     return have

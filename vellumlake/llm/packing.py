@@ -55,6 +55,10 @@ class WordCache:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def forget(self) -> None:
+        """Lets go of the words seen, which an idle worker would hold beside the next stages."""
+        self.known, self.cores = {}, {}
+
     def encode(self, text: str) -> np.ndarray:
         if self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -116,7 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int =
                     column.append(x)
         return {k: pa.array(x, pa.int64()) for k, x in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), out, strict=True)}
 
-    return mapped(documents(docs), cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(documents(docs), cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", done=lambda: WordCache.at(tokenizer).forget())
 
 
 def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

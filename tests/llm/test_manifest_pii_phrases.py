@@ -80,6 +80,19 @@ def test_phrases_equal_their_sql(spark):
     assert got and got == sorted(duckdb.sql(phrases.SQL).fetchall())
 
 
+def test_counts_of_many_buckets_are_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        with phrases.Scratch(spark) as scratch:
+            rows = scratch.keep(phrases.pieces(table(spark, [("en", " ".join(f"w{i}" for i in range(300)))] * 30)))
+            levels = phrases.frequent_runs(scratch, rows, 30)
+            assert [x.count() for x in levels] == [301, 299, 298, 297]
+            assert all(len(x.inputFiles()) <= 4 for x in levels)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def luhn(d):
     return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
 

@@ -186,7 +186,8 @@ def frequent_runs(scratch: Scratch, rows: DataFrame, least: int) -> list[DataFra
     out: list[DataFrame] = []
     for n in range(1, LONGEST + 1):
         bits = context.broadcast(bits_of(out[-1].where("phrase <> ''"))) if out else None
-        out.append(scratch.keep(counted(proposed(rows, n, bits), least)))
+        # few rows are left of a bucket: files go by size and not by bucket, as an executor starts three processes for each
+        out.append(scratch.keep(counted(proposed(rows, n, bits), least).hint("rebalance", "lang", "phrase")))
         if bits is not None:
             bits.unpersist()
     return out
